@@ -55,8 +55,31 @@ def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import default_findings, scan, train
+
+    model = train(default_findings(spark))
+    found = scan(table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", "pos", F.length("candidate").cast("long").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_toxicity_cnn, op4_best_fit_packing, op8_quality_compression, op9_bpe_round_trip)
+    own = (
+        op2_toxicity_cnn, op4_best_fit_packing, op6_secret_scan, op7_media_columns, op8_quality_compression,
+        op9_bpe_round_trip, op10_quality_rules,
+    )
     return {f.__name__: f for f in own}
 
 
