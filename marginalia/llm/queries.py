@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import removed
+
+    return removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -77,7 +83,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op2_toxicity_cnn, op4_best_fit_packing, op6_secret_scan, op7_media_columns, op8_quality_compression,
+        op2_toxicity_cnn, op3_repeated_bytes, op4_best_fit_packing, op6_secret_scan, op7_media_columns, op8_quality_compression,
         op9_bpe_round_trip, op10_quality_rules,
     )
     return {f.__name__: f for f in own}
