@@ -52,6 +52,12 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import joined
+
+    return joined(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
@@ -83,7 +89,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op2_toxicity_cnn, op3_repeated_bytes, op4_best_fit_packing, op6_secret_scan, op7_media_columns, op8_quality_compression,
+        op1_jaccard_join, op2_toxicity_cnn, op3_repeated_bytes, op4_best_fit_packing, op6_secret_scan, op7_media_columns, op8_quality_compression,
         op9_bpe_round_trip, op10_quality_rules,
     )
     return {f.__name__: f for f in own}
