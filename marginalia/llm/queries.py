@@ -67,6 +67,12 @@ def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_id_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .id_files import write_and_read
+
+    return write_and_read(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import default_findings, scan, train
 
@@ -89,7 +95,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op1_jaccard_join, op2_toxicity_cnn, op3_repeated_bytes, op4_best_fit_packing, op6_secret_scan, op7_media_columns, op8_quality_compression,
+        op1_jaccard_join, op2_toxicity_cnn, op3_repeated_bytes, op4_best_fit_packing, op5_id_containers, op6_secret_scan, op7_media_columns, op8_quality_compression,
         op9_bpe_round_trip, op10_quality_rules,
     )
     return {f.__name__: f for f in own}

@@ -142,9 +142,12 @@ def redact(docs: DataFrame, model, mask: str = "[secret]", threshold: float = TH
     The secrets of a text are gathered by the text's hash, so a document's id
     may repeat or be null.
     """
-    found = scan(docs.select(F.xxhash64("text").alias("doc_id"), "text").distinct(), model, threshold).filter("is_secret")
-    own = found.groupBy(F.col("doc_id").alias("_hash")).agg(F.collect_set("candidate").alias("_secrets"))
-    out = docs.withColumn("_hash", F.xxhash64("text")).join(own, "_hash", "left")
+    from .repeats import small_or_shuffled
+    from .common import written
+
+    found = scan(docs.select(F.xxhash64("text").alias("doc_id"), "text"), model, threshold).filter("is_secret")
+    own = written(found.groupBy(F.col("doc_id").alias("_hash")).agg(F.collect_set("candidate").alias("_secrets")), "secrets")
+    out = docs.withColumn("_hash", F.xxhash64("text")).join(small_or_shuffled(own, F.size("_secrets") * 8), "_hash", "left")
     # Longer first, so that a secret inside another does not break it.
     clean = F.expr("aggregate(array_sort(_secrets, (a, b) -> length(b) - length(a)), text, (t, s) -> replace(t, s, '" + mask.replace("'", "") + "'))")
     return out.withColumn("text", F.when(F.col("_secrets").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
