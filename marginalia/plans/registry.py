@@ -6,14 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.dialect import SPARK, Sql, needs, plain, run
+from ..operators import graph, ledger, overlap, scan, text, usage
+from .derive import RELATIONS
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+#: Key -> SQL of every operator.
+OPERATORS: dict[str, Sql] = {f.__name__: f for m in (usage, overlap, ledger, graph, scan, text) for f in m.OPS}
+
+
+def relation(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A given table, or a derived relation, as a DataFrame."""
+    known = {} if known is None else known
+    if name not in known:
+        if name in RELATIONS:
+            sql = RELATIONS[name]
+            known[name] = run(spark, sql, **{n: relation(spark, sf_dir, n, known) for n in needs(sql(SPARK))})
+        else:
+            known[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return known[name]
+
+
+def query(sql: Sql) -> Callable[[SparkSession, str], DataFrame]:
+    """The operator over the given tables of a folder."""
+
+    def over(spark: SparkSession, sf_dir: str) -> DataFrame:
+        known: dict[str, DataFrame] = {}
+        return run(spark, sql, **{n: relation(spark, sf_dir, n, known) for n in needs(sql(SPARK))})
+
+    return over
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["join_3_never_invoked_coverer"](spark, sf_dir)
+    return query(usage.join_3_never_invoked_coverer)(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {key: query(sql) for key, sql in OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {key: plain(sql, RELATIONS) for key, sql in OPERATORS.items()}
