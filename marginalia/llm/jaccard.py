@@ -80,12 +80,11 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _sets(batches: Iterator) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Ids and shingle sets of (text, doc_id) batches, a megabyte of text at a time."""
+def _sets(batches: Iterator) -> Iterator[tuple]:
+    """Ids (an Arrow array, as they may be null) and shingle sets of (text, doc_id) batches, a megabyte of text at a time."""
     for b in batches:
-        ids = b.column(1).to_numpy(zero_copy_only=False)
         for lo, hi, data, bounds in buffers(b.column(0)):
-            yield ids[lo:hi], shingle_sets(data, bounds)
+            yield b.column(1).slice(lo, hi - lo), shingle_sets(data, bounds)
 
 
 def points(docs: DataFrame) -> DataFrame:
@@ -108,7 +107,7 @@ def points(docs: DataFrame) -> DataFrame:
             n = np.array([len(s) for s in sets], np.int64)
             s1 = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], np.uint64)
             s2 = np.array([mix(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.nulls(len(n), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.nulls(len(n), pa.int64())], names)
             for s, *sig in zip(sets, n.tolist(), s1.tolist(), s2.tolist()):
                 if tuple(sig) not in seen:
                     seen.add(tuple(sig))
@@ -133,7 +132,7 @@ def first_regions(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         hot = last.value
         for ids, sets in _sets(batches):
             tokens, own, sizes = [], [], []
-            for doc, s in zip(ids, sets):
+            for doc, s in zip(ids.to_pylist(), sets):
                 if not len(s):
                     continue
                 want = len(s) // 4 + 1
@@ -163,7 +162,7 @@ def next_regions(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
         for ids, sets in _sets(batches):
             k = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids.astype(np.int64), k)), pa.array(np.repeat(np.array(k, np.int64), k))], ["region", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids.to_numpy(), k)), pa.array(np.repeat(np.array(k, np.int64), k))], ["region", "doc_id", "n"])
 
     from pyspark.sql import Window as W
 
@@ -184,7 +183,7 @@ def distances(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for ids, sets in _sets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set"])
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
