@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import SPARK, Sql, needs, plain, run
 from ..operators import graph, ledger, overlap, scan, text, usage
+from ..streaming import usage as streams
 from .derive import RELATIONS
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -43,8 +44,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: query(sql) for key, sql in OPERATORS.items()}
+    return {key: query(sql) for key, sql in OPERATORS.items()} | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {key: plain(sql, RELATIONS) for key, sql in OPERATORS.items()}
+    return {key: plain(sql, RELATIONS) for key, sql in OPERATORS.items()} | streams.ORACLE
