@@ -222,4 +222,26 @@ def join_12_orphans(d: Dialect) -> str:
         FROM @file f LEFT JOIN (SELECT DISTINCT skill, target FROM ({dirs}) AS n) AS m ON m.skill = f.skill AND m.target = split_part(f.path, '/', 1) WHERE split_part(f.path, '/', 1) IN ('references', 'scripts', 'assets', 'examples') AND NOT EXISTS (SELECT 1 FROM ({each}) AS m WHERE m.skill = f.skill AND m.target = f.path)"""
 
 
-OPS = (scan_1_instructions, scan_2_execution, agg_1_verdict, top_1_order, top_6_first_block, scan_3_folded, scan_4_hidden_chars, scan_5_homoglyphs, scan_6_html_comments, scan_7_encoded_runs, scan_8_escape_runs, scan_9_unfenced_code, scan_10_imports, scan_12_layout, prj_4_frontmatter, win_8_duplicate_keys, scan_13_frontmatter_checks, scan_14_char_profile, scan_15_line_classes, scan_16_license, prj_1_route, prj_7_excluded, prj_8_withheld, win_6_fence_state, join_11_dead_references, join_12_orphans)
+def scan_1_offsets(d: Dialect) -> str:
+    """Every match of every instruction rule with its line, column and length, in code points.
+
+    Matches and the gaps between them are taken in one pass each; a match's
+    place is the sum of what comes before it.
+    """
+    parts = []
+    for code, sev, surface, j, r in rules():
+        if surface != "text":
+            continue
+        p = _pattern(d, j, r)
+        found = f"(SELECT skill, path, text, {d.all('text', p)} AS hits, {d.split('text', p)} AS gaps FROM @file WHERE {d.like('text', p)})"
+        each = d.exploded(found + (" AS s" if d.name == "spark" else ""), "hits", "skill, path, text, hits, gaps", "hit")
+        if d.name == "spark":
+            at = "aggregate(slice(gaps, 1, pos + 1), 0, (a, g) -> a + length(g)) + aggregate(slice(hits, 1, pos), 0, (a, g) -> a + length(g))"
+        else:
+            at = "coalesce(list_sum(list_transform(gaps[1:pos + 1], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(hits[1:pos], lambda g: length(g))), 0)"
+        parts.append(f"SELECT skill, path, '{code}' AS code, '{sev}' AS sev, text, length(hit) AS length, cast({at} as int) AS off FROM ({each}) AS e")
+    before = "substr(text, 1, off)"
+    return f"SELECT skill, path, code, sev, cast(length({before}) - length(replace({before}, chr(10), '')) as int) + 1 AS line, cast(length(split_part({before}, chr(10), -1)) as int) + 1 AS col, length FROM ({' UNION ALL '.join(parts)}) AS m"
+
+
+OPS = (scan_1_offsets, scan_1_instructions, scan_2_execution, agg_1_verdict, top_1_order, top_6_first_block, scan_3_folded, scan_4_hidden_chars, scan_5_homoglyphs, scan_6_html_comments, scan_7_encoded_runs, scan_8_escape_runs, scan_9_unfenced_code, scan_10_imports, scan_12_layout, prj_4_frontmatter, win_8_duplicate_keys, scan_13_frontmatter_checks, scan_14_char_profile, scan_15_line_classes, scan_16_license, prj_1_route, prj_7_excluded, prj_8_withheld, win_6_fence_state, join_11_dead_references, join_12_orphans)

@@ -132,4 +132,31 @@ def agg_24_record_validation(d: Dialect) -> str:
     return f"SELECT doc_id, CASE WHEN NOT ok THEN 'not a record' WHEN version <> '1' THEN 'version' WHEN state NOT IN ('certified', 'accepted', 'open') THEN 'state' WHEN state = 'certified' AND signer IS NULL THEN 'certified by nobody' END AS violation FROM ({src_8_records(d)}) AS r"
 
 
-OPS = (prj_3_roles, prj_5_held, prj_6_manual_only, prj_12_leaves, agg_19_words, agg_19_turn_words, fn_5_slugs, win_4_anchors, win_7_sections, fn_8_links, fn_8_urls, fn_7_source_url, fn_9_pins, fn_11_safe_names, fn_14_decision_rows, agg_12_contract, agg_13_audit, agg_14_record_gate, agg_15_promotion, agg_23_adapted, src_8_records, agg_24_record_validation)
+def fn_4_fragments(d: Dialect) -> str:
+    """Each package's description on one line, cut at 60 characters with a mark."""
+    flat = d.sub("description", "[ \t\r\n\f\v]+", " ")
+    return f"SELECT skill, CASE WHEN length(f) > 60 THEN concat(substr(f, 1, 60), '…') ELSE f END AS fragment FROM (SELECT skill, trim({flat}) AS f FROM @pkg) AS x"
+
+
+def _pins(d: Dialect) -> str:
+    """Findings to pin: a place in a file and an excerpt, some beyond the file, some of another line."""
+    return "SELECT l.skill, l.path, CASE WHEN l.pos % 5 = 4 THEN l.pos + 100000 ELSE l.pos + 1 END AS line, CASE WHEN l.pos % 3 = 2 THEN 'not on this line' WHEN length(l.line) > 20 THEN concat(substr(l.line, 1, 20), '…') ELSE l.line END AS excerpt FROM @line l"
+
+
+def join_20_pinned(d: Dialect) -> str:
+    """Findings pinned to lines: the line must exist, and its folded text must have the folded excerpt."""
+    fold = lambda x: f"trim({d.sub(x, '[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n' + chr(92) + 'f' + chr(92) + 'v]+', ' ')})"
+    needle = f"rtrim({d.sub(fold('p.excerpt'), '…$', '')})"
+    inside = f"contains({fold('l.line')}, {needle})"
+    return f"SELECT p.skill, p.path, p.line, l.line IS NOT NULL AS on_line, coalesce({needle} <> '' AND {inside}, false) AS excerpt_matches FROM ({_pins(d)}) AS p LEFT JOIN @line l ON l.skill = p.skill AND l.path = p.path AND l.pos + 1 = p.line"
+
+
+def join_19_links(d: Dialect) -> str:
+    """What the links of pages and files point at: a file, a package, an anchor, the outside, or nothing."""
+    files = d.exploded("(SELECT skill, path, text FROM @file)" + (" AS s" if d.name == "spark" else ""), d.all("text", r"(?:references|scripts|[.][.]/doc-[0-9]+)(?:/[A-Za-z0-9._-]+)*", 0), "skill, path", "raw")
+    sibling = d.first("raw", "^[.][.]/([a-z0-9-]+)(?:/SKILL[.]md)?$")
+    return f"""SELECT x.skill, x.path, x.pos, x.raw, CASE WHEN p.skill IS NOT NULL THEN 'node' WHEN x.raw LIKE '../%' THEN 'unresolved' WHEN f.path IS NOT NULL THEN 'file' ELSE 'unresolved' END AS kind
+        FROM (SELECT skill, path, pos, raw, {sibling} AS sibling FROM ({files}) AS y) AS x LEFT JOIN @pkg p ON p.skill = x.sibling LEFT JOIN @file f ON f.skill = x.skill AND f.path = x.raw"""
+
+
+OPS = (fn_4_fragments, join_20_pinned, join_19_links, prj_3_roles, prj_5_held, prj_6_manual_only, prj_12_leaves, agg_19_words, agg_19_turn_words, fn_5_slugs, win_4_anchors, win_7_sections, fn_8_links, fn_8_urls, fn_7_source_url, fn_9_pins, fn_11_safe_names, fn_14_decision_rows, agg_12_contract, agg_13_audit, agg_14_record_gate, agg_15_promotion, agg_23_adapted, src_8_records, agg_24_record_validation)

@@ -47,5 +47,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {key: query(sql) for key, sql in OPERATORS.items()} | streams.QUERIES
 
 
+def _parsed(d) -> str:
+    return f"SELECT {d.valid_json('line')} AS ok, count(*) AS n FROM @transcript GROUP BY {d.valid_json('line')}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {key: plain(sql, RELATIONS) for key, sql in OPERATORS.items()} | streams.ORACLE
+    return {key: plain(sql, RELATIONS) for key, sql in OPERATORS.items()} | streams.ORACLE | {"strm_1_parsed_lines": plain(_parsed, RELATIONS)}
