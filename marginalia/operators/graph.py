@@ -50,7 +50,7 @@ def join_18_resolution(d: Dialect) -> str:
 
 
 def join_21_dangling(d: Dialect) -> str:
-    return "SELECT 'from' AS side, l.a AS id, l.kind FROM @link l WHERE NOT EXISTS (SELECT 1 FROM @node n WHERE n.id = l.a) UNION ALL SELECT 'to', l.b, l.kind FROM @link l WHERE NOT EXISTS (SELECT 1 FROM @node n WHERE n.id = l.b)"
+    return "SELECT 'from' AS side, l.a AS id, l.kind FROM @link l WHERE NOT EXISTS (SELECT 1 FROM @node n WHERE n.id = l.a AND n.kind <> 'ghost') UNION ALL SELECT 'to', l.b, l.kind FROM @link l WHERE NOT EXISTS (SELECT 1 FROM @node n WHERE n.id = l.b AND n.kind <> 'ghost')"
 
 
 def join_22_manual_operative(d: Dialect) -> str:
