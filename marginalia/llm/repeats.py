@@ -167,10 +167,35 @@ def small_or_shuffled(side: DataFrame, numbers: Column) -> DataFrame:
 
 #: Bits of an entry's number of starts and level in the packed place.
 _N, _L = 9, 3
+#: Bits of the number in a run's place.
+_RUN = 31
+
+
+def _combined(doc, core, span, start, n, level) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Entries of a buffer, of which level 0 ones that repeat in it are taken apart.
+
+    Text of one short period has no triggers, and few different strings at very
+    many places.  Returned: which entries stay; one entry of each string that
+    repeats; and the runs (text, first start, number) of these strings' starts.
+    """
+    bare = np.flatnonzero(level == 0)
+    _, first, back, times = np.unique(core[bare] + span[bare] * _M1, return_index=True, return_inverse=True, return_counts=True)
+    again = bare[times[back] > 1]
+    stay = np.ones(len(core), bool)
+    stay[again] = False
+    again = again[np.lexsort((start[again], doc[again]))]
+    d, f = doc[again], start[again]
+    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (f[1:] != f[:-1] + 1)])) if len(again) else np.empty(0, np.int64)
+    return np.flatnonzero(stay), bare[first[times > 1]], (d[new], f[new], np.diff(np.concatenate([new, [len(again)]])))
 
 
 def entries(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(core, span, key, place) of every trigger and distance of every text."""
+    """(core, span, key, place) of every trigger and distance of every text.
+
+    Strings without a trigger that repeat within a megabyte of text are combined
+    there: two rows without key and place stand for each such string, and rows
+    without core and span (place: first start and number) for where it starts.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -181,8 +206,17 @@ def entries(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if len(data) < length:
                     continue
                 doc, core, span, start, n, level = parse(data, bounds, length)
-                place = (start << (_N + _L)) | (n << _L) | level
-                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(span.view(np.int64)), pa.array(keys[lo:hi][doc]), pa.array(place)], ["core", "span", "key", "place"])
+                stay, one, (d, f, k) = _combined(doc, core, span, start, n, level)
+                two = np.repeat(one, 2)
+                none, known = pa.nulls(len(two), pa.int64()), pa.nulls(len(d), pa.int64())
+                hashes = np.concatenate([stay, two])
+                own = keys[lo:hi]
+                place = (start[stay] << (_N + _L)) | (n[stay] << _L) | level[stay]
+                whole = lambda *parts: pa.concat_arrays([p if isinstance(p, pa.Array) else pa.array(p, pa.int64()) for p in parts])
+                yield pa.RecordBatch.from_arrays([
+                    whole(core[hashes].view(np.int64), known), whole(span[hashes].view(np.int64), known),
+                    whole(own[doc[stay]], none, own[d]), whole(place, none, (f << _RUN) | k),
+                ], ["core", "span", "key", "place"])
 
     return docs.select("text", "key").mapInArrow(run, "core long, span long, key long, place long")
 
@@ -220,13 +254,17 @@ def expanded(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFr
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, list of (first, n)): the starts of repeated strings of each text that has some."""
     all_entries = entries(docs, length)
-    cores = all_entries.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
-    found = written(all_entries.join(cores, "core"), "entries")
+    # Written first, so that a frequent core's entries can be split in the join.
+    cores = all_entries.filter("core IS NOT NULL").groupBy("core").agg(F.count("*").alias("n")).filter("n > 1")
+    cores = written(cores.select("core", F.lit(True).alias("again")), "cores")
+    kept = written(all_entries.join(cores, "core", "left").filter("again OR core IS NULL").drop("again"), "entries")
+    found = kept.filter("core IS NOT NULL")
+    runs = kept.filter("core IS NULL").select("key", F.shiftright("place", _RUN).alias("first"), F.col("place").bitwiseAND((1 << _RUN) - 1).alias("n"))
     spans = found.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("rep"))
     spans = written(spans, "spans")
     first = F.shiftright("place", _N + _L).alias("first")
     number = (F.shiftright("place", _L).bitwiseAND((1 << _N) - 1)).alias("n")
-    whole = found.join(spans.filter("n > 1").select("core", "span"), ["core", "span"]).select("key", first, number)
+    whole = found.filter("place IS NOT NULL").join(spans.filter("n > 1").select("core", "span"), ["core", "span"]).select("key", first, number).unionAll(runs)
     # Where a core has one span only, nothing is left to tell apart.
     mixed = spans.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core")
     # The lowest bits of a place are the level; level 0 strings are whole already.
