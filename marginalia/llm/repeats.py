@@ -41,6 +41,8 @@ TRIGGER, EVERY = 24, 48
 STEP = 100
 #: Numbers in a side of a join that is sent to all tasks; a larger one is shuffled.
 SMALL = 4_000_000
+#: The same for lists of places, which are nearly always shuffled: they grow with the corpus.
+FEW = 100_000
 
 _MASK = (1 << 64) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -159,10 +161,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return own_columns(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("key"))
 
 
-def small_or_shuffled(side: DataFrame, numbers: Column) -> DataFrame:
-    """``side`` with a broadcast hint if it has few numbers in all; else as it is, to be shuffled."""
+def small_or_shuffled(side: DataFrame, numbers: Column, most: int = SMALL) -> DataFrame:
+    """``side`` with a broadcast hint if it has ``most`` numbers in all at most; else as it is, to be shuffled."""
     total = side.agg(F.sum(numbers).alias("n")).first().n or 0
-    return F.broadcast(side) if total <= SMALL else side
+    return F.broadcast(side) if total <= most else side
 
 
 #: Bits of an entry's number of starts and level in the packed place.
@@ -247,7 +249,7 @@ def expanded(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFr
                     pa.array(start), pa.array(np.repeat(alone, n)),
                 ], ["core", "whole", "key", "start", "alone"])
 
-    joined = docs.join(small_or_shuffled(wanted, F.size("list") + 1), "key")
+    joined = docs.join(small_or_shuffled(wanted, F.size("list") + 1, FEW), "key")
     return joined.select("text", "key", "list").mapInArrow(run, "core long, whole long, key long, start long, alone boolean")
 
 
@@ -281,7 +283,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every document."""
     base = _keyed(docs)
     starts = written(repeated_starts(base, length), "repeats")
-    joined = base.join(small_or_shuffled(starts, F.size("list") + 1), "key", "left").select("doc_id", "text", "list")
+    joined = base.join(small_or_shuffled(starts, F.size("list") + 1, FEW), "key", "left").select("doc_id", "text", "list")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -325,7 +327,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     base = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     starts = written(repeated_starts(_keyed(docs), length), "repeats").withColumnRenamed("key", "_key")
-    joined = base.join(small_or_shuffled(starts, F.size("list") + 1), "_key", "left")
+    joined = base.join(small_or_shuffled(starts, F.size("list") + 1, FEW), "_key", "left")
 
     @F.pandas_udf("string")
     def cut(texts, lists):
