@@ -10,9 +10,11 @@ Documents link when 4 * |x & y| >= 3 * |x | y|, a Jaccard distance of 0.25 or le
   common: that window says into which regions a set must be replicated.  The
   order takes rare shingles before those seen to be frequent, then goes by hash.
   Any order gives the same links; a good one keeps regions small.
-* In a region of up to ``least`` sets, those in each other's size window are
-  compared.  A larger one takes a document as pivot, the distance of every
-  member to it is computed, and those within 0.25 are linked to it.  The rest,
+* Each region takes a document as pivot, the distance of every member to it is
+  computed, and those within 0.25 are linked to it.  Pairs that share too few
+  regions for a distance of 0.25 are told from the windows alone.  In a region
+  of up to ``least`` sets, those of different components in each other's size
+  window are then compared; in a larger one, the rest,
   and the linked members whose distance is within 0.25 of the nearest of the
   rest (the triangle inequality's window), are the next round's points: with
   exact frequencies among themselves and a larger ``least``, so rounds end.
@@ -40,9 +42,9 @@ from .repeats import Hasher, buffers, mix, small_or_shuffled
 
 SHINGLE = 5
 #: Members of a region that are compared with each other, in the first round; four times as many in each next one.
-LEAST = 8
+LEAST = 16
 #: A shingle in this many sets of one task, and in this many in all, is put last; at most so many shingles are.
-SEEN, OFTEN, HOT = 3, 12, 1_000_000
+SEEN, OFTEN, HOT = 2, 8, 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -198,39 +200,79 @@ def distances(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 either.append(len(x) + len(y) - n)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
 
-    pairs = written(pairs.distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = written(docs.join(small_or_shuffled(ids, F.lit(1)), "doc_id").select("text", "doc_id").mapInArrow(pack, "doc_id long, set binary"), "sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(measure, "a long, b long, both long, either long")
 
 
-_WINDOW = "least(n, m) * 4 >= greatest(n, m) * 3"
+_WINDOW, _LINKED = "least(n, m) * 4 >= greatest(n, m) * 3", "100 * both >= 75 * either"
 
 
-def _round(docs: DataFrame, members: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Links found in regions (region, doc_id, n), and the regions' members that the next round needs."""
+def _measured(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, n, m) with their bound, and the distances of those that could link."""
+    pairs = written(_bounded(pairs.distinct(), members), "pairs")
+    return pairs, written(distances(docs, pairs.filter("7 * most >= 3 * (n + m)").select("a", "b")), "distances")
+
+
+def _round(docs: DataFrame, members: DataFrame, links: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Stars of the components so far, and the members of regions that the next round needs.
+
+    First every region's pivot is compared with its members.  What that has put
+    into one component needs no further comparing, so a large group of near
+    copies costs a star for each region, not its pairs.
+    """
     sign = lambda seed: F.bit_xor(F.xxhash64("doc_id", F.lit(seed)))
-    regions = members.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc_id", F.lit(least)), "doc_id", "n")).alias("p"), sign(1).alias("x1"), sign(2).alias("x2"))
+    regions = members.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("p"), sign(1).alias("x1"), sign(2).alias("x2"))
     # Regions with the same members are one.
     one = regions.filter("size > 1").groupBy("size", "x1", "x2").agg(F.min("region").alias("region"), F.first("p").alias("p"))
     one = written(one.select("region", "size", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("m")), "regions")
     own = written(members.join(small_or_shuffled(one, F.lit(4)), "region"), "members")
-    few = own.filter(F.col("size") <= least)
-    other = few.select("region", F.col("doc_id").alias("b"), F.col("n").alias("m"))
-    compared = few.drop("m").join(other, "region").filter("doc_id < b and " + _WINDOW).select(F.col("doc_id").alias("a"), "b")
-    large = own.filter((F.col("size") > least) & (F.col("doc_id") != F.col("pivot")))
-    near = large.filter(_WINDOW).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    known = written(distances(docs, compared.unionAll(near)), "distances")
-    links = known.filter("100 * both >= 75 * either").select("a", "b")
-    # Members outside the size window are farther than their sizes' ratio says.
-    d = F.coalesce(1 - F.col("both") / F.col("either"), 1 - F.least("n", "m") / F.greatest("n", "m"))
-    far = large.withColumnsRenamed({"pivot": "a", "doc_id": "b"}).join(known, ["a", "b"], "left").select("region", F.col("b").alias("doc_id"), d.alias("d"), F.coalesce(F.expr("100 * both >= 75 * either"), F.lit(False)).alias("linked"))
+    far = own.filter(F.col("doc_id") != F.col("pivot"))
+    near = far.filter(_WINDOW).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"))
+    pairs, known = _measured(docs, near, members)
+    links = _stars(links.unionByName(known.filter(_LINKED).select("a", "b")))
+
+    of = links.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
+    placed = own.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = placed.groupBy("region").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("region")
+    placed = written(placed.join(small_or_shuffled(several, F.lit(1)), "region"), "open")
+
+    few = placed.filter((F.col("size") <= least) & (F.col("size") > 2)).drop("m")
+    other = few.select("region", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
+    compared = few.join(other, "region").filter("doc_id < b and component <> c and " + _WINDOW).select(F.col("doc_id").alias("a"), "b", "n", "m")
+    _, more = _measured(docs, compared, members)
+    links = _stars(links.unionByName(more.filter(_LINKED).select("a", "b")))
+
+    # Where no distance was computed: the least that the shared regions, or the sizes, allow.
+    large = placed.filter((F.col("size") > least) & (F.col("doc_id") != F.col("pivot"))).withColumnsRenamed({"pivot": "a", "doc_id": "b"})
+    bound = pairs.select("a", "b", (1 - F.col("most") / (F.col("n") + F.col("m") - F.col("most"))).alias("bound"))
+    d = F.coalesce(1 - F.col("both") / F.col("either"), "bound", 1 - F.least("n", "m") / F.greatest("n", "m"))
+    far = large.join(bound, ["a", "b"], "left").join(known, ["a", "b"], "left").select("region", F.col("b").alias("doc_id"), d.alias("d"), F.coalesce(F.expr(_LINKED), F.lit(False)).alias("linked"))
     nearest = far.filter("not linked").groupBy("region").agg(F.min("d").alias("nearest"))
     left = far.join(nearest, "region").filter("not linked or d + 0.25 + 1e-9 >= nearest").select("region", "doc_id")
     return links, left
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """Edges from every id to the least one that it reaches."""
+    return components(links).filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
+def _bounded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b, n, m) with ``most``, which their sets' intersection cannot exceed.
+
+    Of two windows in one order, the one that ends first has all its set's
+    shingles up to there, so what the sets share beyond the shared regions comes
+    from after its end: n - (floor(n / 4) + 1) shingles at most, or so for m.
+    """
+    x = members.select(F.col("doc_id").alias("a"), "region")
+    y = members.select(F.col("doc_id").alias("b"), "region")
+    shared = pairs.select("a", "b").join(x, "a").join(y, ["b", "region"]).groupBy("a", "b").agg(F.count("*").alias("c"))
+    rest = F.greatest(F.expr("n - n div 4 - 1"), F.expr("m - m div 4 - 1"))
+    return pairs.join(shared, ["a", "b"]).select("a", "b", "n", "m", F.least(F.col("c") + rest, "n", "m").alias("most"))
+
+
 def joined(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     base = own_columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -248,18 +290,17 @@ def joined(docs: DataFrame, least: int = LEAST) -> DataFrame:
     reps = base.filter("doc_id is not null").join(small_or_shuffled(others, F.lit(1)), "doc_id", "left_anti")
 
     members = first_regions(reps, hot)
-    shared = members.groupBy("region").agg(F.count("*").alias("k")).filter("k > 1").select("region")
+    shared = written(members.groupBy("region").agg(F.count("*").alias("k")).filter("k > 1").select("region"), "shared")
     members = written(members.join(small_or_shuffled(shared, F.lit(1)), "region").distinct(), "members")
     links = same
     while True:
-        found, left = _round(base.filter("doc_id is not null"), members, least)
-        links = links.unionByName(found)
-        ids = components(links)
-        left = left.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        links, left = _round(base.filter("doc_id is not null"), members, links, least)
+        ids = links.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
+        left = left.join(ids, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         open_ = left.groupBy("region").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("region")
         left = written(left.join(open_, "region").select("doc_id").distinct(), "left")
         if left.isEmpty():
             break
         least *= 4
         members = written(next_regions(base.filter("doc_id is not null"), left).distinct(), "members")
-    return own.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return own.join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
