@@ -38,10 +38,12 @@ BLOCK, CONTAINER = 2048, 4_000_000
 MAGIC = b"IDMIX1\n\0"
 
 #: log2 of: the scaled counts' total, the mixed distribution's total, slots of the order-1 and order-2 tables of a block.
-COUNTS, TOTAL, SLOTS = 18, 20, 11
+COUNTS, TOTAL, SLOTS = 18, 20, 9
 #: States of a prediction: 0 none yet, then how many times in a row it held, plus one.
 STATES = 5
 _TOP, _LOW = np.uint64(1 << 48), np.uint64((1 << 32) - 1)
+#: Odd numbers that mix the last two ids into a slot.
+_HASH = np.array([[40503], [60493]])
 _16, _48 = np.uint64(16), np.uint64(48)
 
 
@@ -57,65 +59,77 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """The predictions of all blocks of a container, at one place of each."""
+    """The predictions of all blocks of a container, at one place of each; first axis: order 1, order 2."""
 
     def __init__(self, lanes: int, cum: np.ndarray):
         self.cum = cum
         self.n = lanes
-        self.base = np.arange(lanes, dtype=np.int64) << SLOTS
-        self.next = [np.zeros(lanes << SLOTS, np.uint16) for _ in (1, 2)]
-        self.state = [np.zeros(lanes << SLOTS, np.uint8) for _ in (1, 2)]
-        # Chance, of 2**16, that a prediction in a state holds; state 0 predicts nothing.
-        start = np.array([0, 4000, 20000, 40000, 52000], np.int32)
-        self.chance = [np.tile(start, lanes) for _ in (1, 2)]
-        self.row = np.arange(lanes, dtype=np.int64) * STATES
-        self.last = [np.zeros(lanes, np.int64) for _ in (1, 2)]
+        # A slot has a state, above 16 bits, and the id that last followed.
+        self.table = np.zeros(2 * lanes << SLOTS, np.int32)
+        self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) << SLOTS
+        # Chance, of 2**16, that a prediction in a state holds.
+        self.chance = np.tile(np.array([0, 4000, 20000, 40000, 52000], np.int32), 2 * lanes)
+        self.row = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * STATES
+        self.last = np.zeros((2, lanes), np.int64)
 
     def keep(self, n: int) -> None:
         """Only the first n blocks go on."""
         if n < self.n:
-            self.n, self.base, self.row = n, self.base[:n], self.row[:n]
-            self.last = [x[:n] for x in self.last]
+            self.n = n
+            self.base, self.row, self.last = (np.ascontiguousarray(x[:, :n]) for x in (self.base, self.row, self.last))
 
     def predict(self) -> None:
-        a, b = self.last
-        mask = (1 << SLOTS) - 1
-        self.at = [self.base + ((a * 40503 >> 4) & mask), self.base + (((a * 40503 + b * 60493) >> 5) & mask)]
-        self.c1, self.c2 = (t[i].astype(np.int64) for t, i in zip(self.next, self.at))
-        self.s = [t[i] for t, i in zip(self.state, self.at)]
-        self.cell = [self.row + s for s in self.s]
-        p1, p2 = (c[i].astype(np.int64) for c, i in zip(self.chance, self.cell))
+        at = self.last * _HASH
+        at[1] += at[0]
+        at >>= 5
+        at &= (1 << SLOTS) - 1
+        at += self.base
+        slot = self.table[at]
+        self.at, self.c, self.s = at, slot & 0xFFFF, slot >> 16
+        self.cell = self.row + self.s
+        self.p = self.chance[self.cell]
         # Shares of 2**TOTAL; order 0 keeps a quarter at least.
         most = 3 << (TOTAL - 2)
-        self.a2 = p2 * most >> 16
-        self.a1 = (most - self.a2) * p1 >> 16
+        self.a2 = self.p[1].astype(np.int64) * most >> 16
+        self.a1 = (most - self.a2) * self.p[0] >> 16
         self.a0 = (1 << TOTAL) - self.a1 - self.a2
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each id's part of the mixed distribution begins, and how long it is."""
-        lo, hi = self.cum[ids] * self.a0 >> COUNTS, self.cum[ids + 1] * self.a0 >> COUNTS
-        size = hi - lo + self.a1 * (ids == self.c1) + self.a2 * (ids == self.c2)
-        return lo + self.a1 * (ids > self.c1) + self.a2 * (ids > self.c2), size
+        lo, hi = self.cum[ids] * self.a0, self.cum[ids + 1] * self.a0
+        lo >>= COUNTS
+        hi >>= COUNTS
+        hi -= lo
+        c1, c2 = self.c
+        hi += self.a1 * (ids == c1)
+        hi += self.a2 * (ids == c2)
+        lo += self.a1 * (ids > c1)
+        lo += self.a2 * (ids > c2)
+        return lo, hi
 
     def find(self, target: np.ndarray, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id whose part has the target, with its interval."""
-        lo1, n1 = self.interval(self.c1)
-        lo2, n2 = self.interval(self.c2)
-        rest = target - self.a1 * (target >= lo1 + n1) - self.a2 * (target >= lo2 + n2)
-        at = np.clip((((rest + 1) << COUNTS) - 1) // self.a0, 0, (1 << COUNTS) - 1)
-        ids = lookup[at].astype(np.int64)
-        ids = np.where((target >= lo1) & (target < lo1 + n1), self.c1, ids)
-        ids = np.where((target >= lo2) & (target < lo2 + n2), self.c2, ids)
+        (lo1, n1), (lo2, n2) = self.interval(self.c[0]), self.interval(self.c[1])
+        n1 += lo1
+        n2 += lo2
+        rest = target - self.a1 * (target >= n1)
+        rest -= self.a2 * (target >= n2)
+        rest += 1
+        rest <<= COUNTS
+        rest -= 1
+        rest //= self.a0
+        ids = lookup[np.minimum(rest, (1 << COUNTS) - 1)]
+        ids = np.where((target >= lo1) & (target < n1), self.c[0], ids)
+        ids = np.where((target >= lo2) & (target < n2), self.c[1], ids)
         return ids, *self.interval(ids)
 
     def learn(self, ids: np.ndarray) -> None:
-        for t, state, chance, at, s, cell, c in zip(self.next, self.state, self.chance, self.at, self.s, self.cell, (self.c1, self.c2)):
-            held = c == ids
-            p = chance[cell]
-            chance[cell] = np.where(s > 0, p + ((held * np.int32(65535) - p) >> 5), p)
-            state[at] = np.where(held & (s > 0), np.minimum(s + 1, STATES - 1), 1)
-            t[at] = ids
-        self.last = [ids, self.last[0]]
+        held = self.c == ids
+        self.chance[self.cell] = self.p + ((held * np.int32(65535) - self.p) >> 5)
+        state = np.minimum(self.s * held + 1, STATES - 1)
+        self.table[self.at] = (state << 16) | ids
+        self.last[1] = self.last[0]
+        self.last[0] = ids
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, list[bytes]]:
@@ -124,7 +138,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, list[bytes]
     lanes = -(-len(ids) // block)
     if not lanes:
         return counts, []
-    table = np.zeros((lanes, block), np.int64)
+    table = np.zeros((lanes, block), np.int32)
     table.ravel()[: len(ids)] = ids
     table = np.ascontiguousarray(table.T)
     tail = len(ids) - (lanes - 1) * block
@@ -173,7 +187,7 @@ def decode(counts: np.ndarray, blocks: list[bytes], n_ids: int, block: int = BLO
     if not lanes:
         return np.empty(0, np.int64)
     cum = scaled(counts)
-    lookup = np.repeat(np.arange(len(counts), dtype=np.uint16), np.diff(cum))
+    lookup = np.repeat(np.arange(len(counts), dtype=np.int32), np.diff(cum))
     room = max(map(len, blocks)) // 2 + 8
     words = np.zeros((lanes, room), np.uint64)
     for j, b in enumerate(blocks):
@@ -219,7 +233,7 @@ def decode(counts: np.ndarray, blocks: list[bytes], n_ids: int, block: int = BLO
 
 def pack_container(docs: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
     """One container: magic, index, counts, blocks; every part with its crc32."""
-    counts, blocks = encode(ids.astype(np.int64))
+    counts, blocks = encode(ids)
     known = np.array([d is not None for d in docs], np.uint8)
     index = np.array([d or 0 for d in docs], "<i8").tobytes() + known.tobytes() + sizes.astype("<u4").tobytes()
     parts = [zlib.compress(index, 1), zlib.compress(counts.astype("<u4").tobytes(), 1)]
