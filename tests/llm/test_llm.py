@@ -265,6 +265,26 @@ def test_media_shards_are_tar_files(spark, tmp_path):
     assert {(r.digest, r.width, r.height) for r in heads} == {("d1", 64, 1), ("d2", 64, 2)}
 
 
+def test_secrets_beside_their_names(spark):
+    h = hashlib.sha256(b"beside").hexdigest()
+    ghp, mixed, long_name = "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "AbCdEfGhIjKlMnOpQrStUvWxYzabcdef", "SERVICE_2_ACCESS_KEY"
+    secret = {0: f"API_KEY={h[:40]}", 1: f"see https://x.example/a?access_token={ghp}&page=2", 2: 'password: "hunter2-Tr0ub"', 3: f'token = "{mixed}"', 4: f"export {long_name}={h[:32]}", 5: "password=hunter2-Tr0ub"}
+    want = {0: h[:40], 1: ghp, 2: "hunter2-Tr0ub", 3: mixed, 4: h[:32], 5: "hunter2-Tr0ub"}
+    plain = {6: "password: required", 7: "the access control of another management", 8: "Summary: something between", 9: f"commit={h[:40]}", 10: "date: 2024-01-02", 11: "tokens of fourteen letters"}
+    rows = {**secret, **plain}
+    model = secrets.train(secrets.default_findings(spark))
+    found = secrets.scan(spark.createDataFrame(list(rows.items()), EMPTY), model).collect()
+    assert {(r.doc_id, r.candidate) for r in found if r.is_secret} == set(want.items())
+    assert all(rows[r.doc_id][r.pos : r.pos + len(r.candidate)] == r.candidate and rows[r.doc_id][: r.pos].endswith(r.before) and len(r.before) == min(r.pos, secrets.NEAR) for r in found)
+    assert {r.doc_id for r in found} >= {6, 7, 8, 9, 10} and 11 not in {r.doc_id for r in found}
+    # Padding belongs to a candidate and counts to its length, a name before '=' does not.
+    padded = spark.createDataFrame([(0, "of aGVsbG8gd29y1A== here"), (1, "x1234567890123=y1")], EMPTY)
+    assert [(r.doc_id, r.candidate) for r in secrets.candidates(padded).collect()] == [(0, "aGVsbG8gd29y1A==")]
+    # A short secret is masked where it stands by itself, not inside other words.
+    clean = secrets.redact(spark.createDataFrame([(0, "password=hunter2-Tr0ub or hunter2-Tr0ub, not xhunter2-Tr0uby")], EMPTY), model, mask="<$1>").first().text
+    assert clean == "password=<$1> or <$1>, not xhunter2-Tr0uby"
+
+
 def test_secrets(spark):
     model = secrets.train(secrets.default_findings(spark, 60), trees=12)
     h = hashlib.sha256(b"x").hexdigest()
