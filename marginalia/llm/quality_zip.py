@@ -7,8 +7,10 @@ large where the text looks like the good texts.  A logistic curve over the
 mean, the least and the spread of these differences makes the score.
 
 Fitting takes a bounded sample of labelled documents (``limit``, picked by a
-hash of the id): half builds the dictionaries, half fits the curve.  Scoring
-takes every segment of every text.
+hash of the id): half builds the dictionaries, half fits the curve.  Every text
+of the first half has its start, middle and end in its kind's dictionary, about
+300 bytes of a long one where texts are many; so both dictionaries have a million
+bytes at most.  Scoring takes every segment of every text.
 
 Each case has a result: null and empty texts have no segments and get the
 curve's value at zeros; no labelled rows, or labels of one kind, give that
@@ -18,6 +20,7 @@ each; other columns of the input are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,8 @@ from .common import own_columns, pick_labelled
 #: Labelled documents that fitting takes at most.
 LIMIT = 6000
 SEGMENT = 1500
-DICTIONARY = 64_000
+#: Bytes of a dictionary, or so many for each of its texts if that is more.
+DICTIONARY, EACH = 64_000, 300
 LEVEL = 3
 THRESHOLD = 0.7
 FEATURES = 4
@@ -66,20 +70,23 @@ class Pair:
         return [mean, min(d), max(d), min(sum(g), sum(b)) / len(raw)]
 
 
-def build(texts: list[str], size: int = DICTIONARY) -> bytes:
-    """A dictionary of parts spread over the texts, so that each adds a little."""
-    raw = [t.encode() for t in texts if t]
+def build(texts: list[str], size: int = DICTIONARY, each: int = EACH) -> bytes:
+    """A dictionary of ``size`` bytes at most, or ``each`` a text if that is more: the start, middle and end of every text.
+
+    Shares are equal, but what short texts leave over goes to longer ones.
+    """
+    raw = [t.encode("utf-8", "replace") for t in texts if t]
     if not raw:
         return b" " * 8
-    each, out = max(200, size // len(raw)), []
-    total = 0
-    for r in raw:
-        for at in (0, max(0, len(r) // 2 - each // 4), max(0, len(r) - each // 2)):
-            out.append(r[at : at + each // 2])
-            total += len(out[-1])
-        if total >= size:
-            break
-    return b"\n".join(out)[:size]
+    left, out = max(size, each * len(raw)) - 3 * len(raw), {}
+    for k, i in enumerate(sorted(range(len(raw)), key=lambda i: len(raw[i]))):
+        r, share = raw[i], left // (len(raw) - k)
+        if len(r) > share:
+            third, middle = share // 3, (len(r) - share // 3) // 2
+            r = b"\n".join((r[:third], r[middle : middle + third], r[-third:]))
+        out[i] = r
+        left -= min(len(raw[i]), share)
+    return b"\n".join(out[i] for i in range(len(raw)))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +106,9 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarra
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = LIMIT) -> dict:
     """Dictionaries and curve from the labelled rows for which ``usable`` holds."""
-    rows = sorted((r.doc_id, r.text, r.label) for r in pick_labelled(docs, labels, "quality", usable, limit).collect())
+    rows = [(r.doc_id, r.text, r.label) for r in pick_labelled(docs, labels, "quality", usable, limit).collect()]
+    # By a hash, as ids may go by source or language.
+    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
     y = np.array([r[2] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return {"good": b" " * 8, "bad": b" " * 8, "mean": np.zeros(FEATURES), "scale": np.ones(FEATURES), "w": np.array([0.0] * FEATURES + [0.0 if not len(y) else 6.0 * (2 * y[0] - 1)])}
@@ -115,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = LIMIT)
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score and predicted of every document; a narrow job."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes, or EACH * LIMIT / 2 in all if that is more
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -327,6 +327,17 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in toxicity.score(frame(spark, rows), none).collect()} == {0.5}
 
 
+def test_quality_dictionary_has_all_texts():
+    texts = [f"<{i:06d}>" * (30 + i % 50) for i in range(1500)]
+    got = quality_zip.build(texts)
+    assert len(got) <= quality_zip.EACH * 1500 and all(f"<{i:06d}>".encode() in got for i in range(1500))
+    # One long text has its start, middle and end in it; short ones are whole, and what they leave goes to long ones.
+    got = quality_zip.build(["start" + "a" * 50_000 + "middle" + "b" * 50_000 + "end"])
+    assert got.startswith(b"start") and b"middle" in got and got.endswith(b"end") and len(got) <= quality_zip.DICTIONARY
+    got = quality_zip.build(["x", "short text", "c" * 70_000])
+    assert b"short text" in got and quality_zip.DICTIONARY - 8 <= len(got) <= quality_zip.DICTIONARY
+
+
 def test_quality_held_out(spark):
     rows, bad = labelled()
     rows += [None, ""]
