@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm.common import crc_of_id, new_path, own_columns
+from marginalia.llm.common import crc_of_id, new_path, own_columns, written
 from marginalia.llm.queries import table, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,12 +27,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each group of linked documents the one with the least id stays; of equal ids one row."""
+    """Operator 1: of each group of linked documents the one with the least id stays; of equal ids one row.
+
+    Of rows with one id the greatest by text stays, so not one without text;
+    only these rows are gathered.  Rows with a null id all stay.
+    """
     from marginalia.llm.jaccard import joined
     from marginalia.llm.repeats import small_or_shuffled
 
     groups = joined(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return own_columns(docs, *COLUMNS).join(small_or_shuffled(groups, F.lit(1)), "doc_id", "left_anti").select(*COLUMNS)
+    kept = own_columns(docs, *COLUMNS).join(small_or_shuffled(groups, F.lit(1)), "doc_id", "left_anti")
+    again = written(own_columns(docs, "doc_id").filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "same-id")
+    again = small_or_shuffled(again, F.lit(1))
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

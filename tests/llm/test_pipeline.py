@@ -44,6 +44,16 @@ def test_stages_take_effect(spark, tmp_path):
     assert set(seen["packing"]) == set(seen["secrets"])
 
 
+def test_one_row_of_each_id_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text), (3, "one text of its own"), (3, "two quite other words"), (3, None), (4, "alone here"), (None, "no id"), (None, "no id"), (5, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    want = [(None, "no id"), (None, "no id"), (1, text), (3, "two quite other words"), (4, "alone here"), (5, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     sf = f"file://{tmp_path}"
     corpus(spark, sf)
