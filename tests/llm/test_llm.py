@@ -327,6 +327,13 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in toxicity.score(frame(spark, rows), none).collect()} == {0.5}
 
 
+def test_language_counts_all_words():
+    for k, (name, known) in enumerate(toxicity.FUNCTION_WORDS.items()):
+        word = next(w for w in known.split() if not any(w in v.split() for n, v in toxicity.FUNCTION_WORDS.items() if n != name))
+        assert toxicity.language(["xyzzy", word] * 2000) == k
+        assert toxicity.language(["xyzzy"] * 9998 + [word, "xyzzy"]) == k
+
+
 def test_quality_dictionary_has_all_texts():
     texts = [f"<{i:06d}>" * (30 + i % 50) for i in range(1500)]
     got = quality_zip.build(texts)
