@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from .common import written
+from .common import new_path, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,18 +13,17 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating stars: in turn, each node's larger and smaller neighbours are
     linked to its least one, until nothing changes; the number of rounds grows
     with the logarithm of the longest path.  Least neighbours are aggregates
-    that combine before they move, and joins with them split hot nodes.
+    that combine before they move, and joins with them split hot nodes.  Null
+    ends, loops and repeated edges count for nothing; no edges give no rows.
     """
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(now)
+    now, mark = _marked(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while mark[0]:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        now = written(small, "edges")
-        new = _mark(now)
+        now, new = _marked(small)
         if new == mark:
             break
         mark = new
@@ -33,7 +32,25 @@ def components(edges: DataFrame) -> DataFrame:
     return least.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Number of edges and an order-free hash of them."""
-    r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return r.n, r.x
+def joined_components(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(doc_id, component) after ``links`` (a, b) are added to ``known``, which has the same columns.
+
+    Links are moved to the components that their ends are known to have, so only
+    what joins two components is walked.  An id in neither is its own component.
+    """
+    if known is None:
+        return written(components(links).select(F.col("id").alias("doc_id"), "component"), "components")
+    of = lambda end: known.select(F.col("doc_id").alias(end), F.col("component").alias(f"of_{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = components(ends).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    before = known.join(moved, "component", "left").select("doc_id", F.coalesce("least", "component").alias("component"))
+    new = moved.select(F.col("component").alias("doc_id"), F.col("least").alias("component"))
+    return written(before.unionByName(new).groupBy("doc_id").agg(F.min("component").alias("component")), "components")
+
+
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, with their number and an order-free hash of them, which the write counts."""
+    seen = Observation()
+    spark, path = edges.sparkSession, new_path(edges.sparkSession, "edges")
+    edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).write.parquet(path)
+    return spark.read.schema(edges.schema).parquet(path), (seen.get["n"], seen.get["x"])

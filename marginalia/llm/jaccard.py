@@ -9,18 +9,22 @@ Documents link when 4 * |x & y| >= 3 * |x | y|, a Jaccard distance of 0.25 or le
   sets share, the first floor(n / 4) + 1 shingles of two linked sets have one in
   common: that window says into which regions a set must be replicated.  The
   order takes rare shingles before those seen to be frequent, then goes by hash.
-  Any order gives the same links; a good one keeps regions small.
-* Each region takes a document as pivot, the distance of every member to it is
-  computed, and those within 0.25 are linked to it.  Pairs that share too few
-  regions for a distance of 0.25 are told from the windows alone.  In a region
-  of up to ``least`` sets, those of different components in each other's size
-  window are then compared; in a larger one, the rest,
-  and the linked members whose distance is within 0.25 of the nearest of the
-  rest (the triangle inequality's window), are the next round's points: with
-  exact frequencies among themselves and a larger ``least``, so rounds end.
-* Regions whose points already have one component are left out.
-
-Distances are computed on whole sets of 64-bit shingle hashes.
+  Any order gives the same links; a good one keeps regions small.  Regions with
+  the same members are one.
+* A region takes documents of different components as pivots, a fixed number of
+  them (``PIVOTS``; a smaller region all of its members), and every member's
+  distance to each pivot is computed.  Those within 0.25 are linked.
+* The pivots then divide a region.  In their order, a member within 0.5 of one
+  goes to its region, and one within 0.25 to no later one; those within 0.25 of
+  none are the rest.  Of two linked members the first that a pivot takes within
+  0.25 has the other within 0.5 of it (the triangle inequality), so every pair
+  meets again.  Pivots have met all members and leave.
+* Each part that has several components left is a space of its own: with
+  shingles as pivots once more, ordered by their exact frequency in that part,
+  then documents.  Every round has twice the pivots, so rounds end.
+
+Distances are computed on whole sets of 64-bit shingle hashes.  Links join
+components that are known, so only new ones are walked.
 
 Each case has a result: null and empty texts and texts without words have no
 shingles and link with nothing; with one to four words the whole sequence is one
@@ -37,12 +41,14 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .common import own_columns, written
-from .components import components
+from .components import joined_components
 from .repeats import Hasher, buffers, mix, small_or_shuffled
 
 SHINGLE = 5
-#: Members of a region that are compared with each other, in the first round; four times as many in each next one.
-LEAST = 16
+#: Pivots of a region in the first round, twice as many in each next one.
+PIVOTS = 8
+#: Numbers in a side of a join that is sent to all tasks; a larger one is shuffled.
+SMALL = 500_000
 #: A shingle in this many sets of one task, and in this many in all, is put last; at most so many shingles are.
 SEEN, OFTEN, HOT = 2, 8, 1_000_000
 
@@ -156,26 +162,27 @@ def first_regions(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return docs.select("text", "doc_id").mapInArrow(run, "region long, doc_id long, n long")
 
 
-def next_regions(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(region, doc_id, n) as ``first_regions``, for some documents, with exact frequencies among them."""
+def next_regions(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(region, doc_id, n) as ``first_regions`` inside each part (part, doc_id), with exact frequencies in it."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for ids, sets in _sets(batches):
             k = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids.to_numpy(), k)), pa.array(np.repeat(np.array(k, np.int64), k))], ["region", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids.to_numpy(), k)), pa.array(np.repeat(np.array(k, np.int64), k))], ["shingle", "doc_id", "n"])
 
     from pyspark.sql import Window as W
 
-    some = docs.join(small_or_shuffled(ids, F.lit(1)), "doc_id")
-    rows = written(some.select("text", "doc_id").mapInArrow(run, "region long, doc_id long, n long"), "shingles")
+    ids = small_or_shuffled(parts.select("doc_id").distinct(), F.lit(1), SMALL)
+    sets = docs.join(ids, "doc_id").select("text", "doc_id").mapInArrow(run, "shingle long, doc_id long, n long")
+    rows = written(sets.join(small_or_shuffled(parts, F.lit(2), SMALL), "doc_id").select("part", F.xxhash64("part", "shingle").alias("region"), "doc_id", "n").distinct(), "shingles")
     often = rows.groupBy("region").agg(F.count("*").alias("df")).filter("df > 1")
     # Shingles that no other has come first in the order, but make no region.
     shared = rows.join(often, "region")
-    alone = rows.groupBy("doc_id").agg(F.count("*").alias("total")).join(shared.groupBy("doc_id").agg(F.count("*").alias("some")), "doc_id").select("doc_id", (F.col("total") - F.col("some")).alias("alone"))
-    ranked = shared.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy("df", "region")))
-    return ranked.join(alone, "doc_id").filter("rank + alone <= n div 4 + 1").select("region", "doc_id", "n")
+    alone = rows.groupBy("part", "doc_id").agg(F.count("*").alias("total")).join(shared.groupBy("part", "doc_id").agg(F.count("*").alias("some")), ["part", "doc_id"]).select("part", "doc_id", (F.col("total") - F.col("some")).alias("alone"))
+    ranked = shared.withColumn("rank", F.row_number().over(W.partitionBy("part", "doc_id").orderBy("df", "region")))
+    return ranked.join(alone, ["part", "doc_id"]).filter("rank + alone <= n div 4 + 1").select("region", "doc_id", "n")
 
 
 def distances(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -201,106 +208,88 @@ def distances(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.join(small_or_shuffled(ids, F.lit(1)), "doc_id").select("text", "doc_id").mapInArrow(pack, "doc_id long, set binary"), "sets")
+    sets = written(docs.join(small_or_shuffled(ids, F.lit(1), SMALL), "doc_id").select("text", "doc_id").mapInArrow(pack, "doc_id long, set binary"), "sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(measure, "a long, b long, both long, either long")
 
 
-_WINDOW, _LINKED = "least(n, m) * 4 >= greatest(n, m) * 3", "100 * both >= 75 * either"
+#: Links, and what a distance of 0.5 and its sizes are.
+_LINKED, _NEAR, _WINDOW = "100 * both >= 75 * either", "2 * both >= either", "2 * least(n, m) >= greatest(n, m)"
 
 
-def _measured(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, n, m) with their bound, and the distances of those that could link."""
-    pairs = written(_bounded(pairs.distinct(), members), "pairs")
-    return pairs, written(distances(docs, pairs.filter("7 * most >= 3 * (n + m)").select("a", "b")), "distances")
+def _distinct_regions(members: DataFrame) -> DataFrame:
+    """(region, doc_id, n) of regions with two members or more, of equal regions one.
 
-
-def _round(docs: DataFrame, members: DataFrame, links: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Stars of the components so far, and the members of regions that the next round needs.
-
-    First every region's pivot is compared with its members.  What that has put
-    into one component needs no further comparing, so a large group of near
-    copies costs a star for each region, not its pairs.
+    Two members are told by the aggregate that finds the region; only larger
+    regions, one of each set of members, are looked up again.
     """
+    one = F.struct("doc_id", "n")
     sign = lambda seed: F.bit_xor(F.xxhash64("doc_id", F.lit(seed)))
-    regions = members.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("p"), sign(1).alias("x1"), sign(2).alias("x2"))
-    # Regions with the same members are one.
-    one = regions.filter("size > 1").groupBy("size", "x1", "x2").agg(F.min("region").alias("region"), F.first("p").alias("p"))
-    one = written(one.select("region", "size", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("m")), "regions")
-    own = written(members.join(small_or_shuffled(one, F.lit(4)), "region"), "members")
-    far = own.filter(F.col("doc_id") != F.col("pivot"))
-    near = far.filter(_WINDOW).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"))
-    pairs, known = _measured(docs, near, members)
-    links = _stars(links.unionByName(known.filter(_LINKED).select("a", "b")))
-
-    of = links.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
-    placed = own.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = placed.groupBy("region").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("region")
-    placed = written(placed.join(small_or_shuffled(several, F.lit(1)), "region"), "open")
-
-    few = placed.filter((F.col("size") <= least) & (F.col("size") > 2)).drop("m")
-    other = few.select("region", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-    compared = few.join(other, "region").filter("doc_id < b and component <> c and " + _WINDOW).select(F.col("doc_id").alias("a"), "b", "n", "m")
-    _, more = _measured(docs, compared, members)
-    links = _stars(links.unionByName(more.filter(_LINKED).select("a", "b")))
-
-    # Where no distance was computed: the least that the shared regions, or the sizes, allow.
-    large = placed.filter((F.col("size") > least) & (F.col("doc_id") != F.col("pivot"))).withColumnsRenamed({"pivot": "a", "doc_id": "b"})
-    bound = pairs.select("a", "b", (1 - F.col("most") / (F.col("n") + F.col("m") - F.col("most"))).alias("bound"))
-    d = F.coalesce(1 - F.col("both") / F.col("either"), "bound", 1 - F.least("n", "m") / F.greatest("n", "m"))
-    far = large.join(bound, ["a", "b"], "left").join(known, ["a", "b"], "left").select("region", F.col("b").alias("doc_id"), d.alias("d"), F.coalesce(F.expr(_LINKED), F.lit(False)).alias("linked"))
-    nearest = far.filter("not linked").groupBy("region").agg(F.min("d").alias("nearest"))
-    left = far.join(nearest, "region").filter("not linked or d + 0.25 + 1e-9 >= nearest").select("region", "doc_id")
-    return links, left
-
-
-def _stars(links: DataFrame) -> DataFrame:
-    """Edges from every id to the least one that it reaches."""
-    return components(links).filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-
-
-def _bounded(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b, n, m) with ``most``, which their sets' intersection cannot exceed.
-
-    Of two windows in one order, the one that ends first has all its set's
-    shingles up to there, so what the sets share beyond the shared regions comes
-    from after its end: n - (floor(n / 4) + 1) shingles at most, or so for m.
-    """
-    x = members.select(F.col("doc_id").alias("a"), "region")
-    y = members.select(F.col("doc_id").alias("b"), "region")
-    shared = pairs.select("a", "b").join(x, "a").join(y, ["b", "region"]).groupBy("a", "b").agg(F.count("*").alias("c"))
-    rest = F.greatest(F.expr("n - n div 4 - 1"), F.expr("m - m div 4 - 1"))
-    return pairs.join(shared, ["a", "b"]).select("a", "b", "n", "m", F.least(F.col("c") + rest, "n", "m").alias("most"))
-
-
-def joined(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    found = members.groupBy("region").agg(F.count("*").alias("size"), F.min(one).alias("p"), F.max(one).alias("q"), sign(1).alias("x1"), sign(2).alias("x2"))
+    kept = written(found.filter("size > 1").groupBy("size", "x1", "x2").agg(F.min(F.struct("region", "p", "q")).alias("r")).select("size", "r.*"), "regions")
+    two = kept.filter("size = 2").select("region", F.explode(F.array("p", "q")).alias("d")).select("region", "d.*")
+    more = members.join(small_or_shuffled(kept.filter("size > 2").select("region"), F.lit(1), SMALL), "region")
+    return two.unionByName(more)
+
+
+def _placed(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Members with their component, of groups (first column) that have several."""
+    group = members.columns[0]
+    every = members.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = every.groupBy(group).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2").select(group, "size")
+    return every.join(several, group)
+
+
+def _round(docs: DataFrame, members: DataFrame, known: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Components after the pivots of each region are compared with its members, and the parts that are left."""
+    open_ = written(_placed(members, known), "open")
+    # Components are dealt to the pivots' places; in a region of few members each has one.
+    salt = F.when(F.col("size") <= pivots, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("component", F.lit(pivots)), F.lit(pivots)))
+    own = open_.groupBy("region", "size", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(pivots)), "doc_id", "n", "component")).alias("p"))
+    own = written(own.select("region", "salt", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("m"), F.col("p.component").alias("c")), "pivots")
+    # In a small region a pair is compared once, and only if it could link; in a larger one every distance to a pivot counts.
+    met = open_.join(small_or_shuffled(own, F.lit(5), SMALL), "region").filter(
+        f"doc_id <> pivot and {_WINDOW} and (size > {pivots} or (doc_id < pivot and component <> c and 4 * least(n, m) >= 3 * greatest(n, m)))"
+    )
+    met = written(met.select("region", "size", "salt", "pivot", "doc_id"), "met")
+    pairs = met.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
+    measured = written(distances(docs, pairs), "distances")
+    known = joined_components(known, measured.filter(_LINKED).select("a", "b"))
+
+    near = met.filter(F.col("size") > pivots).withColumns({"a": F.least("doc_id", "pivot"), "b": F.greatest("doc_id", "pivot")}).join(measured.filter(_NEAR), ["a", "b"])
+    near = near.groupBy("region", "doc_id", "salt").agg(F.max(F.expr(_LINKED)).alias("linked"))
+    first = near.groupBy("region", "doc_id").agg(F.min(F.when(F.col("linked"), F.col("salt"))).alias("first"))
+    large = open_.filter(F.col("size") > pivots).join(own.select("region", F.col("pivot").alias("doc_id")), ["region", "doc_id"], "left_anti").select("region", "doc_id").distinct()
+    inside = near.join(first, ["region", "doc_id"]).filter("first is null or salt <= first").select("region", "doc_id", "salt")
+    outside = large.join(first.filter("first is not null"), ["region", "doc_id"], "left_anti").select("region", "doc_id", F.lit(-1).cast("long").alias("salt"))
+    parts = inside.join(large, ["region", "doc_id"]).unionByName(outside).select(F.xxhash64("region", "salt").alias("part"), "doc_id")
+    return known, written(_placed(parts, known).select("part", "doc_id").distinct(), "parts")
+
+
+def joined(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     base = own_columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = written(points(base), "points")
     own = rows.filter("hot is null").select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
     counts = rows.filter("hot is not null").groupBy("hot").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
-    often = counts.orderBy(F.desc("n"), "hot").limit(HOT).select("hot").toPandas()["hot"].to_numpy(np.int64)
+    often = counts.orderBy(F.desc("n"), "hot").limit(HOT).select("hot").toArrow().column("hot").to_numpy()
     hot = np.sort(often.view(np.uint64))
 
+    # The least id of equal sets stands for them; an id with several sets links what stands for them.
     real = own.filter("doc_id is not null and n_shingles > 0")
-    points_ = real.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    same = written(real.join(points_, ["n_shingles", "s1", "s2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "same")
-    # An id that repeats may stand for another set as well; then it stays.
-    others = same.select(F.col("a").alias("doc_id")).distinct().join(points_.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
-    reps = base.filter("doc_id is not null").join(small_or_shuffled(others, F.lit(1)), "doc_id", "left_anti")
-
-    members = first_regions(reps, hot)
-    shared = written(members.groupBy("region").agg(F.count("*").alias("k")).filter("k > 1").select("region"), "shared")
-    members = written(members.join(small_or_shuffled(shared, F.lit(1)), "region").distinct(), "members")
-    links = same
+    least = real.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    stands = written(real.join(least, ["n_shingles", "s1", "s2"]).select("doc_id", "rep").distinct(), "stands")
+    home = stands.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("high"), F.max(F.expr("doc_id = rep")).alias("itself"))
+    several = stands.join(home.filter("rep <> high").select("doc_id", F.col("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
+    known = joined_components(None, several)
+    others = small_or_shuffled(written(home.filter("not itself").select("doc_id"), "others"), F.lit(1), SMALL)
+    texts = base.filter("doc_id is not null")
+    members = first_regions(texts.join(others, "doc_id", "left_anti"), hot)
     while True:
-        links, left = _round(base.filter("doc_id is not null"), members, links, least)
-        ids = links.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
-        left = left.join(ids, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_ = left.groupBy("region").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("region")
-        left = written(left.join(open_, "region").select("doc_id").distinct(), "left")
-        if left.isEmpty():
+        known, parts = _round(texts, written(_distinct_regions(members), "members"), known, pivots)
+        if parts.isEmpty():
             break
-        least *= 4
-        members = written(next_regions(base.filter("doc_id is not null"), left).distinct(), "members")
-    return own.join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        pivots *= 2
+        members = next_regions(texts, parts)
+    of = home.select("doc_id", "rep").join(known.select(F.col("doc_id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    return own.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
