@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import tokens
-from .common import own_columns
+from .common import kept, mapped, own_columns
 
 #: Splits a text before merges; the fixed pattern of this family of vocabularies.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -112,14 +112,9 @@ class Bpe:
         """The text of ids; bytes that are not UTF-8 become U+FFFD."""
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
-_KNOWN: dict[str, Bpe] = {}
-
-
 def coder(path: str) -> Bpe:
     """This worker's coder of a vocabulary file."""
-    if path not in _KNOWN:
-        _KNOWN[path] = Bpe(path)
-    return _KNOWN[path]
+    return kept(("bpe", path), lambda: Bpe(path))
 
 
 def _batches(batches: Iterator, vocabulary: str) -> Iterator:
@@ -142,7 +137,7 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
             back = [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in lists]
             yield pa.RecordBatch.from_arrays([docs, pa.array(map(len, lists), pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return mapped(own_columns(docs, "doc_id", "text"), run, SCHEMA)
 
 
 def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -154,7 +149,7 @@ def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
         for _, docs, lists in _batches(batches, vocabulary):
             yield pa.RecordBatch.from_arrays([docs, pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return mapped(own_columns(docs, "doc_id", "text"), run, "doc_id long, ids array<int>")
 
 
 def decoded(tokenised: DataFrame, vocabulary: str) -> DataFrame:
@@ -167,4 +162,4 @@ def decoded(tokenised: DataFrame, vocabulary: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return own_columns(tokenised, "doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return mapped(own_columns(tokenised, "doc_id", "ids"), run, "doc_id long, text string")

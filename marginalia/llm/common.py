@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,14 +16,17 @@ WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset,
-    as in a local test, a temporary folder of this machine is taken.
+    It is ``spark.checkpoint.dir`` of the session, or the folder given to
+    ``setCheckpointDir``.  A folder of one machine is taken only in local mode,
+    where the driver is the cluster; elsewhere a missing setting is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-marginalia-")
-        sc.setCheckpointDir(found)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(f"{sc.getConf().get('spark.local.dir', '/tmp')}/spark-marginalia-{uuid.uuid4().hex}")
+        found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -38,6 +43,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH = "8m"
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes, so that long texts come a few at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df.mapInArrow(run, schema)
+
+
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """``make()``, remembered by this Python worker until another key is asked for.
+
+    Workers are used again by other jobs; so one holds the tables of one
+    operator at a time, and gives the memory of the one before back.
+    """
+    if key not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library; freed memory stays with the process
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def own_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator needs, so that others cannot clash."""
     return docs.select(*(F.col(f"`{n}`") for n in names))
@@ -49,12 +85,18 @@ def crc_of_id(col: str | Column = "doc_id") -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
-def pick_labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int) -> DataFrame:
-    """At most ``limit`` labelled documents for fitting, picked by a hash of the id.
+#: Bytes of labelled texts that fitting takes at most.
+FITTING = 48 << 20
+
+
+def pick_labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int, most: int = FITTING) -> list[tuple]:
+    """(doc_id, text, label) of labelled documents for fitting, picked by a hash of the id and sorted.
 
-    Null labels and null ids are left out; of several labels of one document the
-    largest counts.  The ids are picked before any text moves, so a broadcast
-    of ``limit`` ids at most is what joins them to the texts.
+    There are ``limit`` at most, of ``most`` bytes in all: a text that does not
+    fit in what is left is passed over.  Null labels and null ids are left out;
+    of several labels of one document the largest counts.  The ids are picked
+    before any text moves, so a broadcast of ``limit`` ids at most is what joins
+    them to the texts, which the driver reads in a second step.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -63,4 +105,15 @@ def pick_labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
     texts = own_columns(docs, "doc_id", "text")
-    return texts.join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    picked = written(texts.join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label"), "labelled")
+    lengths = picked.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id", "text").alias("key")).orderBy(F.xxhash64("doc_id"), "doc_id", "key")
+    taken, left, all_of_them = [], most, True
+    for r in lengths.toLocalIterator():  # ``limit`` rows of numbers, unless ids repeat
+        if r.n <= left:
+            taken.append(r.key)
+            left -= r.n
+        else:
+            all_of_them = False
+    if not all_of_them:
+        picked = picked.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in taken], "key long")), F.xxhash64("doc_id", "text") == F.col("key"), "left_semi")
+    return sorted((r.doc_id, r.text, r.label) for r in picked.collect())

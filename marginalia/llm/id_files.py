@@ -1,23 +1,28 @@
 """Operator 5: token ids in compressed containers, by a context-mixing range coder.
 
 A container holds a run of documents in ascending id order: an index of
-documents and lengths, the container's id counts, and blocks of ids.  Every
-block starts anew and has a checksum.  Before each id three predictions are
-mixed into one distribution over ids:
-
-* order 0: the container's counts, scaled;
-* order 1 and 2: the id that last followed this id, or these two, in the block,
-  with a state of how often in a row that held.
-
-The share that order 1 and 2 get adapts, block by block from the start, with how
-often each state was right.  A 64-bit carry-less range coder codes the id in one
-step.  All blocks of a container are coded side by side, one id of each at a
-time, as numpy vectors.
+documents and lengths, and blocks of ids.  Every block starts from nothing, is
+coded without any other, and has a checksum of its 32-bit ids.  Before each id
+four parts of the code space are dealt out:
+
+* order 2 and 1: the id that last followed the last two ids, or the last one, in
+  this block, with a state of how often in a row that held;
+* order 0: the ids seen in this block so far, in ``SEEN`` places by their hash;
+* the rest: every id of the vocabulary, by a fixed law (a merge's rank is about
+  its frequency's rank).
+
+The shares adapt within the block to how often each prediction, in its state,
+was right; an id is coded in the first part that has it.  The range coder has
+48 bits and 16-bit digits; carries are settled when a block is over.  All blocks
+of a container are coded side by side, one id of each at a time, as numpy
+vectors.
 
 Each case has a result: null text counts as empty and has its end id only; equal
 ids are ordered by a hash of the text and each has its rows; a null id comes
-first; a damaged container or block raises ValueError; no documents give no
-containers.  Other columns of the input are not read.
+first; a document of any length lies in one container and many blocks; ids of
+``MOST`` or above raise ValueError; a damaged container or block raises
+ValueError; no documents give no containers.  Other columns of the input are not
+read.
 """
 
 from __future__ import annotations
@@ -30,244 +35,250 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import tokens
-from .common import own_columns, written
+from .common import mapped, own_columns, written
 
 END_ID = 2
 #: Ids of a block, and of a container, about: a document is not divided between containers.
-BLOCK, CONTAINER = 2048, 4_000_000
-MAGIC = b"IDMIX1\n\0"
-
-#: log2 of: the scaled counts' total, the mixed distribution's total, slots of the order-1 and order-2 tables of a block.
-COUNTS, TOTAL, SLOTS = 18, 20, 9
-#: States of a prediction: 0 none yet, then how many times in a row it held, plus one.
-STATES = 5
-_TOP, _LOW = np.uint64(1 << 48), np.uint64((1 << 32) - 1)
-#: Odd numbers that mix the last two ids into a slot.
-_HASH = np.array([[40503], [60493]])
-_16, _48 = np.uint64(16), np.uint64(48)
-
-
-def scaled(counts: np.ndarray) -> np.ndarray:
-    """Cumulated counts, scaled to 2**COUNTS with at least 1 where there is one."""
-    total = 1 << COUNTS
-    some = counts > 0
-    f = np.zeros(len(counts), np.int64)
-    f[some] = np.maximum(1, counts[some] * (total - int(some.sum())) // max(1, int(counts.sum())))
-    if some.any():
-        f[int(counts.argmax())] += total - f.sum()
-    return np.concatenate([[0], np.cumsum(f)])
+BLOCK, CONTAINER = 512, 4_000_000
+MAGIC = b"IDMIX2\n\0"
+
+#: Ids are below this number.
+MOST = 1 << 17
+#: log2 of: the code space, the fixed law's total, the places of order-2, order-1 and order-0 tables of a block.
+TOTAL, LAW, TWO, ONE, ZERO = 23, 18, 7, 7, 7
+#: States of a prediction: 0 none yet, 1 not held the last time, then how many times in a row it held, plus one.
+STATES = 4
+#: Chances, of 2**16, that a prediction in a state holds, at a weight of 2**16; the most that one becomes; the least weight.
+CHANCES, SURE, LEAST = (200, 16000, 36000, 52000), 64000, 1 << 12
+_CHANCES = np.array(CHANCES, np.int32)
+_ID = (1 << 17) - 1
+
+
+def law(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cumulated weights of ids below ``size``, and the id at each weight: at least 1 each, the rest in proportion to 1 / (id + 100)."""
+    if size > MOST:
+        raise ValueError(f"ids must be below {MOST}")
+    w = 1 / (np.arange(size) + 100.0)
+    cum = np.floor(np.concatenate([[0], np.cumsum(w)]) / w.sum() * ((1 << LAW) - size)).astype(np.int64) + np.arange(size + 1)
+    return cum, np.repeat(np.arange(size, dtype=np.int64), np.diff(cum))
 
 
 class Mixer:
-    """The predictions of all blocks of a container, at one place of each; first axis: order 1, order 2."""
+    """The predictions of all blocks of a container, at one place of each."""
 
     def __init__(self, lanes: int, cum: np.ndarray):
         self.cum = cum
-        self.n = lanes
-        # A slot has a state, above 16 bits, and the id that last followed.
-        self.table = np.zeros(2 * lanes << SLOTS, np.int32)
-        self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) << SLOTS
-        # Chance, of 2**16, that a prediction in a state holds.
-        self.chance = np.tile(np.array([0, 4000, 20000, 40000, 52000], np.int32), 2 * lanes)
-        self.row = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * STATES
-        self.last = np.zeros((2, lanes), np.int64)
+        # A place has a state, above 17 bits, and the id that last followed.
+        self.two, self.one, self.zero = (np.zeros(lanes << k, np.int32) for k in (TWO, ONE, ZERO))
+        self.weight2, self.weight1, self.chance0 = np.full(lanes, 1 << 16, np.int64), np.full(lanes, 1 << 16, np.int64), np.full(lanes, 30000, np.int64)
+        lane = np.arange(lanes, dtype=np.int64)
+        self.base2, self.base1, self.base0 = lane << TWO, lane << ONE, lane << ZERO
+        self.last, self.prev = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def keep(self, n: int) -> None:
         """Only the first n blocks go on."""
-        if n < self.n:
-            self.n = n
-            self.base, self.row, self.last = (np.ascontiguousarray(x[:, :n]) for x in (self.base, self.row, self.last))
+        for name in ("base2", "base1", "base0", "last", "prev", "weight2", "weight1", "chance0"):
+            setattr(self, name, getattr(self, name)[:n].copy())
 
     def predict(self) -> None:
-        at = self.last * _HASH
-        at[1] += at[0]
-        at >>= 5
-        at &= (1 << SLOTS) - 1
-        at += self.base
-        slot = self.table[at]
-        self.at, self.c, self.s = at, slot & 0xFFFF, slot >> 16
-        self.cell = self.row + self.s
-        self.p = self.chance[self.cell]
-        # Shares of 2**TOTAL; order 0 keeps a quarter at least.
-        most = 3 << (TOTAL - 2)
-        self.a2 = self.p[1].astype(np.int64) * most >> 16
-        self.a1 = (most - self.a2) * self.p[0] >> 16
-        self.a0 = (1 << TOTAL) - self.a1 - self.a2
+        h = self.last * 40503
+        self.at1 = (h >> 4 & ((1 << ONE) - 1)) + self.base1
+        h += self.prev * 60493
+        self.at2 = (h >> 4 & ((1 << TWO) - 1)) + self.base2
+        slot2, slot1 = self.two.take(self.at2), self.one.take(self.at1)
+        self.c2, self.s2 = slot2 & _ID, slot2 >> 17
+        self.c1, self.s1 = slot1 & _ID, slot1 >> 17
+        self.p2, self.p1 = _CHANCES.take(self.s2) * self.weight2 >> 16, _CHANCES.take(self.s1) * self.weight1 >> 16
+        np.minimum(self.p2, SURE, out=self.p2)
+        np.minimum(self.p1, SURE, out=self.p1)
+        # Seven eighths at most for order 2, half of what is left for order 1, half of that for order 0.
+        self.a2 = self.p2 * 112 + 1
+        left = (1 << TOTAL) - self.a2
+        a1 = (left * self.p1 >> 17) + 1
+        self.a21 = self.a2 + a1
+        left -= a1
+        self.each = (left * self.chance0 >> 17 + ZERO) + 1
+        self.rest = left - (self.each << ZERO)
+        self.a1 = a1
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each id's part of the mixed distribution begins, and how long it is."""
-        lo, hi = self.cum[ids] * self.a0, self.cum[ids + 1] * self.a0
-        lo >>= COUNTS
-        hi >>= COUNTS
-        hi -= lo
-        c1, c2 = self.c
-        hi += self.a1 * (ids == c1)
-        hi += self.a2 * (ids == c2)
-        lo += self.a1 * (ids > c1)
-        lo += self.a2 * (ids > c2)
-        return lo, hi
+        """Where each id's part of the code space begins, and how long it is."""
+        self.slot = ids & ((1 << ZERO) - 1)
+        self.at0 = self.slot + self.base0
+        self.hit2, self.hit1, self.hit0 = self.c2 == ids, self.c1 == ids, self.zero.take(self.at0) == ids
+        lo = self.cum.take(ids) * self.rest >> LAW
+        part = (self.cum.take(ids + 1) * self.rest >> LAW) - lo
+        lo += (1 << TOTAL) - self.rest
+        for hit, begin, size in ((self.hit0, self.a21 + self.slot * self.each, self.each), (self.hit1, self.a2, self.a1), (self.hit2, 0, self.a2)):
+            np.copyto(lo, begin, where=hit)
+            np.copyto(part, size, where=hit)
+        return lo, part
 
     def find(self, target: np.ndarray, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id whose part has the target, with its interval."""
-        (lo1, n1), (lo2, n2) = self.interval(self.c[0]), self.interval(self.c[1])
-        n1 += lo1
-        n2 += lo2
-        rest = target - self.a1 * (target >= n1)
-        rest -= self.a2 * (target >= n2)
-        rest += 1
-        rest <<= COUNTS
-        rest -= 1
-        rest //= self.a0
-        ids = lookup[np.minimum(rest, (1 << COUNTS) - 1)]
-        ids = np.where((target >= lo1) & (target < n1), self.c[0], ids)
-        ids = np.where((target >= lo2) & (target < n2), self.c[1], ids)
-        return ids, *self.interval(ids)
+        into = target - self.a21
+        self.slot = np.maximum(into, 0) // self.each
+        begin0 = (1 << TOTAL) - self.rest
+        far = np.flatnonzero(target >= begin0)
+        np.minimum(self.slot, (1 << ZERO) - 1, out=self.slot)
+        ids = self.zero.take(self.slot + self.base0).astype(np.int64)
+        lo, part = self.a21 + self.slot * self.each, self.each.copy()
+        rest = self.rest[far]
+        found = lookup.take((((target[far] - begin0[far] + 1) << LAW) - 1) // rest)
+        ids[far] = found
+        begin = self.cum.take(found) * rest >> LAW
+        part[far] = (self.cum.take(found + 1) * rest >> LAW) - begin
+        lo[far] = begin + begin0[far]
+        in2 = target < self.a2
+        in1 = (into < 0) > in2
+        for hit, known, start, size in ((in1, self.c1, self.a2, self.a1), (in2, self.c2, 0, self.a2)):
+            np.copyto(ids, known, where=hit)
+            np.copyto(lo, start, where=hit)
+            np.copyto(part, size, where=hit)
+        self.at0 = (ids & ((1 << ZERO) - 1)) + self.base0
+        self.hit2, self.hit1, self.hit0 = self.c2 == ids, self.c1 == ids, self.zero.take(self.at0) == ids
+        return ids, lo, part
 
     def learn(self, ids: np.ndarray) -> None:
-        held = self.c == ids
-        self.chance[self.cell] = self.p + ((held * np.int32(65535) - self.p) >> 5)
-        state = np.minimum(self.s * held + 1, STATES - 1)
-        self.table[self.at] = (state << 16) | ids
-        self.last[1] = self.last[0]
-        self.last[0] = ids
-
-
-def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, list[bytes]]:
-    """Id counts, and the blocks of a run of ids, each reset."""
-    counts = np.bincount(ids) if len(ids) else np.zeros(1, np.int64)
+        coded2, coded1 = self.hit2, self.hit1 > self.hit2
+        # Each weight goes the way of its prediction's error.
+        for weight, error in ((self.weight2, coded2 * SURE - self.p2), (self.weight1, (coded1 * SURE - self.p1) * ~coded2)):
+            weight += error >> 4
+            np.clip(weight, LEAST, 1 << 17, out=weight)
+        self.chance0 += (self.hit0 * SURE - self.chance0 >> 5) * ~(coded1 | coded2)
+        self.two[self.at2] = (np.minimum(self.s2 * self.hit2 + 1, STATES - 1) << 17) + ids
+        self.one[self.at1] = (np.minimum(self.s1 * self.hit1 + 1, STATES - 1) << 17) + ids
+        self.zero[self.at0] = ids
+        self.prev, self.last = self.last, ids
+
+
+def encode(ids: np.ndarray, size: int, block: int = BLOCK) -> list[bytes]:
+    """The blocks of a run of ids below ``size``, each by itself."""
     lanes = -(-len(ids) // block)
     if not lanes:
-        return counts, []
-    table = np.zeros((lanes, block), np.int32)
+        return []
+    if len(ids) and int(ids.max()) >= size:
+        raise ValueError(f"ids must be below {size}")
+    table = np.zeros((lanes, block), np.int64)
     table.ravel()[: len(ids)] = ids
     table = np.ascontiguousarray(table.T)
     tail = len(ids) - (lanes - 1) * block
-    mix = Mixer(lanes, scaled(counts))
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    mix = Mixer(lanes, law(size)[0])
+    low, wide = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
     room = 2 * block + 8
-    out, at = np.zeros(lanes * room, "<u2"), np.arange(lanes, dtype=np.int64) * room
-    ends = at.copy()
+    # A digit has a carry above its 16 bits until the end.
+    out, at = np.zeros(lanes * room, np.uint32), np.arange(lanes, dtype=np.int64) * room
     for k in range(block):
         if k == tail:  # the last block is over
-            mix.keep(lanes - 1)
-            if not mix.n:
+            if lanes == 1:
                 break
-        n = mix.n
+            mix.keep(lanes - 1)
+        n = lanes - (k >= tail)
         mix.predict()
         own = table[k, :n]
         lo, part = mix.interval(own)
-        lw, sz, w = low[:n], size[:n], at[:n]
-        r = sz >> np.uint64(TOTAL)
-        lw += r * lo.view(np.uint64)
-        sz[:] = r * part.view(np.uint64)
-        while True:
-            go = (lw ^ (lw + sz)) < _TOP
-            short = ~go & (sz <= _LOW)
-            if short.any():
-                sz[short] = (~lw[short] + np.uint64(1)) & _LOW
-                go |= short
-            i = np.flatnonzero(go)
-            if not len(i):
-                break
-            out[w[i]] = lw[i] >> _48
-            w[i] += 1
-            lw[i] <<= _16
-            sz[i] <<= _16
+        lw, wd = low[:n], wide[:n]
+        r = wd >> TOTAL
+        lw += r * lo
+        np.multiply(r, part, out=wd)
         mix.learn(own)
-    blocks = []
-    for j in range(lanes):
-        words = out[ends[j] : at[j]].tobytes()
-        blocks.append(words + struct.pack("<4H", *((int(low[j]) >> s) & 0xFFFF for s in (48, 32, 16, 0))))
-    return counts, blocks
-
-
-def decode(counts: np.ndarray, blocks: list[bytes], n_ids: int, block: int = BLOCK) -> np.ndarray:
+        while len(i := np.flatnonzero(wd < 1 << 32)):
+            w, x = at[i], lw[i]
+            out[w] = x >> 32
+            at[i] = w + 1
+            lw[i] = (x & 0xFFFFFFFF) << 16
+            wd[i] <<= 16
+    for shift in (32, 16, 0):
+        out[at] = low >> shift if shift == 32 else low >> shift & 0xFFFF
+        at += 1
+    digits = np.ascontiguousarray(out.reshape(lanes, room).T)
+    for k in range(room - 1, 0, -1):
+        digits[k - 1] += digits[k] >> 16
+    digits = np.ascontiguousarray((digits & 0xFFFF).T).astype("<u2")
+    return [digits[j, : int(at[j]) - j * room].tobytes() for j in range(lanes)]
+
+
+def decode(blocks: list[bytes], n_ids: int, size: int, block: int = BLOCK) -> np.ndarray:
     """The ids of all blocks."""
     lanes = len(blocks)
     if not lanes:
         return np.empty(0, np.int64)
-    cum = scaled(counts)
-    lookup = np.repeat(np.arange(len(counts), dtype=np.int32), np.diff(cum))
+    cum, lookup = law(size)
     room = max(map(len, blocks)) // 2 + 8
-    words = np.zeros((lanes, room), np.uint64)
+    digits = np.zeros((lanes, room), np.int64)
     for j, b in enumerate(blocks):
-        words[j, : len(b) // 2] = np.frombuffer(b, "<u2")
-    words = words.ravel()
-    at = np.arange(lanes, dtype=np.int64) * room
-    code = (words[at] << _48) | (words[at + 1] << np.uint64(32)) | (words[at + 2] << _16) | words[at + 3]
-    at += 4
+        digits[j, : len(b) // 2] = np.frombuffer(b[: len(b) // 2 * 2], "<u2")
+    digits = digits.ravel()
+    first = np.arange(lanes, dtype=np.int64) * room
+    code = (digits[first] << 32) | (digits[first + 1] << 16) | digits[first + 2]
+    at, end = first + 3, first + room - 1
     tail = n_ids - (lanes - 1) * block
     mix = Mixer(lanes, cum)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    wide = np.full(lanes, (1 << 48) - 1, np.int64)
     out = np.zeros((block, lanes), np.int64)
     for k in range(block):
         if k == tail:
-            mix.keep(lanes - 1)
-            if not mix.n:
+            if lanes == 1:
                 break
-        n = mix.n
+            mix.keep(lanes - 1)
+        n = lanes - (k >= tail)
         mix.predict()
-        lw, sz, cd, w = low[:n], size[:n], code[:n], at[:n]
-        r = sz >> np.uint64(TOTAL)
-        target = np.minimum(((cd - lw) // r).view(np.int64), (1 << TOTAL) - 1)
+        wd, cd = wide[:n], code[:n]
+        r = wd >> TOTAL
+        # Exact: both numbers and the product of divisor and quotient have under 53 bits.
+        target = np.minimum((cd / r).astype(np.int64), (1 << TOTAL) - 1)
         ids, lo, part = mix.find(target, lookup)
-        lw += r * lo.view(np.uint64)
-        sz[:] = r * part.view(np.uint64)
-        while True:
-            go = (lw ^ (lw + sz)) < _TOP
-            short = ~go & (sz <= _LOW)
-            if short.any():
-                sz[short] = (~lw[short] + np.uint64(1)) & _LOW
-                go |= short
-            i = np.flatnonzero(go)
-            if not len(i):
-                break
-            cd[i] = (cd[i] << _16) | words[w[i]]
-            w[i] += 1
-            lw[i] <<= _16
-            sz[i] <<= _16
+        cd -= r * lo
+        np.multiply(r, part, out=wd)
         mix.learn(ids)
+        while len(i := np.flatnonzero(wd < 1 << 32)):
+            w = at[i]
+            cd[i] = (cd[i] << 16) | digits[w]
+            at[i] = np.minimum(w + 1, end[i])
+            wd[i] <<= 16
+            if not wd[i].all():
+                raise ValueError("a block is damaged")
         out[k, :n] = ids
     return out.T.ravel()[:n_ids]
 
 
-def pack_container(docs: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
-    """One container: magic, index, counts, blocks; every part with its crc32."""
-    counts, blocks = encode(ids)
+def pack_container(docs: list[int | None], sizes: np.ndarray, ids: np.ndarray, size: int) -> bytes:
+    """One container: magic, head, index, blocks; every part with its crc32."""
     known = np.array([d is not None for d in docs], np.uint8)
-    index = np.array([d or 0 for d in docs], "<i8").tobytes() + known.tobytes() + sizes.astype("<u4").tobytes()
-    parts = [zlib.compress(index, 1), zlib.compress(counts.astype("<u4").tobytes(), 1)]
-    head = struct.pack("<IQI", len(docs), len(ids), len(blocks))
-    out = [MAGIC, head, struct.pack("<I", zlib.crc32(head))]
-    edges = np.arange(0, len(ids), BLOCK)
-    raw = ids.astype("<u2")
+    index = zlib.compress(np.array([d or 0 for d in docs], "<i8").tobytes() + known.tobytes() + sizes.astype("<u4").tobytes(), 1)
+    blocks = encode(ids, size)
+    head = struct.pack("<IQII", len(docs), len(ids), len(blocks), size)
+    raw = ids.astype("<u4")
+    out = [MAGIC, head, struct.pack("<I", zlib.crc32(head)), struct.pack("<II", len(index), zlib.crc32(index)), index]
     # A block's checksum is that of its ids, so it holds for coder and bytes alike.
-    for p, crc in [*((p, zlib.crc32(p)) for p in parts), *((b, zlib.crc32(raw[i : i + BLOCK].tobytes())) for b, i in zip(blocks, edges))]:
-        out += [struct.pack("<II", len(p), crc), p]
+    for i, b in enumerate(blocks):
+        out += [struct.pack("<II", len(b), zlib.crc32(raw[i * BLOCK : (i + 1) * BLOCK].tobytes())), b]
     return b"".join(out)
 
 
 def open_container(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Documents, sizes and ids of a container; ValueError if anything is damaged."""
-    head = data[8:24]
-    if data[:8] != MAGIC or zlib.crc32(head) != struct.unpack("<I", data[24:28])[0]:
+    head = data[8:28]
+    if data[:8] != MAGIC or zlib.crc32(head) != struct.unpack("<I", data[28:32])[0]:
         raise ValueError("not a container of ids, or a damaged head")
-    n_docs, n_ids, n_blocks = struct.unpack("<IQI", head)
-    at, parts, crcs = 28, [], []
-    for _ in range(2 + n_blocks):
-        size, crc = struct.unpack("<II", data[at : at + 8])
-        parts.append(data[at + 8 : at + 8 + size])
+    n_docs, n_ids, n_blocks, size = struct.unpack("<IQII", head)
+    at, parts, crcs = 32, [], []
+    for _ in range(1 + n_blocks):
+        if at + 8 > len(data):
+            raise ValueError("a container that is cut off")
+        length, crc = struct.unpack("<II", data[at : at + 8])
+        parts.append(data[at + 8 : at + 8 + length])
         crcs.append(crc)
-        at += 8 + size
-    if any(zlib.crc32(p) != c for p, c in zip(parts[:2], crcs)):
-        raise ValueError("damaged index or counts")
+        at += 8 + length
+    if zlib.crc32(parts[0]) != crcs[0]:
+        raise ValueError("damaged index")
     index = zlib.decompress(parts[0])
     docs = np.frombuffer(index, "<i8", n_docs).tolist()
     known = np.frombuffer(index, np.uint8, n_docs, 8 * n_docs)
     sizes = np.frombuffer(index, "<u4", n_docs, 9 * n_docs).astype(np.int64)
-    ids = decode(np.frombuffer(zlib.decompress(parts[1]), "<u4").astype(np.int64), parts[2:], n_ids)
-    raw = ids.astype("<u2")
-    for k, crc in enumerate(crcs[2:]):
+    ids = decode(parts[1:], n_ids, size)
+    raw = ids.astype("<u4")
+    for k, crc in enumerate(crcs[1:]):
         if zlib.crc32(raw[k * BLOCK : (k + 1) * BLOCK].tobytes()) != crc:
             raise ValueError(f"block {k} is damaged")
     return [d if k else None for d, k in zip(docs, known)], sizes, ids
@@ -285,7 +296,7 @@ def containers(docs: DataFrame, vocabulary: str, end_id: int = END_ID, size: int
         docs, sizes, ids, total, seq = [], [], [], 0, 0
 
         def row():
-            data = pack_container(docs, np.array(sizes), np.concatenate(ids))
+            data = pack_container(docs, np.array(sizes), np.concatenate(ids), coder.size)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_ids", "data"])
 
         for b in batches:
@@ -304,7 +315,7 @@ def containers(docs: DataFrame, vocabulary: str, end_id: int = END_ID, size: int
 
     base = own_columns(docs, "doc_id", "text")
     ordered = base.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(run, "part int, seq int, n_ids long, data binary")
+    return mapped(ordered, run, "part int, seq int, n_ids long, data binary")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -326,7 +337,7 @@ def read(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("part", "seq", "data").join(F.broadcast(starts), ["part", "seq"]).select("start", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(files.select("part", "seq", "data").join(F.broadcast(starts), ["part", "seq"]).select("start", "data"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:

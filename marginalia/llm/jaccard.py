@@ -40,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import own_columns, written
+from .common import mapped, own_columns, written
 from .components import joined_components
 from .repeats import Hasher, buffers, mix, small_or_shuffled
 
@@ -127,7 +127,7 @@ def points(docs: DataFrame) -> DataFrame:
         if kept:
             yield frequent()
 
-    return docs.select("text", "doc_id").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, hot long")
+    return mapped(docs.select("text", "doc_id"), run, "doc_id long, n long, s1 long, s2 long, hot long")
 
 
 def first_regions(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -159,7 +159,7 @@ def first_regions(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 k = [len(t) for t in tokens]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(own, np.int64), k)), pa.array(np.repeat(np.array(sizes, np.int64), k))], ["region", "doc_id", "n"])
 
-    return docs.select("text", "doc_id").mapInArrow(run, "region long, doc_id long, n long")
+    return mapped(docs.select("text", "doc_id"), run, "region long, doc_id long, n long")
 
 
 def next_regions(docs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def next_regions(docs: DataFrame, parts: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     ids = small_or_shuffled(parts.select("doc_id").distinct(), F.lit(1), SMALL)
-    sets = docs.join(ids, "doc_id").select("text", "doc_id").mapInArrow(run, "shingle long, doc_id long, n long")
+    sets = mapped(docs.join(ids, "doc_id").select("text", "doc_id"), run, "shingle long, doc_id long, n long")
     rows = written(sets.join(small_or_shuffled(parts, F.lit(2), SMALL), "doc_id").select("part", F.xxhash64("part", "shingle").alias("region"), "doc_id", "n").distinct(), "shingles")
     often = rows.groupBy("region").agg(F.count("*").alias("df")).filter("df > 1")
     # Shingles that no other has come first in the order, but make no region.
@@ -208,9 +208,9 @@ def distances(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.join(small_or_shuffled(ids, F.lit(1), SMALL), "doc_id").select("text", "doc_id").mapInArrow(pack, "doc_id long, set binary"), "sets")
+    sets = written(mapped(docs.join(small_or_shuffled(ids, F.lit(1), SMALL), "doc_id").select("text", "doc_id"), pack, "doc_id long, set binary"), "sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(measure, "a long, b long, both long, either long")
+    return mapped(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), measure, "a long, b long, both long, either long")
 
 
 #: Links, and what a distance of 0.5 and its sizes are.

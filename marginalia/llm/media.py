@@ -4,8 +4,8 @@ A payload is stored once, under its digest, as a PNG image of 8-bit red, green
 and blue samples, 64 pixels (192 bytes) a row.  Tasks write tar shards to the
 shared folder; an index of (digest, shard, offset, length) is a table, written
 before anything reads it.  Rows carry the digest and find their bytes through
-the index: a range read of the first bytes fills width, height and depth, a
-read of the whole fills the features.
+the index: a range read of the first bytes alone fills width and height, a read
+of the whole fills the rest.
 
 Which document of equal ones stores the payload is settled before the write.
 The ids that need not store are sent to all tasks only if they are few
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import new_path, own_columns, written
+from .common import mapped, new_path, own_columns, written
 
 ROW = 192
 #: Bytes of stored media in a shard, about; the last payload may go beyond.
@@ -138,7 +138,7 @@ def write_shards(payloads: DataFrame, folder: str) -> DataFrame:
             out.write(bytes(1024))
             out.close()
 
-    return payloads.select("digest", "payload").mapInArrow(run, INDEX)
+    return mapped(payloads.select("digest", "payload"), run, INDEX)
 
 
 def read_headers(index: DataFrame, folder: str) -> DataFrame:
@@ -152,7 +152,7 @@ def read_headers(index: DataFrame, folder: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32()))], ["digest", "width", "height"])
 
-    return index.select("digest", "shard", "offset", "length").mapInArrow(run, "digest string, width int, height int")
+    return mapped(index.select("digest", "shard", "offset", "length"), run, "digest string, width int, height int")
 
 
 def _ranges(batch, folder: str, most: int | None = None) -> Iterator[tuple[str, bytes]]:
@@ -170,7 +170,7 @@ def _ranges(batch, folder: str, most: int | None = None) -> Iterator[tuple[str,
 
 
 def read_features(index: DataFrame, folder: str) -> DataFrame:
-    """Everything about each stored payload, from the bytes read back."""
+    """Everything about each stored payload: width and height by range reads of headers, the rest from all bytes read back."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -178,9 +178,11 @@ def read_features(index: DataFrame, folder: str) -> DataFrame:
 
         for b in batches:
             rows = []
-            for digest, media in _ranges(b, folder):
-                width, height = header(media[:HEADER])
+            heads = [header(head) for _, head in _ranges(b, folder, HEADER)]
+            for (width, height), (digest, media) in zip(heads, _ranges(b, folder)):
                 payload = from_png(media)
+                if len(payload) != 3 * width * height:
+                    raise ValueError(f"{digest}: the header and the samples differ")
                 s = np.frombuffer(payload, np.uint8)
                 # Mean of each colour and of the steps between samples, in thousandths.
                 colours = [int(s[i::3].sum(dtype=np.int64)) * 1000 // len(s[i::3]) for i in range(3)]
@@ -192,7 +194,7 @@ def read_features(index: DataFrame, folder: str) -> DataFrame:
                 names = [f.split(" ")[0] for f in FEATURES.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return index.select("digest", "shard", "offset", "length").mapInArrow(run, FEATURES)
+    return mapped(index.select("digest", "shard", "offset", "length"), run, FEATURES)
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -202,8 +204,9 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     base = own_columns(docs, "doc_id", "text").select("doc_id", text.alias("text"))
     rows = written(base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(padded(F.col("text")), 256).alias("digest")), "digests")
-    keeper = rows.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("keeper"), F.count("*").alias("n"))
-    others = written(rows.join(keeper.filter("n > 1"), "digest").filter(F.coalesce("doc_id", F.lit(-(1 << 63))) != F.col("keeper")).select("doc_id").distinct(), "others")
+    # Written first, so that the join can split a frequent digest.
+    keeper = written(rows.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("keeper"), F.count("*").alias("n")).filter("n > 1"), "keepers")
+    others = written(rows.join(keeper, "digest").filter(F.coalesce("doc_id", F.lit(-(1 << 63))) != F.col("keeper")).select("doc_id").distinct(), "others")
     few = others.limit(SMALL + 1).count() <= SMALL
     # An id that repeats with other texts may lose one of them here; what is missing is stored below.
     first = base.join(F.broadcast(others) if few else others, "doc_id", "left_anti")
@@ -216,5 +219,5 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     # Exactly one entry per digest, though repeated rows may have stored a payload twice.
     one = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
     dealt = one.repartition(F.col("shard"), F.expr("offset div 4194304")).sortWithinPartitions("shard", "offset")
-    known = read_features(dealt, folder)
+    known = written(read_features(dealt, folder), "features")
     return rows.join(known, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "width", "height")

@@ -22,11 +22,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import tokens
-from .common import own_columns, written
+from .common import mapped, own_columns, written
 
 SIZE, END_ID = 2048, 0
-#: Parts into which the pieces of one length are dealt for ranking.
-SALTS = 64
+#: Parts into which the pieces of one length are dealt for ranking, and ranks that look for their slot together.
+SALTS, RANKS = 64, 64
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32")
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END
                         rows.append((doc, k, at, len(part), zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], list(COLUMNS))
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return mapped(own_columns(docs, "doc_id", "text"), run, SCHEMA)
 
 
 def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END_ID, salts: int = SALTS) -> DataFrame:
@@ -125,18 +125,14 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END_I
     for length, salt, n in seen:
         base.append((length, salt, counts.get(length, 0)))
         counts[length] = counts.get(length, 0) + n
-    runs: dict[int, list[tuple[int, int, int]]] = {}
-    for length, rank, _, first, offset in sorted(plan(counts, size)):
-        runs.setdefault(length, []).append((rank, first, offset))
-    slots = spark.createDataFrame([(length, *map(list, zip(*own))) for length, own in runs.items()], "length long, ranks array<long>, firsts array<long>, offsets array<long>")
+    # A run of slots has a row for every RANKS ranks, so a frequent length has many keys and a piece meets RANKS runs at most.
+    runs = spark.createDataFrame(plan(counts, size), "length long, first long, number long, sequence long, offset long")
+    slots = runs.withColumn("ranks", F.explode(F.expr(f"sequence(first div {RANKS}, (first + number - 1) div {RANKS})")))
     before = spark.createDataFrame(base, "length long, salt int, base long")
-    seated = (
+    ranked = (
         short.withColumn("own", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-        .join(F.broadcast(before), ["length", "salt"])
-        .join(F.broadcast(slots), "length")
-        .withColumn("rank", F.col("base") + F.col("own"))
-        # The run of a rank is the last that begins at or before it.
-        .withColumn("run", F.expr("size(filter(ranks, r -> r <= rank)) - 1"))
-        .select(*COLUMNS, F.expr("firsts[run] + rank - ranks[run]").alias("sequence_id"), F.expr("offsets[run]").alias("offset"))
+        .join(before, ["length", "salt"])
+        .withColumn("rank", F.col("base") + F.col("own")).withColumn("ranks", F.expr(f"rank div {RANKS}"))
     )
+    seated = ranked.join(slots, ["length", "ranks"]).filter("rank >= first and rank < first + number").select(*COLUMNS, F.expr("sequence + rank - first").alias("sequence_id"), "offset")
     return full.unionByName(seated)

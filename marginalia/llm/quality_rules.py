@@ -18,14 +18,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD_SPLIT, own_columns
+from .common import WORD_SPLIT, own_columns, written
 
 BUCKETS, LIMIT, SMOOTHING, THRESHOLD = 1 << 15, 20_000, 1.0, -0.4
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 UNITS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
-#: Bits of a position when it is packed under the upper bits of a hash.
-POSITION_BITS = 24
 
 
 def with_text(docs: DataFrame) -> DataFrame:
@@ -37,11 +35,10 @@ def with_text(docs: DataFrame) -> DataFrame:
 def base_columns(docs: DataFrame) -> DataFrame:
     """The counts of the base rules for each row of ``with_text``.
 
-    Words in repeated three-word windows: each window's hash and place are
-    packed into one number, so that one sort of numbers puts equal windows side
-    by side; the places of equal neighbours, sorted, give the words covered.
+    Words in repeated three-word windows: a text that has some sorts its windows'
+    hashes with their places, which puts equal windows side by side; the places
+    of equal neighbours, sorted, give the words covered.
     """
-    low = (1 << POSITION_BITS) - 1
     words = F.filter(F.split("text", WORD_SPLIT), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     cut = docs.select(
@@ -55,9 +52,9 @@ def base_columns(docs: DataFrame) -> DataFrame:
         F.expr("slice(transform(w, (x, i) -> xxhash64(x, get(w, i + 1), get(w, i + 2))), 1, greatest(size(w) - 2, 0))").alias("h"),
     )
     some = windows.withColumn("h", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.col("h")).otherwise(F.expr("array()").cast("array<bigint>")))
-    packed = some.withColumn("p", F.expr(f"sort_array(transform(h, (x, i) -> (x & {~low}L) | cast(i as bigint)))"))
-    same = f"h[cast(x & {low}L as int)] = h[cast(get(p, i %s 1) & {low}L as int)]"
-    places = packed.withColumn("q", F.expr(f"sort_array(filter(transform(p, (x, i) -> if((i > 0 and {same % '-'}) or (i + 1 < size(p) and {same % '+'}), x & {low}L, -1L)), x -> x >= 0))"))
+    ordered = some.withColumn("p", F.expr("sort_array(transform(h, (x, i) -> struct(x as h, cast(i as bigint) as i)))"))
+    again = "x.h = get(p, i - 1).h or x.h = get(p, i + 1).h"
+    places = ordered.withColumn("q", F.expr(f"sort_array(transform(filter(p, (x, i) -> {again}), x -> x.i))"))
     covered = F.expr("aggregate(q, struct(-3L as last, 0L as n), (a, x) -> struct(x as last, a.n + least(3L, x - a.last) as n), a -> a.n)")
     return places.select("doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
 
@@ -80,7 +77,7 @@ def weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, smoothin
     """
     flagged = docs.join(F.broadcast(target.select("doc_id").distinct().withColumn("good", F.lit(1))), "doc_id", "left")
     keys = flagged.select(F.when(F.col("good") == 1, 1).otherwise(0).cast("long").alias("key"), "text")
-    counts = grams(keys, buckets).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("key").alias("good"))
+    counts = written(grams(keys, buckets).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("key").alias("good")), "counts")
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
     if not total.good:
         return counts.select("bucket", F.lit(0.0).alias("weight"))
@@ -97,10 +94,8 @@ def trusted(labels: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, limit: int = LIMIT) -> DataFrame:
     """The base counts, the ratio and the verdict of every document."""
-    from .common import written
-
     texts = with_text(docs)
-    table = written(weights(texts, trusted(labels, limit), buckets), "ratios")
+    table = weights(texts, trusted(labels, limit), buckets)
     ratio = grams(texts, buckets).join(F.broadcast(table), "bucket").groupBy("key").agg(F.avg("weight").alias("llr"))
     failed: Column = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     llr = F.round(F.coalesce(F.col("llr"), F.lit(0.0)), 9)

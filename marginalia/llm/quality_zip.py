@@ -6,8 +6,8 @@ dictionary; the difference of the two sizes, divided by the segment's bytes, is
 large where the text looks like the good texts.  A logistic curve over the
 mean, the least and the spread of these differences makes the score.
 
-Fitting takes a bounded sample of labelled documents (``limit``, picked by a
-hash of the id): half builds the dictionaries, half fits the curve.  Every text
+Fitting takes a bounded sample of labelled documents (``limit`` and
+``common.FITTING`` bytes, picked by a hash of the id): half builds the dictionaries, half fits the curve.  Every text
 of the first half has its start, middle and end in its kind's dictionary, about
 300 bytes of a long one where texts are many; so both dictionaries have a million
 bytes at most.  Scoring takes every segment of every text.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import own_columns, pick_labelled
+from .common import mapped, own_columns, pick_labelled
 
 #: Labelled documents that fitting takes at most.
 LIMIT = 6000
@@ -106,12 +106,12 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarra
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = LIMIT) -> dict:
     """Dictionaries and curve from the labelled rows for which ``usable`` holds."""
-    rows = [(r.doc_id, r.text, r.label) for r in pick_labelled(docs, labels, "quality", usable, limit).collect()]
+    rows = pick_labelled(docs, labels, "quality", usable, limit)
     # By a hash, as ids may go by source or language.
     rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
     y = np.array([r[2] for r in rows], float)
     if not len(y) or y.min() == y.max():
-        return {"good": b" " * 8, "bad": b" " * 8, "mean": np.zeros(FEATURES), "scale": np.ones(FEATURES), "w": np.array([0.0] * FEATURES + [0.0 if not len(y) else 6.0 * (2 * y[0] - 1)])}
+        return {"constant": 0.5 if not len(y) else float(y[0])}
     # Rows of either kind are dealt in turn, so that both halves have both.
     order = np.argsort(y, kind="stable")
     for_dictionary, for_curve = order[::2], order[1::2]
@@ -124,6 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = LIMIT)
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score and predicted of every document; a narrow job."""
+    if "constant" in model:
+        p = F.lit(model["constant"]).cast("double")
+        return own_columns(docs, "doc_id").select("doc_id", p.alias("score"), (p >= threshold).cast("int").alias("predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes, or EACH * LIMIT / 2 in all if that is more
 
     def run(batches: Iterator) -> Iterator:
@@ -132,9 +135,9 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
         m = shared.value
         pair = Pair(m["good"], m["bad"])
         for b in batches:
-            x = np.array([pair.features(t or "") for t in b.column(1).to_pylist()]).reshape(-1, FEATURES)
+            x = np.array([pair.features(t.as_py() or "") for t in b.column(1)]).reshape(-1, FEATURES)
             z = ((x - m["mean"]) / m["scale"]) @ m["w"][:-1] + m["w"][-1]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype("int32"))], ["doc_id", "score", "predicted"])
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return mapped(own_columns(docs, "doc_id", "text"), run, "doc_id long, score double, predicted int")

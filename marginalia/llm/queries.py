@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import removed
 
-    return removed(table(spark, sf_dir, "documents")).drop("kept")
+    return removed(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import own_columns, written
+from .common import kept, mapped, own_columns, written
 
 LENGTH = 400
 #: Bytes under the rolling hash of triggers, and one in how many places is one.
@@ -42,7 +42,10 @@ STEP = 100
 #: Numbers in a side of a join that is sent to all tasks; a larger one is shuffled.
 SMALL = 4_000_000
 #: The same for lists of places, which are nearly always shuffled: they grow with the corpus.
-FEW = 100_000
+FEW = 20_000
+
+#: Bytes of the texts that are gone through at once, about; a longer text is by itself.
+BUFFER = 1 << 20
 
 _MASK = (1 << 64) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -51,8 +54,6 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 class Hasher:
     """Two families of polynomial hashes mod 2**64 of all substrings of a buffer."""
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums, self.back = [], []
@@ -60,14 +61,21 @@ class Hasher:
             r = np.random.default_rng(1000 + family)
             letters = r.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
             base = int(r.integers(1 << 40, 1 << 62)) * 8 + 5
-            if family not in self._powers or len(self._powers[family][0]) <= n:
-                most = max(1 << 20, 2 * n)
-                up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(most, b, np.uint64)]), dtype=np.uint64) for b in (base & _MASK, pow(base, -1, 1 << 64)))
-                self._powers[family] = up, down
-            up, down = self._powers[family]
+            up, down = (self.powers(b, n) for b in (base & _MASK, pow(base, -1, 1 << 64)))
             self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters[data] * up[:n], dtype=np.uint64)]))
             self.back.append(down)
 
+    @staticmethod
+    def powers(base: int, n: int) -> np.ndarray:
+        """base ** 0 ... base ** n; those up to a buffer's usual length are remembered."""
+        make = lambda k: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(k, base, np.uint64)]), dtype=np.uint64)
+        if n > BUFFER:
+            return make(n)
+        known = kept("powers", dict)
+        if base not in known:
+            known[base] = make(BUFFER)
+        return known[base]
+
     def of(self, family: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Mixed hash of bytes [lo, hi) of the buffer."""
         s = self.sums[family]
@@ -139,7 +147,7 @@ def parse(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tuple[n
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def buffers(column, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def buffers(column, most: int = BUFFER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of neighbouring texts of about ``most`` bytes: first, end, bytes, bounds."""
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -220,7 +228,7 @@ def entries(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     whole(own[doc[stay]], none, own[d]), whole(place, none, (f << _RUN) | k),
                 ], ["core", "span", "key", "place"])
 
-    return docs.select("text", "key").mapInArrow(run, "core long, span long, key long, place long")
+    return mapped(docs.select("text", "key"), run, "core long, span long, key long, place long")
 
 
 def expanded(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -250,7 +258,7 @@ def expanded(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFr
                 ], ["core", "whole", "key", "start", "alone"])
 
     joined = docs.join(small_or_shuffled(wanted, F.size("list") + 1, FEW), "key")
-    return joined.select("text", "key", "list").mapInArrow(run, "core long, whole long, key long, start long, alone boolean")
+    return mapped(joined.select("text", "key", "list"), run, "core long, whole long, key long, start long, alone boolean")
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -279,8 +287,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return whole.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("list"))
 
 
-def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every document."""
+def removed(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept (the bytes left) of every document."""
     base = _keyed(docs)
     starts = written(repeated_starts(base, length), "repeats")
     joined = base.join(small_or_shuffled(starts, F.size("list") + 1, FEW), "key", "left").select("doc_id", "text", "list")
@@ -301,12 +309,12 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     lost, n = int((hi - lo).sum()), len(lo)
                     at = np.concatenate([[0], hi]), np.concatenate([lo, [len(raw)]])
                     kept = b"".join(raw[x:y] for x, y in zip(*at))
-                rows.append((len(raw), lost, n, hashlib.sha256(kept).hexdigest(), kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            cols = zip(*rows) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((len(raw), lost, n, hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if texts else []))
+            cols = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 1 + len(kinds)])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return mapped(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 
 
 def merged(first: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -325,9 +333,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A character of which a byte goes, goes.  ``n_chars``, where there is one, is
     counted anew.
     """
-    base = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    starts = written(repeated_starts(_keyed(docs), length), "repeats").withColumnRenamed("key", "_key")
-    joined = base.join(small_or_shuffled(starts, F.size("list") + 1, FEW), "_key", "left")
+    # The rows are one column here, so that none of theirs can clash.
+    base = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
+    starts = written(repeated_starts(_keyed(docs), length), "repeats")
+    joined = base.join(small_or_shuffled(starts, F.size("list") + 1, FEW), "key", "left")
 
     @F.pandas_udf("string")
     def cut(texts, lists):
@@ -342,8 +351,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    text = F.when(F.col("list").isNotNull(), cut("text", "list")).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("list").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    row = lambda c: F.col("row").getField(c)
+    some = F.col("list").isNotNull()
+    text = F.when(some, cut(row("text"), "list")).otherwise(row("text"))
+    out = joined.select("row", some.alias("some"), text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("some"), F.length("text").cast("long")).otherwise(row("n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*((new[c] if c in new else row(c)).alias(c) for c in docs.columns))

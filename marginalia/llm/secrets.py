@@ -178,10 +178,13 @@ def redact(docs: DataFrame, model, mask: str = "[secret]", threshold: float = TH
     from .common import written
 
     found = scan(docs.select(F.xxhash64("text").alias("doc_id"), "text"), model, threshold).filter("is_secret")
-    own = written(found.groupBy(F.col("doc_id").alias("_hash")).agg(F.collect_set("candidate").alias("_secrets")), "secrets")
-    out = docs.withColumn("_hash", F.xxhash64("text")).join(small_or_shuffled(own, F.size("_secrets") * 8), "_hash", "left")
+    own = written(found.groupBy(F.col("doc_id").alias("h")).agg(F.collect_set("candidate").alias("secrets")), "secrets")
+    # The rows are one column here, so that none of theirs can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("h"))
+    out = rows.join(small_or_shuffled(own, F.size("secrets") * 8), "h", "left")
     # Longer first, so that a secret inside another does not break it; a short one only where it is a run of its own.
     whole = lambda s: F.concat(F.lit(rf"(?<!{RUN})\Q"), s, F.lit(rf"\E(?!{RUN})"))
     masked = lambda t, s: F.when(F.length(s) >= LONG, F.replace(t, s, F.lit(mask))).otherwise(F.regexp_replace(t, whole(s), F.lit(re.sub(r"([\\$])", r"\\\1", mask))))
-    clean = F.aggregate(F.array_sort("_secrets", lambda a, b: F.length(b) - F.length(a)), F.col("text"), masked)
-    return out.withColumn("text", F.when(F.col("_secrets").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
+    clean = F.aggregate(F.array_sort("secrets", lambda a, b: F.length(b) - F.length(a)), F.col("row.text"), masked)
+    text = F.when(F.col("secrets").isNotNull(), clean).otherwise(F.col("row.text")).alias("text")
+    return out.select(*(text if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -11,17 +11,21 @@ are looked up once.  Texts in which a cut could fall inside a split unit
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of a generation of the memory; two generations are kept.
-MEMO = 400_000
+from .common import kept
+
+#: Chunks, and ids of all of them, that the memory holds before it starts anew.
+MEMO, IDS = 600_000, 8_000_000
 
 _LETTER, _MARK = r"([A-Za-z0-9À-ÖØ-öø-ſ])", r"([!-/:-@\[-`{-~])"
+#: Lower-casing this letter gives two code points, the second of which joins a mark after it.
+_DOTTED = "|\u0130"
 _ODD = r"<\||[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Stands at the front of a chunk that no space precedes.
 _GLUED = "\x01"
@@ -43,54 +47,44 @@ def library(tok) -> Callable[[list[str]], list[list[int]]]:
     return lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def lower_case_library(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """As ``library``; chunks on which the normaliser has nothing to do go past it."""
-    full, short = load(path), load(path)
-    from tokenizers import normalizers
-
-    short.normalizer = normalizers.Sequence([])
-    slow, fast, same = library(full), library(short), re.compile(r"[!-@\[-~à-öø-ÿ]+").fullmatch
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        plain = [bool(same(t)) for t in texts]
-        a = iter(fast([t for t, p in zip(texts, plain) if p]))
-        b = iter(slow([t for t, p in zip(texts, plain) if not p]))
-        return [next(a if p else b) for p in plain]
-
-    return encode
-
-
 class Encoder:
     """Ids of texts; ``kind`` is 'byte' (spaces belong to words) or 'word' (white space is dropped)."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], kind: str, most: int = MEMO):
-        self.encode, self.byte, self.most = encode, kind == "byte", most
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def known(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks as little-endian unsigned 32-bit integers."""
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = []
-        for c in chunks:
-            if c not in new:
-                if (got := old.get(c)) is not None:
-                    new[c] = got
-                else:
-                    missing.append(c)
-        for at in range(0, len(missing), 5_000):
-            part = missing[at : at + 5_000]
-            texts = [c[1:] if c[:1] == _GLUED else " " + c for c in part] if self.byte else part
-            for c, ids in zip(part, self.encode(texts)):
-                new[c] = np.array(ids, "<u4").tobytes()
-        return [new[c] for c in chunks]
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], kind: str, most: int = MEMO, size: int | None = None):
+        #: ``size``: ids are below it.
+        self.encode, self.byte, self.most, self.size = encode, kind == "byte", most, size
+        self.forget()
+
+    def forget(self) -> None:
+        #: A chunk's number; of each number, its place in ``ids`` and how many ids it has.
+        self.number: dict[str, int] = {}
+        self.ids, self.first, self.count = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """The numbers of distinct chunks; new ones are encoded."""
+        if len(self.number) > self.most or len(self.ids) > IDS:
+            self.forget()
+        out = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(out < 0)
+        missing = [chunks[i] for i in new.tolist()]
+        if missing:
+            ids, counts = [self.ids], [self.count]
+            for at in range(0, len(missing), 5_000):
+                part = missing[at : at + 5_000]
+                texts = [c[1:] if c[:1] == _GLUED else " " + c for c in part] if self.byte else part
+                got = self.encode(texts)
+                counts.append(np.fromiter(map(len, got), np.int64, len(got)))
+                ids.append(np.fromiter(chain.from_iterable(got), "<u4", int(counts[-1].sum())))
+            out[new] = np.arange(len(self.number), len(self.number) + len(missing))
+            self.number.update(zip(missing, out[new].tolist()))
+            self.ids, self.count = np.concatenate(ids), np.concatenate(counts)
+            self.first = np.cumsum(self.count) - self.count
+        return out
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text begins (one more than texts)."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _ODD + ("|  " if self.byte else ""))
+        odd = pc.match_substring_regex(texts, _ODD + ("|  " if self.byte else _DOTTED))
         plain = pc.if_else(odd, "", texts)
         if self.byte:
             plain = pc.replace_substring_regex(plain, _LETTER + _MARK, rf"\1 {_GLUED}\2")
@@ -102,14 +96,12 @@ class Encoder:
             plain = pc.replace_substring_regex(plain, _LETTER + _MARK, r"\1 \2")
         lists = pc.split_pattern(plain, " ")
         coded = lists.flatten().dictionary_encode()
-        ids = self.known(coded.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        size = np.array([len(x) // 4 for x in ids], np.int64)
-        first = np.cumsum(size) - size
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[at]
+        # No chunk has a space, so one string holds them all on their way to Python.
+        chunks = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ") if len(coded.dictionary) else []
+        at = self.numbers(chunks)[coded.indices.to_numpy(zero_copy_only=False)]
+        n = self.count[at]
         ends = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])] if ends[-1] else np.empty(0, "<u4")
+        out = self.ids[np.repeat(self.first[at] - ends[:-1], n) + np.arange(ends[-1])]
         lo = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
         starts = ends[lo]
         if odd.true_count:
@@ -121,17 +113,17 @@ class Encoder:
         return out, starts
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, kind: str) -> Encoder:
     """This worker's encoder of a vocabulary file by the library."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = Encoder(library(load(path)) if kind == "byte" else lower_case_library(path), kind)
-    return _ENCODERS[path, kind]
+
+    def make() -> Encoder:
+        tok = load(path)
+        return Encoder(library(tok), kind, size=1 + max(tok.get_vocab(with_added_tokens=True).values()))
+
+    return kept(("encoder", path, kind), make)
 
 
-def slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about ``most`` bytes at most; a longer text has its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start = total = 0

@@ -98,12 +98,12 @@ def test_plan_uses_few_sequences():
 @pytest.mark.parametrize("ids", [[], [5], list(range(3000)), [7] * 5000, list(np.random.default_rng(5).integers(0, 50257, 5000))])
 def test_coder_round_trip(ids):
     x = np.array(ids, "<u4")
-    docs, sizes, back = id_files.open_container(id_files.pack_container([1, None], np.array([len(ids), 0]), x))
+    docs, sizes, back = id_files.open_container(id_files.pack_container([1, None], np.array([len(ids), 0]), x, 50_257))
     assert back.tolist() == ids and docs == [1, None] and sizes.tolist() == [len(ids), 0]
 
 
 def test_damaged_block_is_refused():
-    data = bytearray(id_files.pack_container([1], np.array([4000]), np.arange(4000, dtype="<u4")))
+    data = bytearray(id_files.pack_container([1], np.array([4000]), np.arange(4000, dtype="<u4"), 50_257))
     data[-20] ^= 1
     with pytest.raises(ValueError):
         id_files.open_container(bytes(data))
