@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import mapped, own_columns, written
 from .components import joined_components
-from .repeats import Hasher, buffers, mix, small_or_shuffled
+from .repeats import _SPACE, Hasher, buffers, mix, small_or_shuffled
 
 SHINGLE = 5
 #: Pivots of a region in the first round, twice as many in each next one.
@@ -54,8 +54,6 @@ SEEN, OFTEN, HOT = 2, 8, 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
 #: Odd numbers that tell a word's place in a shingle (fixed values).
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 

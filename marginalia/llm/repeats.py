@@ -18,6 +18,12 @@ runs of equal suffixes; the order between runs is never needed, and no sort of
 the corpus is done.  Strings without any trigger are entries of their own.
 A hit is two agreeing 64-bit hashes of different families.
 
+Strings of ``length`` bytes miss shorter passages, so ``shared_windows`` counts
+beside them what documents share by words: of every ``PASSAGE`` words in a row
+the window of ``WORDS`` words with the least hash is looked up in all documents.
+A passage of ``PASSAGE`` words that two documents share has such a window in
+common, as both choose the same one.
+
 Matches never cross documents.  Each case has a result: null text counts as
 empty; texts shorter than ``length`` lose nothing; overlapping matches are
 united; repeated rows count as other places of their strings; ids may repeat or
@@ -44,10 +50,14 @@ SMALL = 4_000_000
 #: The same for lists of places, which are nearly always shuffled: they grow with the corpus.
 FEW = 20_000
 
+#: Words of a passage that is surely found, and of the windows that find it.
+PASSAGE, WORDS = 51, 25
 #: Bytes of the texts that are gone through at once, about; a longer text is by itself.
 BUFFER = 1 << 20
 
 _MASK = (1 << 64) - 1
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -287,11 +297,53 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return whole.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("list"))
 
 
+def word_windows(data: np.ndarray, bounds: np.ndarray, words: int = WORDS, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the chosen windows of all texts in a buffer."""
+    solid = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    lo = np.flatnonzero(solid & (~np.concatenate([[False], solid[:-1]]) | edge[:-1]))
+    hi = np.flatnonzero(solid & (~np.concatenate([solid[1:], [False]]) | edge[1:])) + 1
+    doc = np.searchsorted(bounds, lo, "right") - 1
+    n = len(lo) - words + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    h = Hasher(data).of(1, lo[:n], hi[words - 1 :])
+    inside = doc[:n] == doc[words - 1 :]
+    each = passage - words + 1
+    if n < each:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    h[~inside] = np.uint64(_MASK)
+    runs = np.lib.stride_tricks.sliding_window_view(h, each)
+    # A run of windows is one document's if its first and last are.
+    whole = inside[: len(runs)] & (doc[: len(runs)] == doc[each - 1 + words - 1 :])
+    at = np.unique((runs.argmin(1) + np.arange(len(runs)))[whole])
+    return doc[at], h[at]
+
+
+def shared_windows(docs: DataFrame) -> DataFrame:
+    """(key, shared): how many of a document's chosen windows stand in another document too, where some do."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            keys = b.column(1).to_numpy()
+            for lo, hi, data, bounds in buffers(b.column(0)):
+                doc, h = word_windows(data, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi][doc]), pa.array(h.view(np.int64))], ["key", "window"])
+
+    chosen = written(mapped(docs.select("text", "key"), run, "key long, window long"), "windows")
+    both = written(chosen.groupBy("window").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("window"), "shared")
+    return chosen.join(small_or_shuffled(both, F.lit(1), FEW), "window").groupBy("key").agg(F.count("*").alias("shared"))
+
+
 def removed(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept (the bytes left) of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared and, with ``texts``, kept (the bytes left) of every document."""
     base = _keyed(docs)
-    starts = written(repeated_starts(base, length), "repeats")
-    joined = base.join(small_or_shuffled(starts, F.size("list") + 1, FEW), "key", "left").select("doc_id", "text", "list")
+    found = repeated_starts(base, length).join(shared_windows(base), "key", "full")
+    found = written(found.withColumn("shared", F.coalesce("shared", F.lit(0).cast("long"))), "repeats")
+    joined = base.join(small_or_shuffled(found, F.coalesce(F.size("list"), F.lit(0)) + 1, FEW), "key", "left").select("doc_id", "text", "list", F.coalesce("shared", F.lit(0).cast("long")).alias("shared"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -312,9 +364,9 @@ def removed(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFr
                 rows.append((len(raw), lost, n, hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if texts else []))
             cols = zip(*rows) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 1 + len(kinds)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_shared", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 2 + len(kinds)])
 
-    return mapped(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    return mapped(joined, run, "doc_id long, n_shared long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 
 
 def merged(first: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -142,8 +142,12 @@ def brute_repeats(rows, length):
 @pytest.mark.parametrize("length", [400, 60])
 def test_repeats_equal_brute_force(spark, length):
     rows = texts(7)
-    got = sorted(tuple(r)[:5] for r in repeats.removed(frame(spark, rows, True), length).collect())
-    assert got == brute_repeats(rows, length)
+    got = repeats.removed(frame(spark, rows, True), length).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, length)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in rows]
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    share = lambda n: {i for i, w in enumerate(words) if runs(w, n) & set().union(*(runs(v, n) for j, v in enumerate(words) if j != i))}
+    assert share(repeats.PASSAGE) <= {r.doc_id for r in got if r.n_shared} <= share(repeats.WORDS)
 
 
 def test_repeats_on_no_rows(spark):
