@@ -11,17 +11,21 @@ Documents link when 4 * |x & y| >= 3 * |x | y|, a Jaccard distance of 0.25 or le
   order takes rare shingles before those seen to be frequent, then goes by hash.
   Any order gives the same links; a good one keeps regions small.  Regions with
   the same members are one.
-* A region takes documents of different components as pivots, a fixed number of
-  them (``PIVOTS``; a smaller region all of its members), and every member's
-  distance to each pivot is computed.  Those within 0.25 are linked.
-* The pivots then divide a region.  In their order, a member within 0.5 of one
-  goes to its region, and one within 0.25 to no later one; those within 0.25 of
+* A region takes documents of different components as pivots, one, or ``PIVOTS``
+  in a region of more than ``LEAST`` members, and the members' distances to them
+  are computed.  Those within 0.25 are linked.  In a region of few members, pairs
+  of different components are compared as well.
+* The pivots divide a larger region.  In their order, a member within 0.5 of one
+  goes to its part, and one within 0.25 to no later one; those within 0.25 of
   none are the rest.  Of two linked members the first that a pivot takes within
   0.25 has the other within 0.5 of it (the triangle inequality), so every pair
-  meets again.  Pivots have met all members and leave.
-* Each part that has several components left is a space of its own: with
-  shingles as pivots once more, ordered by their exact frequency in that part,
-  then documents.  Every round has twice the pivots, so rounds end.
+  meets again.  Where a distance is not known the member goes to both.  Pivots
+  have met all members and leave.
+* Members of parts that have several components left are a smaller space, which
+  is joined in the same way, with their exact frequencies for the order of
+  shingles.  Every round has twice the pivots, so rounds end.
+* Before a distance is computed, both sets' distances to ``CLASSES`` more pivots -
+  classes of the shingles, told by their hash - bound it from below.
 
 Distances are computed on whole sets of 64-bit shingle hashes.  Links join
 components that are known, so only new ones are walked.
@@ -45,13 +49,16 @@ from .components import joined_components
 from .repeats import _SPACE, Hasher, buffers, mix, small_or_shuffled
 
 SHINGLE = 5
-#: Pivots of a region in the first round, twice as many in each next one.
-PIVOTS = 8
+#: Members of a region that are compared with each other; pivots of a larger one in the first round, twice as many in each next one.
+LEAST, PIVOTS = 16, 2
+#: Classes of shingles.
+CLASSES = 64
 #: Numbers in a side of a join that is sent to all tasks; a larger one is shuffled.
 SMALL = 500_000
 #: A shingle in this many sets of one task, and in this many in all, is put last; at most so many shingles are.
 SEEN, OFTEN, HOT = 2, 8, 1_000_000
 
+_CLASS = np.uint64(64 - CLASSES.bit_length() + 1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Odd numbers that tell a word's place in a shingle (fixed values).
@@ -94,12 +101,12 @@ def _sets(batches: Iterator) -> Iterator[tuple]:
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, s1, s2) of each document's set, and (hot shingle, sets with it) of each task."""
+    """Rows of two kinds: (doc_id, n, s1, s2, classes) of each document's set, and (hot shingle, sets with it) of each task."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["doc_id", "n", "s1", "s2", "hot"]
+        names = ["doc_id", "n", "s1", "s2", "classes", "hot"]
         seen: set[tuple[int, int, int]] = set()
         kept: list[np.ndarray] = []
         size = 0
@@ -107,13 +114,14 @@ def points(docs: DataFrame) -> DataFrame:
         def frequent():
             shingle, count = np.unique(np.concatenate(kept), return_counts=True)
             some = count >= SEEN
-            return pa.RecordBatch.from_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(count[some]), pa.nulls(int(some.sum()), pa.int64()), pa.nulls(int(some.sum()), pa.int64()), pa.array(shingle[some].view(np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(count[some]), *(pa.nulls(int(some.sum()), t) for t in (pa.int64(), pa.int64(), pa.binary())), pa.array(shingle[some].view(np.int64))], names)
 
         for ids, sets in _sets(batches):
             n = np.array([len(s) for s in sets], np.int64)
             s1 = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], np.uint64)
             s2 = np.array([mix(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.nulls(len(n), pa.int64())], names)
+            classes = [np.minimum(np.bincount((s >> _CLASS).view(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(classes, pa.binary()), pa.nulls(len(n), pa.int64())], names)
             for s, *sig in zip(sets, n.tolist(), s1.tolist(), s2.tolist()):
                 if tuple(sig) not in seen:
                     seen.add(tuple(sig))
@@ -125,11 +133,11 @@ def points(docs: DataFrame) -> DataFrame:
         if kept:
             yield frequent()
 
-    return mapped(docs.select("text", "doc_id"), run, "doc_id long, n long, s1 long, s2 long, hot long")
+    return mapped(docs.select("text", "doc_id"), run, "doc_id long, n long, s1 long, s2 long, classes binary, hot long")
 
 
 def first_regions(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(region, doc_id, n) of each document's window of shingle pivots."""
+    """(region, doc_id) of each document's window of shingle pivots."""
     last = docs.sparkSession.sparkContext.broadcast(hot)  # HOT numbers at most
 
     def run(batches: Iterator) -> Iterator:
@@ -137,7 +145,7 @@ def first_regions(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
         hot = last.value
         for ids, sets in _sets(batches):
-            tokens, own, sizes = [], [], []
+            tokens, own = [], []
             for doc, s in zip(ids.to_pylist(), sets):
                 if not len(s):
                     continue
@@ -152,35 +160,33 @@ def first_regions(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     t = s[:want]
                 tokens.append(t)
                 own.append(doc)
-                sizes.append(len(s))
             if tokens:
                 k = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(own, np.int64), k)), pa.array(np.repeat(np.array(sizes, np.int64), k))], ["region", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(own, np.int64), k))], ["region", "doc_id"])
 
-    return mapped(docs.select("text", "doc_id"), run, "region long, doc_id long, n long")
+    return mapped(docs.select("text", "doc_id"), run, "region long, doc_id long")
 
 
-def next_regions(docs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(region, doc_id, n) as ``first_regions`` inside each part (part, doc_id), with exact frequencies in it."""
+def next_regions(docs: DataFrame, left: DataFrame) -> DataFrame:
+    """(region, doc_id) as ``first_regions``, for the documents that are left, with exact frequencies among them."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for ids, sets in _sets(batches):
             k = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids.to_numpy(), k)), pa.array(np.repeat(np.array(k, np.int64), k))], ["shingle", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids.to_numpy(), k))], ["region", "doc_id"])
 
     from pyspark.sql import Window as W
 
-    ids = small_or_shuffled(parts.select("doc_id").distinct(), F.lit(1), SMALL)
-    sets = mapped(docs.join(ids, "doc_id").select("text", "doc_id"), run, "shingle long, doc_id long, n long")
-    rows = written(sets.join(small_or_shuffled(parts, F.lit(2), SMALL), "doc_id").select("part", F.xxhash64("part", "shingle").alias("region"), "doc_id", "n").distinct(), "shingles")
+    some = docs.join(small_or_shuffled(left, F.lit(1), SMALL), "doc_id").select("text", "doc_id")
+    rows = written(mapped(some, run, "region long, doc_id long").distinct(), "shingles")
     often = rows.groupBy("region").agg(F.count("*").alias("df")).filter("df > 1")
     # Shingles that no other has come first in the order, but make no region.
     shared = rows.join(often, "region")
-    alone = rows.groupBy("part", "doc_id").agg(F.count("*").alias("total")).join(shared.groupBy("part", "doc_id").agg(F.count("*").alias("some")), ["part", "doc_id"]).select("part", "doc_id", (F.col("total") - F.col("some")).alias("alone"))
-    ranked = shared.withColumn("rank", F.row_number().over(W.partitionBy("part", "doc_id").orderBy("df", "region")))
-    return ranked.join(alone, ["part", "doc_id"]).filter("rank + alone <= n div 4 + 1").select("region", "doc_id", "n")
+    sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n")).join(shared.groupBy("doc_id").agg(F.count("*").alias("some")), "doc_id")
+    ranked = shared.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy("df", "region")))
+    return ranked.join(sizes, "doc_id").filter("rank + n - some <= n div 4 + 1").select("region", "doc_id")
 
 
 def distances(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -211,25 +217,55 @@ def distances(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return mapped(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), measure, "a long, b long, both long, either long")
 
 
-#: Links, and what a distance of 0.5 and its sizes are.
-_LINKED, _NEAR, _WINDOW = "100 * both >= 75 * either", "2 * both >= either", "2 * least(n, m) >= greatest(n, m)"
+#: A link, and a distance of 0.5 or less.
+_LINKED, _NEAR = "100 * both >= 75 * either", "2 * both >= either"
+
+
+def screened(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with what sizes and classes allow: may_link, may_near.
+
+    Two sets' counts in a class differ by what the sets do not share at least,
+    and at a Jaccard distance of d they do not share d / (2 - d) of their sizes'
+    sum at most.  Counts stop at 255, which only makes a difference smaller.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16) for i in (2, 3))
+            n, m = b.column(4).to_numpy(), b.column(5).to_numpy()
+            apart = np.maximum(np.abs(x - y).sum(1), np.abs(n - m))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(7 * apart <= n + m), pa.array(3 * apart <= n + m)], ["a", "b", "may_link", "may_near"])
+
+    of = lambda end, c, n: sets.select(F.col("doc_id").alias(end), F.col("classes").alias(c), F.col("n").alias(n))
+    both = pairs.distinct().join(of("a", "x", "n"), "a").join(of("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
+    # An id that stands for several sets may have several rows here.
+    return mapped(both, run, "a long, b long, may_link boolean, may_near boolean").groupBy("a", "b").agg(F.max("may_link").alias("may_link"), F.max("may_near").alias("may_near"))
 
 
 def _distinct_regions(members: DataFrame) -> DataFrame:
-    """(region, doc_id, n) of regions with two members or more, of equal regions one.
+    """(region, doc_id) of regions with two members or more, of equal regions one.
 
     Two members are told by the aggregate that finds the region; only larger
     regions, one of each set of members, are looked up again.
     """
-    one = F.struct("doc_id", "n")
-    sign = lambda seed: F.bit_xor(F.xxhash64("doc_id", F.lit(seed)))
-    found = members.groupBy("region").agg(F.count("*").alias("size"), F.min(one).alias("p"), F.max(one).alias("q"), sign(1).alias("x1"), sign(2).alias("x2"))
-    kept = written(found.filter("size > 1").groupBy("size", "x1", "x2").agg(F.min(F.struct("region", "p", "q")).alias("r")).select("size", "r.*"), "regions")
-    two = kept.filter("size = 2").select("region", F.explode(F.array("p", "q")).alias("d")).select("region", "d.*")
-    more = members.join(small_or_shuffled(kept.filter("size > 2").select("region"), F.lit(1), SMALL), "region")
+    found = members.groupBy("region").agg(F.count("*").alias("size"), F.min("doc_id").alias("p"), F.max("doc_id").alias("q"), F.bit_xor(F.xxhash64("doc_id")).alias("x"))
+    kept = written(found.filter("p < q").groupBy("size", "p", "q", "x").agg(F.min("region").alias("region")), "regions")
+    two = kept.filter("size = 2").select("region", F.explode(F.array("p", "q")).alias("doc_id"))
+    more = members.join(small_or_shuffled(kept.filter("size > 2").select("region"), F.lit(1), SMALL), "region").distinct()
     return two.unionByName(more)
 
 
+def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, linked, near) of pairs, near where it may be, and the components with their links."""
+    seen = written(screened(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), sets), "screened")
+    measured = distances(docs, seen.filter("may_link").select("a", "b")).groupBy("a", "b").agg(F.max(F.expr(_LINKED)).alias("linked"), F.max(F.expr(_NEAR)).alias("near"))
+    out = seen.join(measured, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("near", "may_near").alias("near"))
+    out = written(out, "compared")
+    return out, joined_components(known, out.filter("linked").select("a", "b"))
+
+
 def _placed(members: DataFrame, known: DataFrame) -> DataFrame:
     """Members with their component, of groups (first column) that have several."""
     group = members.columns[0]
@@ -238,45 +274,50 @@ def _placed(members: DataFrame, known: DataFrame) -> DataFrame:
     return every.join(several, group)
 
 
-def _round(docs: DataFrame, members: DataFrame, known: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Components after the pivots of each region are compared with its members, and the parts that are left."""
+def _round(docs: DataFrame, sets: DataFrame, members: DataFrame, known: DataFrame, pivots: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Components after the regions' members have met their pivots, and the documents that are left."""
     open_ = written(_placed(members, known), "open")
-    # Components are dealt to the pivots' places; in a region of few members each has one.
-    salt = F.when(F.col("size") <= pivots, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("component", F.lit(pivots)), F.lit(pivots)))
-    own = open_.groupBy("region", "size", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(pivots)), "doc_id", "n", "component")).alias("p"))
-    own = written(own.select("region", "salt", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("m"), F.col("p.component").alias("c")), "pivots")
-    # In a small region a pair is compared once, and only if it could link; in a larger one every distance to a pivot counts.
-    met = open_.join(small_or_shuffled(own, F.lit(5), SMALL), "region").filter(
-        f"doc_id <> pivot and {_WINDOW} and (size > {pivots} or (doc_id < pivot and component <> c and 4 * least(n, m) >= 3 * greatest(n, m)))"
-    )
-    met = written(met.select("region", "size", "salt", "pivot", "doc_id"), "met")
-    pairs = met.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-    measured = written(distances(docs, pairs), "distances")
-    known = joined_components(known, measured.filter(_LINKED).select("a", "b"))
-
-    near = met.filter(F.col("size") > pivots).withColumns({"a": F.least("doc_id", "pivot"), "b": F.greatest("doc_id", "pivot")}).join(measured.filter(_NEAR), ["a", "b"])
-    near = near.groupBy("region", "doc_id", "salt").agg(F.max(F.expr(_LINKED)).alias("linked"))
-    first = near.groupBy("region", "doc_id").agg(F.min(F.when(F.col("linked"), F.col("salt"))).alias("first"))
-    large = open_.filter(F.col("size") > pivots).join(own.select("region", F.col("pivot").alias("doc_id")), ["region", "doc_id"], "left_anti").select("region", "doc_id").distinct()
-    inside = near.join(first, ["region", "doc_id"]).filter("first is null or salt <= first").select("region", "doc_id", "salt")
-    outside = large.join(first.filter("first is not null"), ["region", "doc_id"], "left_anti").select("region", "doc_id", F.lit(-1).cast("long").alias("salt"))
-    parts = inside.join(large, ["region", "doc_id"]).unionByName(outside).select(F.xxhash64("region", "salt").alias("part"), "doc_id")
-    return known, written(_placed(parts, known).select("part", "doc_id").distinct(), "parts")
-
-
-def joined(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    # Components are dealt to the pivots' places.
+    salt = F.when(F.col("size") <= least, F.lit(0)).otherwise(F.pmod(F.xxhash64("component", F.lit(pivots)), F.lit(pivots)))
+    own = open_.groupBy("region", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(pivots)), "doc_id", "component")).alias("p"))
+    own = written(own.select("region", "salt", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("c")), "pivots")
+    met = open_.join(small_or_shuffled(own, F.lit(4), SMALL), "region").filter("doc_id <> pivot")
+    met = written(met.select("region", "size", "salt", F.col("doc_id").alias("x"), F.col("pivot").alias("y"), (F.col("component") == F.col("c")).alias("same")), "met")
+    to_pivots, known = _compared(docs, sets, met.filter("not same").select("x", "y"), known)
+
+    again = written(_placed(open_.select("region", "doc_id"), known).join(own.select("region", F.col("pivot").alias("doc_id")), ["region", "doc_id"], "left_anti"), "again")
+    few = again.filter(F.col("size") <= least)
+    other = few.select("region", F.col("doc_id").alias("y"), F.col("component").alias("c"))
+    pairs = few.join(other, "region").filter("doc_id < y and component <> c").select(F.col("doc_id").alias("x"), "y")
+    _, known = _compared(docs, sets, pairs, known)
+
+    # Parts of larger regions.  Whether a member is within a pivot's 0.25 or 0.5 is not known where one component has both.
+    ends = met.filter(F.col("size") > least).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
+    near = ends.join(to_pivots, ["a", "b"], "left").filter("same or near").groupBy("region", "salt", F.col("x").alias("doc_id")).agg(F.max(F.coalesce("linked", F.lit(False))).alias("linked"), F.max("same").alias("same"))
+    first = near.filter("linked").groupBy("region", "doc_id").agg(F.min("salt").alias("first"))
+    # A part in which no member is within 0.25 of its pivot has no pair that the rest has not.
+    takes = near.groupBy("region", "salt").agg(F.max(F.expr("linked or same")).alias("takes")).filter("takes").select("region", "salt")
+    large = again.filter(F.col("size") > least).select("region", "doc_id")
+    inside = near.join(takes, ["region", "salt"]).join(first, ["region", "doc_id"], "left").filter("first is null or salt <= first").select("region", "doc_id", "salt").join(large, ["region", "doc_id"])
+    outside = large.join(first, ["region", "doc_id"], "left_anti").select("region", "doc_id", F.lit(-1).cast("long").alias("salt"))
+    parts = inside.select(F.xxhash64("region", "salt").alias("part"), "doc_id").unionByName(outside.select(F.xxhash64("region", "salt").alias("part"), "doc_id"))
+    return known, written(_placed(parts, known).select("doc_id").distinct(), "left")
+
+
+def joined(docs: DataFrame, pivots: int = PIVOTS, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     base = own_columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = written(points(base), "points")
     own = rows.filter("hot is null").select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
+    sets = rows.filter("hot is null and doc_id is not null and n > 0").select("doc_id", "n", "classes")
     counts = rows.filter("hot is not null").groupBy("hot").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
     often = counts.orderBy(F.desc("n"), "hot").limit(HOT).select("hot").toArrow().column("hot").to_numpy()
     hot = np.sort(often.view(np.uint64))
 
     # The least id of equal sets stands for them; an id with several sets links what stands for them.
     real = own.filter("doc_id is not null and n_shingles > 0")
-    least = real.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    stands = written(real.join(least, ["n_shingles", "s1", "s2"]).select("doc_id", "rep").distinct(), "stands")
+    lowest = real.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    stands = written(real.join(lowest, ["n_shingles", "s1", "s2"]).select("doc_id", "rep").distinct(), "stands")
     home = stands.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("high"), F.max(F.expr("doc_id = rep")).alias("itself"))
     several = stands.join(home.filter("rep <> high").select("doc_id", F.col("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
     known = joined_components(None, several)
@@ -284,10 +325,10 @@ def joined(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     texts = base.filter("doc_id is not null")
     members = first_regions(texts.join(others, "doc_id", "left_anti"), hot)
     while True:
-        known, parts = _round(texts, written(_distinct_regions(members), "members"), known, pivots)
-        if parts.isEmpty():
+        known, left = _round(texts, sets, written(_distinct_regions(members), "members"), known, pivots, least)
+        if left.isEmpty():
             break
         pivots *= 2
-        members = next_regions(texts, parts)
+        members = next_regions(texts, left)
     of = home.select("doc_id", "rep").join(known.select(F.col("doc_id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     return own.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -172,8 +172,8 @@ def brute_jaccard(rows):
     return [(i, len(s), c) for i, (s, c) in enumerate(zip(sets, label))]
 
 
-@pytest.mark.parametrize("least", [2, 8])
-def test_jaccard_equals_brute_force(spark, least):
+@pytest.mark.parametrize("pivots,least", [(1, 2), (2, 8)])
+def test_jaccard_equals_brute_force(spark, pivots, least):
     r = random.Random(8)
     vocab = [f"w{i}" for i in range(800)]
     rows = texts(8, 30)
@@ -185,7 +185,7 @@ def test_jaccard_equals_brute_force(spark, least):
                 x[r.randrange(size)] = r.choice(vocab)
             rows.append(" ".join(x))
     rows += ["one two three four", "ONE two\tthree  four", "one", "One"]
-    assert sorted(map(tuple, jaccard.joined(frame(spark, rows, True), least).collect())) == brute_jaccard(rows)
+    assert sorted(map(tuple, jaccard.joined(frame(spark, rows, True), pivots, least).collect())) == brute_jaccard(rows)
 
 
 def test_jaccard_ids_that_repeat_or_are_null(spark):
