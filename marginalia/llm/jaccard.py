@@ -23,7 +23,7 @@ Documents link when 4 * |x & y| >= 3 * |x | y|, a Jaccard distance of 0.25 or le
   have met all members and leave.
 * Members of parts that have several components left are a smaller space, which
   is joined in the same way, with their exact frequencies for the order of
-  shingles.  Every round has twice the pivots, so rounds end.
+  shingles.  Every round has more pivots, so rounds end.
 * Before a distance is computed, both sets' distances to ``CLASSES`` more pivots -
   classes of the shingles, told by their hash - bound it from below.
 
@@ -49,10 +49,10 @@ from .components import joined_components
 from .repeats import _SPACE, Hasher, buffers, mix, small_or_shuffled
 
 SHINGLE = 5
-#: Members of a region that are compared with each other; pivots of a larger one in the first round, twice as many in each next one.
+#: Members of a region that are compared with each other; pivots of a larger one in the first round, sixteen times as many in each next one.
 LEAST, PIVOTS = 16, 2
 #: Classes of shingles.
-CLASSES = 64
+CLASSES = 256
 #: Numbers in a side of a join that is sent to all tasks; a larger one is shuffled.
 SMALL = 500_000
 #: A shingle in this many sets of one task, and in this many in all, is put last; at most so many shingles are.
@@ -127,7 +127,7 @@ def points(docs: DataFrame) -> DataFrame:
                     seen.add(tuple(sig))
                     kept.append(s)
                     size += len(s)
-            if size > 8_000_000:
+            if size > 3_000_000:
                 yield frequent()
                 kept, size, seen = [], 0, set()
         if kept:
@@ -277,8 +277,8 @@ def _placed(members: DataFrame, known: DataFrame) -> DataFrame:
 def _round(docs: DataFrame, sets: DataFrame, members: DataFrame, known: DataFrame, pivots: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Components after the regions' members have met their pivots, and the documents that are left."""
     open_ = written(_placed(members, known), "open")
-    # Components are dealt to the pivots' places.
-    salt = F.when(F.col("size") <= least, F.lit(0)).otherwise(F.pmod(F.xxhash64("component", F.lit(pivots)), F.lit(pivots)))
+    # Components are dealt to the pivots' places, if there are fewer places than members.
+    salt = F.when(F.col("size") <= least, F.lit(0)).when(F.col("size") <= pivots, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("component", F.lit(pivots)), F.lit(pivots)))
     own = open_.groupBy("region", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(pivots)), "doc_id", "component")).alias("p"))
     own = written(own.select("region", "salt", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("c")), "pivots")
     met = open_.join(small_or_shuffled(own, F.lit(4), SMALL), "region").filter("doc_id <> pivot")
@@ -328,7 +328,7 @@ def joined(docs: DataFrame, pivots: int = PIVOTS, least: int = LEAST) -> DataFra
         known, left = _round(texts, sets, written(_distinct_regions(members), "members"), known, pivots, least)
         if left.isEmpty():
             break
-        pivots *= 2
+        pivots *= 16
         members = next_regions(texts, left)
     of = home.select("doc_id", "rep").join(known.select(F.col("doc_id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     return own.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
