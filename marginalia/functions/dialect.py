@@ -69,6 +69,18 @@ class Dialect:
     def json(self, x: str, path: str) -> str:
         return f"get_json_object({x}, '{path}')"
 
+    def blocks(self, x: str, path: str) -> str:
+        """The items of a JSON array, as JSON texts; none where the text is no JSON."""
+        return f"coalesce(from_json(CASE WHEN {self.valid_json(x)} THEN get_json_object({x}, '{path}') END, 'array<string>'), array())"
+
+    def array(self, items: list[str]) -> str:
+        return f"array({', '.join(items)})"
+
+    def decoded(self, x: str, kind: str) -> str:
+        """The text that a run of hex or base64 stands for; null if it is none."""
+        b = f"unhex({x})" if kind == "hex" else f"try_to_binary({x}, 'base64')"
+        return f"CASE WHEN is_valid_utf8(cast({b} as string)) THEN cast({b} as string) END"
+
     def starts(self, ts: str, unit: str = "day") -> str:
         return f"date_trunc('{unit}', {ts})"
 
@@ -114,6 +126,15 @@ class Duck(Dialect):
     def json(self, x: str, path: str) -> str:
         return f"json_extract_string({x}, '{path}')"
 
+    def blocks(self, x: str, path: str) -> str:
+        return f"CASE WHEN json_valid({x}) THEN json_extract({x}, '{path}[*]') ELSE [] END"
+
+    def array(self, items: list[str]) -> str:
+        return f"[{', '.join(items)}]"
+
+    def decoded(self, x: str, kind: str) -> str:
+        return f"try(decode({'unhex' if kind == 'hex' else 'from_base64'}({x})))"
+
 
 SPARK, DUCK = Dialect(), Duck()
 _NAME = re.compile(r"@([a-z_]+)")

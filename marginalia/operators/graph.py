@@ -18,12 +18,13 @@ def src_6_rejected(d: Dialect) -> str:
 
 
 def join_7_unfiled(d: Dialect) -> str:
-    return "SELECT p.skill FROM @pkg p WHERE NOT EXISTS (SELECT 1 FROM @pkg c WHERE c.skill = p.skill AND c.category IS NOT NULL)"
+    """Packages that the catalog does not file."""
+    return "SELECT p.skill FROM @pkg p WHERE NOT EXISTS (SELECT 1 FROM @catalog c WHERE c.skill = p.skill)"
 
 
 def join_8_filed_missing(d: Dialect) -> str:
-    """Names that edges file under a package type but nobody holds."""
-    return "SELECT DISTINCT e.to_id AS name FROM @edge e WHERE NOT EXISTS (SELECT 1 FROM @pkg p WHERE p.skill = e.to_id)"
+    """Entries of the catalog that have no package, with the category that files them."""
+    return "SELECT c.category, c.skill FROM @catalog c WHERE NOT EXISTS (SELECT 1 FROM @pkg p WHERE p.skill = c.skill)"
 
 
 _CHECK = """SELECT e.from_id, e.to_id, e.type, CASE WHEN e.type = 'overlaps' THEN 'measured, not declared' WHEN f.skill IS NULL THEN 'from not held'
@@ -142,7 +143,8 @@ def grph_1_graph(d: Dialect) -> str:
 
 
 def grph_2_overlap_edges(d: Dialect) -> str:
-    return "SELECT c.covers AS a, c.covered AS b, round(c.coverage, 6) AS weight FROM @coverer c WHERE EXISTS (SELECT 1 FROM @node n WHERE n.id = c.covers) AND EXISTS (SELECT 1 FROM @node n WHERE n.id = c.covered)"
+    """Measured overlaps whose both ends are packages of the graph."""
+    return "SELECT c.covers AS a, c.covered AS b, round(c.coverage, 6) AS weight FROM @coverer c JOIN (SELECT skill FROM @pkg GROUP BY skill) AS x ON x.skill = c.covers JOIN (SELECT skill FROM @pkg GROUP BY skill) AS y ON y.skill = c.covered"
 
 
 def grph_3_neighbourhood(d: Dialect) -> str:

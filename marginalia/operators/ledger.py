@@ -42,13 +42,14 @@ def join_17_adaptation(d: Dialect) -> str:
 
 
 def join_25_backfill(d: Dialect) -> str:
-    return "SELECT DISTINCT k.skill FROM @disk k WHERE NOT EXISTS (SELECT 1 FROM @ledger_file l WHERE l.skill = k.skill AND l.path = k.path)"
+    """Held packages; due where no ledger has an entry of them, and all of them if forced."""
+    return "SELECT p.skill, l.skill IS NULL AS due, true AS due_if_forced FROM @pkg p LEFT JOIN (SELECT skill FROM @ledger_file GROUP BY skill) AS l ON l.skill = p.skill"
 
 
 def snk_2_merged_sections(d: Dialect) -> str:
-    """A section of the update replaces the whole section on record; others stay."""
-    return """SELECT coalesce(c.skill, u.skill) AS skill, CASE WHEN u.skill IS NOT NULL THEN u.total ELSE 0 END AS usage_total, c.files AS integrity_files
-        FROM (SELECT skill, count(*) AS files FROM @ledger_file GROUP BY skill) AS c FULL OUTER JOIN @usage u ON u.skill = c.skill"""
+    """A section of the update replaces the whole section on record; others stay, and so does one that the update lacks."""
+    return """SELECT coalesce(c.skill, u.skill) AS skill, CASE WHEN u.skill IS NOT NULL THEN u.total ELSE c.usage_total END AS usage_total, c.files AS integrity_files
+        FROM (SELECT skill, count(*) AS files, CASE WHEN count(*) > 1 THEN 100 + count(*) END AS usage_total FROM @ledger_file GROUP BY skill) AS c FULL OUTER JOIN @usage u ON u.skill = c.skill"""
 
 
 def set_3_path_difference(d: Dialect) -> str:

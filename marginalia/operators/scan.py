@@ -43,28 +43,75 @@ def scan_2_execution(d: Dialect) -> str:
     return f"SELECT skill, path, {', '.join(_counts(d, 'code'))} FROM ({_code(d)}) AS c"
 
 
-def _graded(d: Dialect) -> str:
-    """Findings of each file by severity, over all rules."""
-    total = lambda sev: " + ".join(d.count("text" if s == "text" else "code", _pattern(d, j, r)) for _, v, s, j, r in rules() if v == sev)
-    return f"SELECT skill, path, {total('BLOCK')} AS block, {total('REVIEW')} AS review FROM ({_code(d)}) AS c"
+#: What a rule's match has in it, in lower case, at least one of; a text without any is not searched.
+_HINTS = {
+    "INSTR-OVERRIDE": "ignore", "INSTR-SUPREMACY": "regardless irrespective", "INSTR-EXFIL": "http", "INSTR-REMOTE": "http", "INSTR-NOCONFIRM": "without",
+    "INSTR-AUTOAPPROVE": "approve allow accept", "INSTR-AUTHORITY": "override mode directive instruction command", "INSTR-CONCEAL": "tell inform notify mention reveal disclos show",
+    "EXEC-PIPESHELL": "curl wget", "EXEC-DESTRUCTIVE": "rm shred mkfs dd dev", "EXEC-VCS": "git gh", "EXEC-INSTALL": "i", "EXEC-PRIVILEGE": "sudo doas chown chmod setuid",
+}
+
+
+def _found(d: Dialect, code: str, surface: str, pattern: str) -> str:
+    x = "text" if surface == "text" else "code"
+    count = d.count(x, pattern)
+    if code not in _HINTS:
+        return count
+    return f"CASE WHEN {' OR '.join(f'contains(low, {d.text(h)})' for h in _HINTS[code].split())} THEN {count} ELSE 0 END"
+
+
+def finding(d: Dialect) -> str:
+    """(skill, path, code, sev, n): every finding of the scan, of all its parts, with how often it was made.
+
+    An input for the verdict and the order of findings.  Null texts give none;
+    equal files of different packages are found each; the excerpt is not kept.
+    """
+    known = rules()
+    counts = d.array([_found(d, c, s, _pattern(d, j, r)) for c, _, s, j, r in known])
+    each = d.exploded(f"(SELECT skill, path, {counts} AS counts FROM (SELECT *, lower(text) AS low FROM ({_code(d)}) AS c0) AS c)" + (" AS c" if d.name == "spark" else ""), "counts", "skill, path", "n", "k")
+    code = "CASE k " + " ".join(f"WHEN {k} THEN '{c}'" for k, (c, *_) in enumerate(known)) + " END"
+    sev = "CASE k " + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, v, *_) in enumerate(known)) + " END"
+    of = lambda sql, code, sev, n="n": f"SELECT skill, path, {code} AS code, {sev} AS sev, cast({n} as bigint) AS n FROM ({sql}) AS q"
+    hidden = scan_4_hidden_chars(d)
+    comments = f"SELECT skill, path, what, count(*) AS n FROM ({_comments(d, '(SELECT skill, path, text FROM @file)', 'skill, path')}) AS c WHERE what <> 'plain' GROUP BY skill, path, what"
+    encoded = f"SELECT skill, path, hostile, count(*) AS n FROM ({scan_7_encoded_runs(d)}) AS e WHERE kind <> 'path' GROUP BY skill, path, hostile"
+    front_ = f"SELECT skill, code, count(*) AS n FROM ({scan_13_frontmatter_checks(d)}) AS f GROUP BY skill, code"
+    parts = [
+        f"SELECT skill, path, {code} AS code, {sev} AS sev, cast(n as bigint) AS n FROM ({each}) AS r WHERE n > 0",
+        of(f"SELECT * FROM ({scan_3_folded(d)}) AS f WHERE disguised > 0", "'DISGUISED'", "'BLOCK'", "disguised"),
+        *(of(f"SELECT * FROM ({hidden}) AS h WHERE {c} > 0", f"'HIDDEN-{c.upper()}'", "'BLOCK'", c) for c in ("invisible", "bidi", "tags")),
+        of(f"SELECT * FROM ({scan_5_homoglyphs(d)}) AS h WHERE homoglyphs > 0", "'HOMOGLYPH'", "'REVIEW'", "homoglyphs"),
+        of(comments, "CASE WHEN what = 'directive' THEN 'COMMENT-DIRECTIVE' ELSE 'COMMENT-HOSTILE' END", "CASE WHEN what = 'directive' THEN 'REVIEW' ELSE 'BLOCK' END"),
+        of(encoded, "CASE WHEN hostile THEN 'ENCODED-PAYLOAD' ELSE 'ENCODED' END", "CASE WHEN hostile THEN 'BLOCK' ELSE 'NOTE' END"),
+        of(f"SELECT * FROM ({scan_8_escape_runs(d)}) AS e WHERE runs > 0", "'ESCAPES'", "'REVIEW'", "runs"),
+        of(scan_9_unfenced_code(d), "'UNFENCED'", "'REVIEW'", "lines"),
+        of(f"SELECT skill, path, count(*) AS n FROM ({scan_10_imports(d)}) AS i GROUP BY skill, path", "'IMPORT'", "'REVIEW'"),
+        of(f"SELECT *, 1 AS n FROM ({scan_12_layout(d)}) AS l WHERE layout <> 'fine'", "'LAYOUT'", "'BLOCK'"),
+        of(f"SELECT skill, 'SKILL.md' AS path, code, n FROM ({front_}) AS g", "code", "CASE WHEN code IN ('HOOKFRONTMATTER', 'TRIGGERBREADTH', 'DUPKEY', 'DESCANGLE') THEN 'REVIEW' ELSE 'NOTE' END"),
+        of(f"SELECT skill, referrer AS path, count(*) AS n FROM ({join_11_dead_references(d)}) AS x GROUP BY skill, referrer", "'DEADREF'", "'REVIEW'"),
+        of(f"SELECT *, 1 AS n FROM ({join_12_orphans(d)}) AS o", "'ORPHAN'", "sev"),
+    ]
+    return " UNION ALL ".join(parts)
+
+
+_EXCLUDED = "path LIKE 'references/%'"
 
 
 def agg_1_verdict(d: Dialect) -> str:
-    """Findings that are not excluded (here: references are), and the verdict, of every package."""
-    keep = "CASE WHEN path LIKE 'references/%' THEN 0 ELSE {} END"
-    return f"""SELECT skill, cast(sum({keep.format('block')}) as bigint) AS blocks, cast(sum({keep.format('review')}) as bigint) AS reviews, cast(sum(CASE WHEN path LIKE 'references/%' THEN block + review ELSE 0 END) as bigint) AS excluded,
-        CASE WHEN sum({keep.format('block')}) > 0 THEN 'do not adopt' WHEN sum({keep.format('review')}) > 0 THEN 'review' ELSE 'clean' END AS verdict FROM ({_graded(d)}) AS g GROUP BY skill"""
+    """Findings that are not excluded (here: references are), the verdict and the exit code of every package, clean ones too."""
+    n = lambda sev, out: f"cast(coalesce(sum(CASE WHEN sev = '{sev}' AND {'' if out else 'NOT '}{_EXCLUDED} THEN n ELSE 0 END), 0) as bigint)"
+    return f"""SELECT skill, blocks, reviews, notes, excluded, CASE WHEN blocks > 0 THEN 'do not adopt' WHEN reviews > 0 THEN 'review' ELSE 'clean' END AS verdict, CASE WHEN blocks > 0 THEN 2 WHEN reviews > 0 THEN 1 ELSE 0 END AS exit_code
+        FROM (SELECT h.skill, {n('BLOCK', False)} AS blocks, {n('REVIEW', False)} AS reviews, {n('NOTE', False)} AS notes, cast(coalesce(sum(CASE WHEN {_EXCLUDED} THEN n ELSE 0 END), 0) as bigint) AS excluded
+              FROM (SELECT skill FROM @file GROUP BY skill) AS h LEFT JOIN @finding f ON f.skill = h.skill GROUP BY h.skill) AS g"""
 
 
 def top_1_order(d: Dialect) -> str:
-    """Place of each file with findings: worst severity first, then path."""
-    return f"SELECT skill, path, block, review, row_number() OVER (PARTITION BY skill ORDER BY CASE WHEN block > 0 THEN 0 ELSE 1 END, path) AS place FROM ({_graded(d)}) AS g WHERE block + review > 0"
+    """Place of each finding in its package: worst severity first, then path, then code."""
+    return "SELECT skill, path, code, sev, n, row_number() OVER (PARTITION BY skill ORDER BY CASE sev WHEN 'BLOCK' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END, path, code) AS place FROM @finding"
 
 
 def top_6_first_block(d: Dialect) -> str:
-    """The first rule that blocks each package, by the rules' order, and its file."""
-    case = " ".join(f"WHEN {d.like('text' if s == 'text' else 'code', _pattern(d, j, r))} THEN '{k:02d} {c}'" for k, (c, v, s, j, r) in enumerate(rules()) if v == "BLOCK")
-    return f"SELECT skill, substr(min(concat(code, ' ', path)), 4) AS first_block FROM (SELECT skill, path, CASE {case} END AS code FROM ({_code(d)}) AS c) AS x WHERE code IS NOT NULL GROUP BY skill"
+    """The first finding that blocks each package, by path and code."""
+    return "SELECT skill, min(concat(path, ' ', code)) AS first_block FROM @finding WHERE sev = 'BLOCK' GROUP BY skill"
 
 
 def scan_3_folded(d: Dialect) -> str:
@@ -85,20 +132,26 @@ def scan_5_homoglyphs(d: Dialect) -> str:
     return f"SELECT skill, path, {d.count('spans', '[' + ''.join(confusables()) + ']')} AS homoglyphs FROM (SELECT skill, path, {spans} AS spans FROM @file) AS s"
 
 
-def scan_6_html_comments(d: Dialect) -> str:
-    """Comments of pages and files: hostile (the first rule in order), directive, or plain."""
-    source = "(SELECT concat('page-', page_id) AS id, html AS text FROM @pages UNION ALL SELECT concat(skill, '/', path), text FROM @file)"
+def _comments(d: Dialect, source: str, columns: str) -> str:
     case = " ".join(f"WHEN {d.like('inner_', _pattern(d, j, r))} THEN '{c}'" for c, _, _, j, r in rules())
     word = _edges(d, r"(?i)\b(?:you[ \t\r\n\f\v]+must|always|never|do[ \t\r\n\f\v]+not|run|execute|fetch|read[ \t\r\n\f\v]+the)\b")
-    each = d.exploded(source if d.name == "duckdb" else f"{source} AS s", d.all("text", COMMENT, 1), "id", "inner_")
-    return f"SELECT id, pos, length(inner_) AS length, CASE {case} WHEN {d.like('inner_', word)} THEN 'directive' ELSE 'plain' END AS what FROM ({each}) AS c"
+    each = d.exploded(source if d.name == "duckdb" else f"{source} AS s", d.all("text", COMMENT, 1), columns, "inner_")
+    return f"SELECT {columns}, pos, length(inner_) AS length, CASE {case} WHEN {d.like('inner_', word)} THEN 'directive' ELSE 'plain' END AS what FROM ({each}) AS c"
+
+
+def scan_6_html_comments(d: Dialect) -> str:
+    """Comments of pages and files: hostile (the first rule in order), directive, or plain."""
+    return _comments(d, "(SELECT concat('page-', page_id) AS id, html AS text FROM @pages UNION ALL SELECT concat(skill, '/', path), text FROM @file)", "id")
 
 
 def scan_7_encoded_runs(d: Dialect) -> str:
-    """Long runs of the base64 alphabet: paths, digests or hex, and the rest."""
+    """Long runs of the base64 alphabet: paths, hex and base64; what the latter say, if it is text, and whether a rule matches it."""
     source = "(SELECT skill, path, text FROM @file)"
     each = d.exploded(source if d.name == "duckdb" else f"{source} AS s", d.all("text", RUN), "skill, path", "run")
-    return f"SELECT skill, path, pos, length(run) AS length, CASE WHEN {d.count('run', '/')} * 16 > length(run) THEN 'path' WHEN {d.like('run', '^[0-9a-fA-F]+$')} THEN 'hex' ELSE 'base64' END AS kind FROM ({each}) AS r"
+    kind = f"CASE WHEN {d.count('run', '/')} * 16 > length(run) THEN 'path' WHEN {d.like('run', '^[0-9a-fA-F]+$')} THEN 'hex' ELSE 'base64' END"
+    said = f"CASE WHEN kind = 'hex' AND length(run) % 2 = 0 THEN {d.decoded('run', 'hex')} WHEN kind = 'base64' AND length(run) % 4 = 0 THEN {d.decoded('run', 'base64')} END"
+    hostile = " OR ".join(d.like("said", _pattern(d, j, r)) for _, _, _, j, r in rules())
+    return f"SELECT skill, path, pos, length, kind, said IS NOT NULL AS is_text, coalesce({hostile}, false) AS hostile FROM (SELECT skill, path, pos, length(run) AS length, kind, {said} AS said FROM (SELECT *, {kind} AS kind FROM ({each}) AS r) AS k) AS t"
 
 
 def scan_8_escape_runs(d: Dialect) -> str:
@@ -117,7 +170,8 @@ def scan_9_unfenced_code(d: Dialect) -> str:
 
 def scan_10_imports(d: Dialect) -> str:
     """Packages that are imported and no builtin of the runtime."""
-    each = d.exploded("(SELECT skill, path, text FROM @file WHERE path LIKE 'scripts/%')" + (" AS s" if d.name == "spark" else ""), d.all("text", r"""(?m)^[ \t]*(?:import[ \t\n](?s:.*?)from[ \t\n]+|const[ \t].*?=[ \t]*require[ \t]*\([ \t]*)['"]([^'".][^'"]*)['"]""", 1), "skill, path", "name")
+    code = d.like("path", "[.](sh|py|js|mjs|ts)$")
+    each = d.exploded(f"(SELECT skill, path, text FROM @file WHERE path LIKE 'scripts/%' OR {code})" + (" AS s" if d.name == "spark" else ""), d.all("text", r"""(?m)^[ \t]*(?:import[ \t\n](?s:.*?)from[ \t\n]+|const[ \t].*?=[ \t]*require[ \t]*\([ \t]*)['"]([^'".][^'"]*)['"]""", 1), "skill, path", "name")
     return f"SELECT skill, path, name FROM ({each}) AS i WHERE name NOT LIKE 'node:%'"
 
 
@@ -132,24 +186,24 @@ def scan_12_layout(d: Dialect) -> str:
 _FRONT = """SELECT skill, pos, line FROM (SELECT skill, pos, line, sum(CASE WHEN line = '---' THEN 1 ELSE 0 END) OVER (PARTITION BY skill ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rules FROM @line WHERE path = 'SKILL.md') AS l WHERE rules = 1 AND line <> '---'"""
 
 
-def _front(d: Dialect) -> str:
+def front(d: Dialect) -> str:
     key, value = d.first("line", "^([A-Za-z_-]+):"), d.sub("line", "^[A-Za-z_-]+:[ ]*", "")
     return f"SELECT skill, pos, k AS key, v AS value, count(*) OVER (PARTITION BY skill, k) AS n, row_number() OVER (PARTITION BY skill, k ORDER BY pos DESC) AS back FROM (SELECT skill, pos, {key} AS k, {value} AS v FROM ({_FRONT}) AS f) AS g WHERE k <> ''"
 
 
 def prj_4_frontmatter(d: Dialect) -> str:
     """Keys and values; of a repeated key the last counts."""
-    return f"SELECT skill, key, value, n > 1 AS duplicate FROM ({_front(d)}) AS f WHERE back = 1"
+    return f"SELECT skill, key, value, n > 1 AS duplicate FROM ({front(d)}) AS f WHERE back = 1"
 
 
 def win_8_duplicate_keys(d: Dialect) -> str:
-    return f"SELECT skill, key, n FROM ({_front(d)}) AS f WHERE back = 1 AND n > 1"
+    return f"SELECT skill, key, n FROM ({front(d)}) AS f WHERE back = 1 AND n > 1"
 
 
 def scan_13_frontmatter_checks(d: Dialect) -> str:
     """Everything wrong with a package's frontmatter, one row per problem."""
     named = lambda keys: ", ".join(f"'{k}'" for k in keys)
-    f = f"({_front(d)})"
+    f = f"({front(d)})"
     tier = f"CASE WHEN key IN ({named(SPEC_KEYS)}) THEN NULL WHEN key IN ({named(HOOK_KEYS)}) THEN 'HOOKFRONTMATTER' WHEN key IN ({named(HARNESS_KEYS)}) THEN 'NONPORTABLE' ELSE 'UNKNOWNKEY' END"
     breadth = _edges(d, r"(?i)\b(?:always|any[ ]+(?:task|request|time|question)|all[ ]+(?:tasks|requests|code)|every[ ]+(?:task|time|request)|whenever[ ]+possible)\b")
     desc = lambda code, cond: f"SELECT skill, '{code}' AS code, key FROM {f} AS f WHERE back = 1 AND key = 'description' AND {cond}"
@@ -197,8 +251,8 @@ def prj_7_excluded(d: Dialect) -> str:
 
 
 def prj_8_withheld(d: Dialect) -> str:
-    """Findings without evidence: counts stay, the matched text goes."""
-    return f"SELECT skill, path, block + review AS findings, cast(NULL as varchar(10)) AS evidence FROM ({_graded(d)}) AS g WHERE block + review > 0"
+    """Findings without evidence: code and count stay, the matched text goes."""
+    return "SELECT skill, path, code, sev, n, '[withheld]' AS evidence FROM @finding"
 
 
 def win_6_fence_state(d: Dialect) -> str:

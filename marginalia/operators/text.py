@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.dialect import Dialect
+from .scan import front
 
 
 def prj_3_roles(d: Dialect) -> str:
@@ -15,7 +16,8 @@ def prj_5_held(d: Dialect) -> str:
 
 
 def prj_6_manual_only(d: Dialect) -> str:
-    return "SELECT skill, max(CASE WHEN lower(line) = 'disable-model-invocation: true' THEN 1 ELSE 0 END) = 1 AS manual_only FROM @line WHERE path = 'SKILL.md' GROUP BY skill"
+    """Whether the frontmatter of each package's spine keeps it for calls by hand; without frontmatter it does not."""
+    return f"SELECT p.skill, coalesce(f.yes, 0) = 1 AS manual_only FROM (SELECT skill FROM @file WHERE path = 'SKILL.md' GROUP BY skill) AS p LEFT JOIN (SELECT skill, max(CASE WHEN lower(value) = 'true' THEN 1 ELSE 0 END) AS yes FROM ({front(d)}) AS f WHERE key = 'disable-model-invocation' AND back = 1 GROUP BY skill) AS f ON f.skill = p.skill"
 
 
 def prj_12_leaves(d: Dialect) -> str:
@@ -92,14 +94,15 @@ def agg_12_contract(d: Dialect) -> str:
 
 
 #: Records made of labels: a verdict, and a table of findings where quality is bad.
-_RECORD = "SELECT doc_id, concat('| **Verdict** | ', CASE WHEN toxic = 1 THEN 'REJECT' WHEN quality = 1 THEN 'ADOPT' ELSE '<menu>' END, ' |', CASE WHEN quality = 0 THEN concat(chr(10), '| 1 | `INSTR-OVERRIDE` | SKILL.md:1 | ', CASE WHEN doc_id % 2 = 0 THEN 'accepted' ELSE 'undecided' END, ' | x |') ELSE '' END) AS text FROM @labels"
+_RECORD = "SELECT doc_id, concat('| **Verdict** | ', CASE WHEN toxic = 1 THEN 'REJECT' WHEN quality = 1 THEN 'ADOPT' ELSE '<menu>' END, ' |', CASE WHEN quality = 0 THEN concat(chr(10), '| 1 | `INSTR-OVERRIDE` | SKILL.md:1 | ', CASE WHEN doc_id % 2 = 0 THEN 'accepted' ELSE 'undecided' END, ' | x |', chr(10), '| 2 | `EXEC-EVAL` | scripts/run.sh:2 | ', CASE WHEN doc_id % 3 = 0 THEN 'open' ELSE 'false positive' END, ' | y |') ELSE '' END) AS text FROM @labels"
 
 
 def agg_13_audit(d: Dialect) -> str:
     """Verdict, findings and whether all are decided, of each record; null where there is no table."""
     verdict = d.first("text", r"\|[ ]*\*\*Verdict\*\*[ ]*\|[ *]*(ADOPT|REVISE|REJECT)", 1)
-    row = r"(?m)^\|[ ]*[0-9]+[ ]*\|[ ]*`?[A-Z]+-[A-Z0-9]+`?[ ]*\|[^|]*\|([^|]*)\|"
-    return f"SELECT doc_id, nullif({verdict}, '') AS verdict, nullif({d.count('text', row)}, 0) AS findings, CASE WHEN {d.count('text', row)} > 0 THEN {d.like(d.first('text', row), '^[ ]*(real|accepted|false positive|fixed|removed|n/a)')} END AS dispositioned FROM ({_RECORD}) AS r"
+    row = r"(?m)^\|[ ]*[0-9]+[ ]*\|[ ]*`?[A-Z]+-[A-Z0-9]+`?[ ]*\|[^|]*\|"
+    decided = row + "[ ]*(?:real|accepted|false positive|fixed|removed|n/a)"
+    return f"SELECT doc_id, nullif({verdict}, '') AS verdict, nullif({d.count('text', row)}, 0) AS findings, CASE WHEN {d.count('text', row)} > 0 THEN {d.count('text', decided)} = {d.count('text', row)} END AS dispositioned FROM ({_RECORD}) AS r"
 
 
 def agg_14_record_gate(d: Dialect) -> str:

@@ -27,21 +27,22 @@ def agg_4_totals(d: Dialect) -> str:
 
 def _parsed(d: Dialect) -> str:
     ok = d.valid_json("line")
-    return f"SELECT event_id, {ok} AS ok, CASE WHEN {ok} THEN {d.json('line', '$.timestamp')} END AS called, CASE WHEN {ok} THEN {d.json('line', '$.message.content[0].name')} END AS tool, CASE WHEN {ok} THEN {d.json('line', '$.message.content[0].input.skill')} END AS skill FROM @transcript"
+    return f"SELECT event_id, {ok} AS ok, CASE WHEN {ok} THEN {d.json('line', '$.timestamp')} END AS called, file FROM @transcript"
 
 
 def fn_13_tool_events(d: Dialect) -> str:
-    """Invocations out of transcript records; malformed lines and other tools give none."""
-    return f"SELECT event_id, skill, called FROM ({_parsed(d)}) AS p WHERE tool = 'Skill' AND skill <> ''"
+    """Invocations out of transcript records, of every block of each; malformed lines and other tools give none."""
+    each = d.exploded("@transcript", d.blocks("line", "$.message.content"), "event_id, line", "block")
+    return f"SELECT event_id, pos, {d.json('block', '$.input.skill')} AS skill, {d.json('line', '$.timestamp')} AS called FROM ({each}) AS b WHERE {d.json('block', '$.type')} = 'tool_use' AND {d.json('block', '$.name')} = 'Skill' AND {d.json('block', '$.input.skill')} <> ''"
 
 
 def agg_5_corpus_depth(d: Dialect) -> str:
-    return f"SELECT min(called) AS oldest, max(called) AS newest, count(*) AS lines, sum(CASE WHEN ok THEN 0 ELSE 1 END) AS skipped, cast({d.days('cast(min(called) as date)', 'cast(max(called) as date)')} as bigint) AS span_days FROM ({_parsed(d)}) AS p"
+    return f"SELECT min(called) AS oldest, max(called) AS newest, count(DISTINCT file) AS files, count(*) AS lines, sum(CASE WHEN ok THEN 0 ELSE 1 END) AS skipped, cast({d.days('cast(min(called) as date)', 'cast(max(called) as date)')} as bigint) AS span_days FROM ({_parsed(d)}) AS p"
 
 
 def agg_6_window_meta(d: Dialect) -> str:
     """Whether each window reaches back before the oldest dated record."""
-    return f"SELECT n AS days, cast({NOW} - INTERVAL 1 DAY * n as date) AS starts, {NOW} - INTERVAL 1 DAY * n < o.oldest AS before_corpus FROM (VALUES (7), (30), (90)) AS w(n) CROSS JOIN (SELECT min(called) AS oldest FROM @event) AS o"
+    return f"SELECT n AS days, cast({NOW} - INTERVAL 1 DAY * n as date) AS starts, cast({NOW} as date) AS ends, {NOW} - INTERVAL 1 DAY * n < o.oldest AS before_corpus FROM (VALUES (7), (30), (90)) AS w(n) CROSS JOIN (SELECT min(called) AS oldest FROM @event) AS o"
 
 
 def join_1_usage_cost(d: Dialect) -> str:

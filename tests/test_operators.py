@@ -124,7 +124,10 @@ def test_coverage_is_asymmetric_and_cosine_symmetric(spark):
 
 def test_empty_tables(spark):
     empty = frame(spark, [], "skill string, path string, text string")
-    for op in (scan.scan_1_instructions, scan.scan_2_execution, scan.scan_12_layout, scan.agg_1_verdict):
+    none = frame(spark, [], "skill string, path string, code string, sev string, n long")
+    for op in (scan.scan_1_instructions, scan.scan_2_execution, scan.scan_12_layout, scan.scan_7_encoded_runs):
         assert run(spark, op, file=empty).count() == 0
+    for op in (scan.agg_1_verdict, scan.top_1_order, scan.top_6_first_block, scan.prj_8_withheld):
+        assert run(spark, op, file=empty, finding=none).count() == 0
     assert run(spark, usage.agg_2_window_counts, usage=frame(spark, [], "skill string, d7 long, d30 long, d90 long, total long")).count() == 0
     assert run(spark, graph.src_4_edges, edge=frame(spark, [], "from_id string, to_id string, type string, status string")).count() == 0
