@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import new_path, written
+from .common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -49,8 +49,11 @@ def joined_components(known: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges, written, with their number and an order-free hash of them, which the write counts."""
-    seen = Observation()
-    spark, path = edges.sparkSession, new_path(edges.sparkSession, "edges")
-    edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).write.parquet(path)
-    return spark.read.schema(edges.schema).parquet(path), (seen.get["n"], seen.get["x"])
+    """The edges, written, with their number and an order-free hash of them.
+
+    The two are read from what was written, as an observation of the write would
+    stay with the session, which fitted models must be able to carry along.
+    """
+    now = written(edges, "edges")
+    r = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+    return now, (r.n, r.x)
