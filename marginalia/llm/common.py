@@ -48,9 +48,26 @@ BATCH = "8m"
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
-    """``mapInArrow`` with batches bounded in bytes, so that long texts come a few at a time."""
+    """``mapInArrow`` with batches bounded in bytes, so that long texts come a few at a time.
+
+    A task gives free memory back when it is over, as its worker lives on.
+    """
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Returns this process's free memory to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library; free memory stays with the process
 
 
 _KEPT: dict = {}
@@ -65,11 +82,7 @@ def kept(key, make: Callable):
     if key not in _KEPT:
         if _KEPT:
             _KEPT.clear()
-            gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):
-                pass  # another C library; freed memory stays with the process
+            give_back()
         _KEPT[key] = make()
     return _KEPT[key]
 

@@ -127,7 +127,7 @@ def points(docs: DataFrame) -> DataFrame:
                     seen.add(tuple(sig))
                     kept.append(s)
                     size += len(s)
-            if size > 3_000_000:
+            if size > 1_500_000:
                 yield frequent()
                 kept, size, seen = [], 0, set()
         if kept:

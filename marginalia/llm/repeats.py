@@ -53,7 +53,7 @@ FEW = 20_000
 #: Words of a passage that is surely found, and of the windows that find it.
 PASSAGE, WORDS = 51, 25
 #: Bytes of the texts that are gone through at once, about; a longer text is by itself.
-BUFFER = 1 << 20
+BUFFER = 1 << 18
 
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
