@@ -59,6 +59,8 @@ SMALL = 500_000
 SEEN, OFTEN, HOT = 2, 8, 1_000_000
 
 _CLASS = np.uint64(64 - CLASSES.bit_length() + 1)
+#: Two fifths of the hashes' range.
+_LOW = np.uint64((1 << 64) * 2 // 5)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Odd numbers that tell a word's place in a shingle (fixed values).
@@ -125,9 +127,10 @@ def points(docs: DataFrame) -> DataFrame:
             for s, *sig in zip(sets, n.tolist(), s1.tolist(), s2.tolist()):
                 if tuple(sig) not in seen:
                     seen.add(tuple(sig))
-                    kept.append(s)
-                    size += len(s)
-            if size > 1_500_000:
+                    # A window takes the least hashes, so frequency matters in this part of their range only.
+                    kept.append(s[: np.searchsorted(s, _LOW)])
+                    size += len(kept[-1])
+            if size > 3_000_000:
                 yield frequent()
                 kept, size, seen = [], 0, set()
         if kept:
