@@ -115,7 +115,7 @@ def test_sections_and_rejections(spark):
 def test_coverage_is_asymmetric_and_cosine_symmetric(spark):
     from marginalia.plans.derive import RELATIONS
 
-    docs = frame(spark, [(1, "Animation motion transition spring gesture typography colour layout.", "en", "s"), (2, "Animation motion transition.", "en", "s"), (3, "Database migrations planning.", "en", "s")], "doc_id long, text string, lang string, source string")
+    docs = frame(spark, [(1, "Harbour lantern compass anchor rigging timber canvas voyage.", "en", "s"), (2, "Harbour lantern compass.", "en", "s"), (3, "Orchard blossom grafting.", "en", "s")], "doc_id long, text string, lang string, source string")
     known = {"documents": docs}
     rel = lambda n: known[n] if n in known else run(spark, RELATIONS[n], **{m: rel(m) for m in __import__("marginalia.functions.dialect", fromlist=["needs"]).needs(RELATIONS[n](__import__("marginalia.functions.dialect", fromlist=["SPARK"]).SPARK))})
     got = run(spark, overlap.agg_9_coverage, pair=rel("pair")).collect()
