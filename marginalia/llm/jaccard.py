@@ -8,7 +8,8 @@ Documents link when 4 * |x & y| >= 3 * |x | y|, a Jaccard distance of 0.25 or le
   within 0.25 lacks a quarter of x's shingles at most, so of any order that all
   sets share, the first floor(n / 4) + 1 shingles of two linked sets have one in
   common: that window says into which regions a set must be replicated.  The
-  order takes rare shingles before those seen to be frequent, then goes by hash.
+  order takes rare shingles before those seen to be frequent, these by their
+  counts' powers of two, then goes by hash.
   Any order gives the same links; a good one keeps regions small.  Regions with
   the same members are one.
 * A region takes documents of different components as pivots, one, or ``PIVOTS``
@@ -56,11 +57,9 @@ CLASSES = 256
 #: Numbers in a side of a join that is sent to all tasks; a larger one is shuffled.
 SMALL = 500_000
 #: A shingle in this many sets of one task, and in this many in all, is put last; at most so many shingles are.
-SEEN, OFTEN, HOT = 2, 8, 1_000_000
+SEEN, OFTEN, HOT = 2, 2, 1_000_000
 
 _CLASS = np.uint64(64 - CLASSES.bit_length() + 1)
-#: Two fifths of the hashes' range.
-_LOW = np.uint64((1 << 64) * 2 // 5)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Odd numbers that tell a word's place in a shingle (fixed values).
@@ -78,7 +77,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     after = np.concatenate([solid[1:], [False]]) if n else solid
     lo = np.flatnonzero(solid & (~before | edge[:n]))
     hi = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    word = Hasher(data).of(0, lo, hi)
+    word = Hasher(data, 1).of(0, lo, hi)
     first = np.searchsorted(lo, bounds)
     sums = np.zeros(max(0, len(word) - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
@@ -96,7 +95,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
 
 
 def _sets(batches: Iterator) -> Iterator[tuple]:
-    """Ids (an Arrow array, as they may be null) and shingle sets of (text, doc_id) batches, a megabyte of text at a time."""
+    """Ids (an Arrow array, as they may be null) and shingle sets of (text, doc_id) batches, a buffer of texts at a time."""
     for b in batches:
         for lo, hi, data, bounds in buffers(b.column(0)):
             yield b.column(1).slice(lo, hi - lo), shingle_sets(data, bounds)
@@ -127,10 +126,9 @@ def points(docs: DataFrame) -> DataFrame:
             for s, *sig in zip(sets, n.tolist(), s1.tolist(), s2.tolist()):
                 if tuple(sig) not in seen:
                     seen.add(tuple(sig))
-                    # A window takes the least hashes, so frequency matters in this part of their range only.
-                    kept.append(s[: np.searchsorted(s, _LOW)])
+                    kept.append(s)
                     size += len(kept[-1])
-            if size > 3_000_000:
+            if size > 2_000_000:
                 yield frequent()
                 kept, size, seen = [], 0, set()
         if kept:
@@ -139,14 +137,14 @@ def points(docs: DataFrame) -> DataFrame:
     return mapped(docs.select("text", "doc_id"), run, "doc_id long, n long, s1 long, s2 long, classes binary, hot long")
 
 
-def first_regions(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(region, doc_id) of each document's window of shingle pivots."""
-    last = docs.sparkSession.sparkContext.broadcast(hot)  # HOT numbers at most
+def first_regions(docs: DataFrame, hot: np.ndarray, level: np.ndarray) -> DataFrame:
+    """(region, doc_id) of each document's window of shingle pivots; ``level`` orders the sorted ``hot`` ones after all others."""
+    last = docs.sparkSession.sparkContext.broadcast((hot, level))  # HOT numbers at most
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hot = last.value
+        hot, level = last.value
         for ids, sets in _sets(batches):
             tokens, own = [], []
             for doc, s in zip(ids.to_pylist(), sets):
@@ -155,10 +153,7 @@ def first_regions(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 want = len(s) // 4 + 1
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    often = hot[at] == s
-                    t = s[~often][:want]
-                    if len(t) < want:
-                        t = np.concatenate([t, s[often][: want - len(t)]])
+                    t = s[np.argsort(np.where(hot[at] == s, level[at], 0), kind="stable")[:want]]
                 else:
                     t = s[:want]
                 tokens.append(t)
@@ -314,8 +309,10 @@ def joined(docs: DataFrame, pivots: int = PIVOTS, least: int = LEAST) -> DataFra
     own = rows.filter("hot is null").select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
     sets = rows.filter("hot is null and doc_id is not null and n > 0").select("doc_id", "n", "classes")
     counts = rows.filter("hot is not null").groupBy("hot").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
-    often = counts.orderBy(F.desc("n"), "hot").limit(HOT).select("hot").toArrow().column("hot").to_numpy()
-    hot = np.sort(often.view(np.uint64))
+    often = counts.orderBy(F.desc("n"), "hot").limit(HOT).select("hot", F.log2("n").cast("byte").alias("level")).toArrow()
+    hot, level = often.column("hot").to_numpy().view(np.uint64), often.column("level").to_numpy()
+    order = np.argsort(hot)
+    hot, level = hot[order], level[order]
 
     # The least id of equal sets stands for them; an id with several sets links what stands for them.
     real = own.filter("doc_id is not null and n_shingles > 0")
@@ -326,7 +323,7 @@ def joined(docs: DataFrame, pivots: int = PIVOTS, least: int = LEAST) -> DataFra
     known = joined_components(None, several)
     others = small_or_shuffled(written(home.filter("not itself").select("doc_id"), "others"), F.lit(1), SMALL)
     texts = base.filter("doc_id is not null")
-    members = first_regions(texts.join(others, "doc_id", "left_anti"), hot)
+    members = first_regions(texts.join(others, "doc_id", "left_anti"), hot, level)
     while True:
         known, left = _round(texts, sets, written(_distinct_regions(members), "members"), known, pivots, least)
         if left.isEmpty():

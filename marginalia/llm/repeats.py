@@ -62,12 +62,12 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Hasher:
-    """Two families of polynomial hashes mod 2**64 of all substrings of a buffer."""
+    """Two families, or as many as are asked for, of polynomial hashes mod 2**64 of all substrings of a buffer."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, families: int = 2):
         n = len(data)
         self.sums, self.back = [], []
-        for family in (0, 1):
+        for family in range(families):
             r = np.random.default_rng(1000 + family)
             letters = r.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
             base = int(r.integers(1 << 40, 1 << 62)) * 8 + 5
