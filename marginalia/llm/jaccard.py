@@ -279,7 +279,10 @@ def _round(docs: DataFrame, sets: DataFrame, members: DataFrame, known: DataFram
     salt = F.when(F.col("size") <= least, F.lit(0)).when(F.col("size") <= pivots, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("component", F.lit(pivots)), F.lit(pivots)))
     own = open_.groupBy("region", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(pivots)), "doc_id", "component")).alias("p"))
     own = written(own.select("region", "salt", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("c")), "pivots")
-    met = open_.join(small_or_shuffled(own, F.lit(4), SMALL), "region").filter("doc_id <> pivot")
+    # Only a region that is divided needs the distances of one component's members; where all are pivots, a pair meets once.
+    divided = max(least, pivots)
+    wanted = f"doc_id <> pivot and (size > {divided} or component <> c and (size <= {least} or doc_id > pivot))"
+    met = open_.join(small_or_shuffled(own, F.lit(4), SMALL), "region").filter(wanted)
     met = written(met.select("region", "size", "salt", F.col("doc_id").alias("x"), F.col("pivot").alias("y"), (F.col("component") == F.col("c")).alias("same")), "met")
     to_pivots, known = _compared(docs, sets, met.filter("not same").select("x", "y"), known)
 
@@ -290,7 +293,7 @@ def _round(docs: DataFrame, sets: DataFrame, members: DataFrame, known: DataFram
     _, known = _compared(docs, sets, pairs, known)
 
     # Parts of larger regions.  Whether a member is within a pivot's 0.25 or 0.5 is not known where one component has both.
-    ends = met.filter(F.col("size") > least).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
+    ends = met.filter(F.col("size") > divided).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
     near = ends.join(to_pivots, ["a", "b"], "left").filter("same or near").groupBy("region", "salt", F.col("x").alias("doc_id")).agg(F.max(F.coalesce("linked", F.lit(False))).alias("linked"), F.max("same").alias("same"))
     first = near.filter("linked").groupBy("region", "doc_id").agg(F.min("salt").alias("first"))
     # A part in which no member is within 0.25 of its pivot has no pair that the rest has not.
