@@ -1,4 +1,4 @@
-"""Training-data operators: the ten numbered operators and their queries.
+"""Training-data operators: the numbered operators and their queries.
 
 Nothing else in the library imports this subpackage.
 """

@@ -93,13 +93,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .word_runs import told, with_planted, word_runs
+
+    return told(word_runs(with_planted(table(spark, sf_dir, "documents"), crc_of_id())))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_jaccard_join, op2_toxicity_cnn, op3_repeated_bytes, op4_best_fit_packing, op5_id_containers, op6_secret_scan, op7_media_columns, op8_quality_compression,
-        op9_bpe_round_trip, op10_quality_rules,
+        op9_bpe_round_trip, op10_quality_rules, op11_word_runs, op12_lexical_search,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import lexical, word_runs
+
+    return {"op11_word_runs": word_runs.ORACLE, "op12_lexical_search": lexical.ORACLE}
