@@ -174,6 +174,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, most: int = BLOCK)
     spark: SparkSession = docs.sparkSession
     answers = spark.createDataFrame([], "item_id long, doc_id long, score long")
     for block in blocks(items, most):
+        if not block.number:
+            continue
         n_docs, n_terms, holds = corpus_counts(docs, block)
         if not holds:
             continue

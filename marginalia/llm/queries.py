@@ -105,10 +105,16 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_shortest_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shortest_packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_jaccard_join, op2_toxicity_cnn, op3_repeated_bytes, op4_best_fit_packing, op5_id_containers, op6_secret_scan, op7_media_columns, op8_quality_compression,
-        op9_bpe_round_trip, op10_quality_rules, op11_word_runs, op12_lexical_search,
+        op9_bpe_round_trip, op10_quality_rules, op11_word_runs, op12_lexical_search, op13_shortest_packing,
     )
     return {f.__name__: f for f in own}
 

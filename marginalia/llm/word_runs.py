@@ -238,18 +238,16 @@ def with_planted(docs: DataFrame, key: Column) -> DataFrame:
     With g = key div 10 and n words: from word a = g % n on, words are the
     p = 1 + (n - a) div (3 + g % 8) words from a on, over and over.
     """
-    words = F.expr("filter(split(coalesce(text, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')")
-    some = own_columns(docs, "doc_id", "text").withColumn("key", key).withColumn("planted", F.expr("pmod(key, 10) = 0"))
-    as_is = some.filter("planted is null or not planted").select("doc_id", "text")
-    made = (
-        some.filter("planted").withColumn("words", words).withColumn("n", F.expr("cast(size(words) as bigint)")).withColumn("g", F.expr("key div 10"))
-        .withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n ELSE 0 END")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
-        .withColumn("unit", F.expr("array_join(slice(words, cast(a + 1 as int), cast(least(p, n - a) as int)), ' ')"))
-        .withColumn("whole", F.expr("(n - a) div p")).withColumn("rest", F.expr("cast((n - a) % p as int)"))
-        .withColumn("parts", F.expr("array(array_join(slice(words, 1, cast(a as int)), ' '), repeat(concat(unit, ' '), cast(whole as int)), array_join(slice(words, cast(a + 1 as int), rest), ' '))"))
-        .select("doc_id", F.expr("CASE WHEN n > 0 THEN array_join(parts, ' ') ELSE text END").alias("text"))
+    words = "CASE WHEN pmod(key, 10) = 0 THEN filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '') END"
+    return (
+        own_columns(docs, "doc_id", "text").withColumn("key", key).withColumn("words", F.expr(words))
+        .withColumn("n", F.expr("nullif(cast(size(words) as bigint), 0)")).withColumn("g", F.expr("key div 10"))
+        .withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+        .withColumn("unit", F.expr("concat(array_join(slice(words, cast(a + 1 as int), cast(p as int)), ' '), ' ')"))
+        .withColumn("rest", F.expr("array_join(slice(words, cast(a + 1 as int), cast((n - a) % p as int)), ' ')"))
+        .withColumn("made", F.expr("concat(array_join(slice(words, 1, cast(a as int)), ' '), ' ', repeat(unit, cast((n - a) div p as int)), rest)"))
+        .select("doc_id", F.expr("CASE WHEN n > 0 THEN made ELSE text END").alias("text"))
     )
-    return as_is.unionByName(made)
 
 
 def told(docs: DataFrame) -> DataFrame:
