@@ -45,9 +45,9 @@ class Dialect:
     def sha(self, x: str) -> str:
         return f"sha2({x}, 256)"
 
-    def joined(self, x: str, distinct: bool = True, order: str | None = None) -> str:
-        """Values in order, joined by commas."""
-        return f"listagg({'DISTINCT ' if distinct else ''}{x}, ',') WITHIN GROUP (ORDER BY {order or x})"
+    def joined(self, x: str, distinct: bool = True, order: str | None = None, by: str = ",") -> str:
+        """Values in order, joined by commas or another mark."""
+        return f"listagg({'DISTINCT ' if distinct else ''}{x}, '{by}') WITHIN GROUP (ORDER BY {order or x})"
 
     def exploded(self, source: str, array: str, columns: str, item: str = "item", pos: str = "pos") -> str:
         """SELECT of ``columns``, and the array's items with their places from 0."""
@@ -76,6 +76,51 @@ class Dialect:
     def array(self, items: list[str]) -> str:
         return f"array({', '.join(items)})"
 
+    def kept(self, array: str, item: str, condition: str) -> str:
+        """The array's items that meet a condition on ``item``."""
+        return f"filter({array}, {item} -> {condition})"
+
+    def mapped(self, array: str, item: str, value: str) -> str:
+        return f"transform({array}, {item} -> {value})"
+
+    def together(self, array: str, by: str) -> str:
+        return f"array_join({array}, {self.text(by)})"
+
+    def size(self, array: str) -> str:
+        return f"cast(size({array}) as bigint)"
+
+    def matched(self, hits: str, gaps: str) -> str:
+        """Structs (hit, seg, nxt) of a text's matches and gaps: seg is what lies between the begins of the match before and this one, nxt the gap after."""
+        return f"transform({hits}, (h, i) -> named_struct('hit', h, 'seg', concat(CASE WHEN i > 0 THEN {hits}[i - 1] ELSE '' END, {gaps}[i]), 'nxt', {gaps}[i + 1]))"
+
+    def run_of(self, x: str, over: str) -> str:
+        """Strings of a window's frame in a row."""
+        return f"array_join(collect_list({x}) OVER ({over}), '')"
+
+    def code_point(self, x: str, width: int, upper: bool = True) -> str:
+        """The hexadecimal code point of a character, of ``width`` digits at least."""
+        return f"format_string('%0{width}{'X' if upper else 'x'}', ascii({x}))"
+
+    def to_bytes(self, x: str) -> str:
+        return f"cast({x} as binary)"
+
+    def to_text(self, x: str) -> str:
+        """Bytes as text; what is no UTF-8 is replaced."""
+        return f"make_valid_utf8(cast({x} as string))"
+
+    def part(self, x: str, start: int, n: int) -> str:
+        """``n`` bytes from place ``start``, counted from 1."""
+        return f"substring({x}, {start}, {n})"
+
+    def has_nul(self, x: str) -> str:
+        return f"contains({x}, X'00')"
+
+    def from_hex(self, x: str) -> str:
+        return f"unhex({x})"
+
+    def from_base64(self, x: str) -> str:
+        return f"try_to_binary({x}, 'base64')"
+
     def decoded(self, x: str, kind: str) -> str:
         """The text that a run of hex or base64 stands for; null if it is none."""
         b = f"unhex({x})" if kind == "hex" else f"try_to_binary({x}, 'base64')"
@@ -105,8 +150,8 @@ class Duck(Dialect):
     def sha(self, x: str) -> str:
         return f"sha256({x})"
 
-    def joined(self, x: str, distinct: bool = True, order: str | None = None) -> str:
-        return f"string_agg({'DISTINCT ' if distinct else ''}{x}, ',' ORDER BY {order or x})"
+    def joined(self, x: str, distinct: bool = True, order: str | None = None, by: str = ",") -> str:
+        return f"string_agg({'DISTINCT ' if distinct else ''}{x}, '{by}' ORDER BY {order or x})"
 
     def exploded(self, source: str, array: str, columns: str, item: str = "item", pos: str = "pos") -> str:
         return f"SELECT {columns}, _i - 1 AS {pos}, _a[_i] AS {item} FROM (SELECT *, unnest(generate_series(1, len(_a))) AS _i FROM (SELECT *, {array} AS _a FROM {source}))"
@@ -132,6 +177,42 @@ class Duck(Dialect):
     def array(self, items: list[str]) -> str:
         return f"[{', '.join(items)}]"
 
+    def kept(self, array: str, item: str, condition: str) -> str:
+        return f"list_filter({array}, lambda {item}: {condition})"
+
+    def mapped(self, array: str, item: str, value: str) -> str:
+        return f"list_transform({array}, lambda {item}: {value})"
+
+    def together(self, array: str, by: str) -> str:
+        return f"array_to_string({array}, {self.text(by)})"
+
+    def size(self, array: str) -> str:
+        return f"cast(len({array}) as bigint)"
+
+    def matched(self, hits: str, gaps: str) -> str:
+        return f"list_transform({hits}, lambda h, i: {{'hit': h, 'seg': concat(CASE WHEN i > 1 THEN {hits}[i - 1] ELSE '' END, {gaps}[i]), 'nxt': {gaps}[i + 1]}})"
+
+    def run_of(self, x: str, over: str) -> str:
+        return f"string_agg({x}, '') OVER ({over})"
+
+    def code_point(self, x: str, width: int, upper: bool = True) -> str:
+        return f"printf('%0{width}{'X' if upper else 'x'}', unicode({x}))"
+
+    def to_bytes(self, x: str) -> str:
+        return f"encode({x})"
+
+    def to_text(self, x: str) -> str:
+        return f"try(decode({x}))"
+
+    def part(self, x: str, start: int, n: int) -> str:
+        return f"{x}[{start}:{start + n - 1}]"
+
+    def has_nul(self, x: str) -> str:
+        return f"regexp_matches(hex({x}), '^(?:..)*?00')"
+
+    def from_base64(self, x: str) -> str:
+        return f"try(from_base64({x}))"
+
     def decoded(self, x: str, kind: str) -> str:
         return f"try(decode({'unhex' if kind == 'hex' else 'from_base64'}({x})))"
 

@@ -1,13 +1,13 @@
-"""Scan of every file for risky text: rules, hidden characters, layout, frontmatter, verdict."""
+"""Scan of every file for risky text: counts by rule, comments, folded text, profiles and classes of lines."""
 
 from __future__ import annotations
 
 from ..functions.dialect import Dialect
-from ..functions.rules import ARCHIVES, BIDI, HARNESS_KEYS, HOOK_KEYS, INVISIBLE, LICENSE_FILES, LICENSES, SPEC_KEYS, TAGS, confusables, java, rules
+from ..functions.rules import BIDI, DIRECTIVE, ESCAPES, INVISIBLE, LICENSE_FILES, LICENSES, TAGS, alike, ascii_classes, confusables, java, rules
+from .findings import _matches
 
 FENCE = "(?m)^```[^\n]*\n(?s:.*?)^```"
 COMMENT = "<!--((?s:.*?))-->"
-RUN = "[A-Za-z0-9+/]{40,}={0,2}"
 
 
 def _pattern(d: Dialect, own: str, re2: str) -> str:
@@ -19,18 +19,8 @@ def _edges(d: Dialect, pattern: str) -> str:
     return _pattern(d, java(pattern), pattern)
 
 
-def _together(d: Dialect, array: str) -> str:
-    """An array's strings on lines of their own."""
-    return f"array_join({array}, '\\n')" if d.name == "spark" else f"array_to_string({array}, chr(10))"
-
-
-def _code(d: Dialect) -> str:
-    """Files with the text that execution rules look at: scripts whole, others inside fences."""
-    return f"SELECT skill, path, text, CASE WHEN path LIKE 'scripts/%' OR {d.like('path', '[.](sh|py|js|mjs|ts)$')} THEN text ELSE {_together(d, d.all('text', FENCE))} END AS code FROM @file"
-
-
 def _counts(d: Dialect, surface: str) -> list[str]:
-    return [f"{d.count('text' if surface == 'text' else 'code', _pattern(d, j, r))} AS {c.lower().replace('-', '_')}" for c, _, s, j, r in rules() if s == surface]
+    return [f"{d.count('text', _pattern(d, j, r))} AS {c.lower().replace('-', '_')}" for c, _, s, j, r in rules() if s == surface]
 
 
 def scan_1_instructions(d: Dialect) -> str:
@@ -38,80 +28,14 @@ def scan_1_instructions(d: Dialect) -> str:
     return f"SELECT skill, path, {', '.join(_counts(d, 'text'))} FROM @file"
 
 
-def scan_2_execution(d: Dialect) -> str:
-    """Matches of each execution rule in what of each file could run."""
-    return f"SELECT skill, path, {', '.join(_counts(d, 'code'))} FROM ({_code(d)}) AS c"
-
-
-#: What a rule's match has in it, in lower case, at least one of; a text without any is not searched.
-_HINTS = {
-    "INSTR-OVERRIDE": "ignore", "INSTR-SUPREMACY": "regardless irrespective", "INSTR-EXFIL": "http", "INSTR-REMOTE": "http", "INSTR-NOCONFIRM": "without",
-    "INSTR-AUTOAPPROVE": "approve allow accept", "INSTR-AUTHORITY": "override mode directive instruction command", "INSTR-CONCEAL": "tell inform notify mention reveal disclos show",
-    "EXEC-PIPESHELL": "curl wget", "EXEC-DESTRUCTIVE": "rm shred mkfs dd dev", "EXEC-VCS": "git gh", "EXEC-INSTALL": "i", "EXEC-PRIVILEGE": "sudo doas chown chmod setuid",
-}
-
-
-def _found(d: Dialect, code: str, surface: str, pattern: str) -> str:
-    x = "text" if surface == "text" else "code"
-    count = d.count(x, pattern)
-    if code not in _HINTS:
-        return count
-    return f"CASE WHEN {' OR '.join(f'contains(low, {d.text(h)})' for h in _HINTS[code].split())} THEN {count} ELSE 0 END"
-
+def scan_1_offsets(d: Dialect) -> str:
+    """Every match of every instruction rule with its line and column, in code points."""
+    return "SELECT skill, path, code, sev, line, col, evidence FROM @rule_finding WHERE code LIKE 'INSTR-%'"
 
-def finding(d: Dialect) -> str:
-    """(skill, path, code, sev, n): every finding of the scan, of all its parts, with how often it was made.
 
-    An input for the verdict and the order of findings.  Null texts give none;
-    equal files of different packages are found each; the excerpt is not kept.
-    """
-    known = rules()
-    counts = d.array([_found(d, c, s, _pattern(d, j, r)) for c, _, s, j, r in known])
-    each = d.exploded(f"(SELECT skill, path, {counts} AS counts FROM (SELECT *, lower(text) AS low FROM ({_code(d)}) AS c0) AS c)" + (" AS c" if d.name == "spark" else ""), "counts", "skill, path", "n", "k")
-    code = "CASE k " + " ".join(f"WHEN {k} THEN '{c}'" for k, (c, *_) in enumerate(known)) + " END"
-    sev = "CASE k " + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, v, *_) in enumerate(known)) + " END"
-    of = lambda sql, code, sev, n="n": f"SELECT skill, path, {code} AS code, {sev} AS sev, cast({n} as bigint) AS n FROM ({sql}) AS q"
-    hidden = scan_4_hidden_chars(d)
-    comments = f"SELECT skill, path, what, count(*) AS n FROM ({_comments(d, '(SELECT skill, path, text FROM @file)', 'skill, path')}) AS c WHERE what <> 'plain' GROUP BY skill, path, what"
-    encoded = f"SELECT skill, path, hostile, count(*) AS n FROM ({scan_7_encoded_runs(d)}) AS e WHERE kind <> 'path' GROUP BY skill, path, hostile"
-    front_ = f"SELECT skill, code, count(*) AS n FROM ({scan_13_frontmatter_checks(d)}) AS f GROUP BY skill, code"
-    parts = [
-        f"SELECT skill, path, {code} AS code, {sev} AS sev, cast(n as bigint) AS n FROM ({each}) AS r WHERE n > 0",
-        of(f"SELECT * FROM ({scan_3_folded(d)}) AS f WHERE disguised > 0", "'DISGUISED'", "'BLOCK'", "disguised"),
-        *(of(f"SELECT * FROM ({hidden}) AS h WHERE {c} > 0", f"'HIDDEN-{c.upper()}'", "'BLOCK'", c) for c in ("invisible", "bidi", "tags")),
-        of(f"SELECT * FROM ({scan_5_homoglyphs(d)}) AS h WHERE homoglyphs > 0", "'HOMOGLYPH'", "'REVIEW'", "homoglyphs"),
-        of(comments, "CASE WHEN what = 'directive' THEN 'COMMENT-DIRECTIVE' ELSE 'COMMENT-HOSTILE' END", "CASE WHEN what = 'directive' THEN 'REVIEW' ELSE 'BLOCK' END"),
-        of(encoded, "CASE WHEN hostile THEN 'ENCODED-PAYLOAD' ELSE 'ENCODED' END", "CASE WHEN hostile THEN 'BLOCK' ELSE 'NOTE' END"),
-        of(f"SELECT * FROM ({scan_8_escape_runs(d)}) AS e WHERE runs > 0", "'ESCAPES'", "'REVIEW'", "runs"),
-        of(scan_9_unfenced_code(d), "'UNFENCED'", "'REVIEW'", "lines"),
-        of(f"SELECT skill, path, count(*) AS n FROM ({scan_10_imports(d)}) AS i GROUP BY skill, path", "'IMPORT'", "'REVIEW'"),
-        of(f"SELECT *, 1 AS n FROM ({scan_12_layout(d)}) AS l WHERE layout <> 'fine'", "'LAYOUT'", "'BLOCK'"),
-        of(f"SELECT skill, 'SKILL.md' AS path, code, n FROM ({front_}) AS g", "code", "CASE WHEN code IN ('HOOKFRONTMATTER', 'TRIGGERBREADTH', 'DUPKEY', 'DESCANGLE') THEN 'REVIEW' ELSE 'NOTE' END"),
-        of(f"SELECT skill, referrer AS path, count(*) AS n FROM ({join_11_dead_references(d)}) AS x GROUP BY skill, referrer", "'DEADREF'", "'REVIEW'"),
-        of(f"SELECT *, 1 AS n FROM ({join_12_orphans(d)}) AS o", "'ORPHAN'", "sev"),
-    ]
-    return " UNION ALL ".join(parts)
-
-
-_EXCLUDED = "path LIKE 'references/%'"
-
-
-def agg_1_verdict(d: Dialect) -> str:
-    """Findings that are not excluded (here: references are), the verdict and the exit code of every package, clean ones too."""
-    n = lambda sev, out: f"cast(coalesce(sum(CASE WHEN sev = '{sev}' AND {'' if out else 'NOT '}{_EXCLUDED} THEN n ELSE 0 END), 0) as bigint)"
-    return f"""SELECT skill, blocks, reviews, notes, excluded, CASE WHEN blocks > 0 THEN 'do not adopt' WHEN reviews > 0 THEN 'review' ELSE 'clean' END AS verdict, CASE WHEN blocks > 0 THEN 2 WHEN reviews > 0 THEN 1 ELSE 0 END AS exit_code
-        FROM (SELECT h.skill, {n('BLOCK', False)} AS blocks, {n('REVIEW', False)} AS reviews, {n('NOTE', False)} AS notes, cast(coalesce(sum(CASE WHEN {_EXCLUDED} THEN n ELSE 0 END), 0) as bigint) AS excluded
-              FROM (SELECT skill FROM @file GROUP BY skill) AS h LEFT JOIN @finding f ON f.skill = h.skill GROUP BY h.skill) AS g"""
-
-
-def top_1_order(d: Dialect) -> str:
-    """Place of each finding in its package: worst severity first, then path, then code."""
-    return "SELECT skill, path, code, sev, n, row_number() OVER (PARTITION BY skill ORDER BY CASE sev WHEN 'BLOCK' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END, path, code) AS place FROM @finding"
-
-
-def top_6_first_block(d: Dialect) -> str:
-    """The first finding that blocks each package, by path and code."""
-    return "SELECT skill, min(concat(path, ' ', code)) AS first_block FROM @finding WHERE sev = 'BLOCK' GROUP BY skill"
+def scan_2_execution(d: Dialect) -> str:
+    """Matches of each execution rule that begin in code: in all of a code file, in closed fences of others."""
+    return "SELECT skill, path, code, count(*) AS n, min(line) AS first_line FROM @rule_finding WHERE code LIKE 'EXEC-%' GROUP BY skill, path, code"
 
 
 def scan_3_folded(d: Dialect) -> str:
@@ -122,19 +46,9 @@ def scan_3_folded(d: Dialect) -> str:
     return f"SELECT skill, path, folded <> text AS has_lookalikes, CASE WHEN folded <> text THEN {only} ELSE 0 END AS disguised FROM (SELECT skill, path, text, {folded} AS folded FROM @file) AS f"
 
 
-def scan_4_hidden_chars(d: Dialect) -> str:
-    return f"SELECT skill, path, {d.count('text', INVISIBLE)} AS invisible, {d.count('text', BIDI)} AS bidi, {d.count('text', TAGS)} AS tags FROM @file"
-
-
-def scan_5_homoglyphs(d: Dialect) -> str:
-    """Look-alike characters inside fences and inline code."""
-    spans = f"concat({_together(d, d.all('text', FENCE))}, {_together(d, d.all('text', '`[^`' + chr(10) + ']+`'))})"
-    return f"SELECT skill, path, {d.count('spans', '[' + ''.join(confusables()) + ']')} AS homoglyphs FROM (SELECT skill, path, {spans} AS spans FROM @file) AS s"
-
-
 def _comments(d: Dialect, source: str, columns: str) -> str:
     case = " ".join(f"WHEN {d.like('inner_', _pattern(d, j, r))} THEN '{c}'" for c, _, _, j, r in rules())
-    word = _edges(d, r"(?i)\b(?:you[ \t\r\n\f\v]+must|always|never|do[ \t\r\n\f\v]+not|run|execute|fetch|read[ \t\r\n\f\v]+the)\b")
+    word = _edges(d, ascii_classes(DIRECTIVE))
     each = d.exploded(source if d.name == "duckdb" else f"{source} AS s", d.all("text", COMMENT, 1), columns, "inner_")
     return f"SELECT {columns}, pos, length(inner_) AS length, CASE {case} WHEN {d.like('inner_', word)} THEN 'directive' ELSE 'plain' END AS what FROM ({each}) AS c"
 
@@ -144,90 +58,45 @@ def scan_6_html_comments(d: Dialect) -> str:
     return _comments(d, "(SELECT concat('page-', page_id) AS id, html AS text FROM @pages UNION ALL SELECT concat(skill, '/', path), text FROM @file)", "id")
 
 
-def scan_7_encoded_runs(d: Dialect) -> str:
-    """Long runs of the base64 alphabet: paths, hex and base64; what the latter say, if it is text, and whether a rule matches it."""
-    source = "(SELECT skill, path, text FROM @file)"
-    each = d.exploded(source if d.name == "duckdb" else f"{source} AS s", d.all("text", RUN), "skill, path", "run")
-    kind = f"CASE WHEN {d.count('run', '/')} * 16 > length(run) THEN 'path' WHEN {d.like('run', '^[0-9a-fA-F]+$')} THEN 'hex' ELSE 'base64' END"
-    said = f"CASE WHEN kind = 'hex' AND length(run) % 2 = 0 THEN {d.decoded('run', 'hex')} WHEN kind = 'base64' AND length(run) % 4 = 0 THEN {d.decoded('run', 'base64')} END"
-    hostile = " OR ".join(d.like("said", _pattern(d, j, r)) for _, _, _, j, r in rules())
-    return f"SELECT skill, path, pos, length, kind, said IS NOT NULL AS is_text, coalesce({hostile}, false) AS hostile FROM (SELECT skill, path, pos, length(run) AS length, kind, {said} AS said FROM (SELECT *, {kind} AS kind FROM ({each}) AS r) AS k) AS t"
-
-
 def scan_8_escape_runs(d: Dialect) -> str:
-    return f"SELECT skill, path, {d.count('text', r'(?:\\x[0-9a-fA-F]{2}){8,}|(?:\\u[0-9a-fA-F]{4}){6,}')} AS runs FROM @file"
-
+    return f"SELECT skill, path, {d.count('text', ESCAPES)} AS runs FROM @file"
 
-CODE_LINE = r"^[ \t]*(?:(?:function|const|let|var|import|export|return|class|async|await|def|public|private)[ \t]|[@]media[^A-Za-z0-9_]|[.#][A-Za-z][A-Za-z0-9_-]*[ \t]*\{|[A-Za-z-]{2,}[ \t]*:[ \t]*[^;]+;[ \t]*$|\}[ \t]*;?[ \t]*$|[A-Za-z_$][A-Za-z0-9_$]*[ \t]*\([^)]*\)[ \t]*[{;][ \t]*$)"
 
 #: Lines with their fence state: fenced, by the parity of fence marks before.
 _LINES = """SELECT skill, path, pos, line, sum(CASE WHEN line LIKE '```%' THEN 1 ELSE 0 END) OVER (PARTITION BY skill, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS marks FROM @line"""
 
 
-def scan_9_unfenced_code(d: Dialect) -> str:
-    return f"SELECT skill, path, count(*) AS lines, min(pos) + 1 AS first_line FROM ({_LINES}) AS l WHERE path LIKE '%.md' AND marks % 2 = 0 AND line NOT LIKE '```%' AND {d.like('line', CODE_LINE)} GROUP BY skill, path HAVING count(*) >= 3"
-
-
-def scan_10_imports(d: Dialect) -> str:
-    """Packages that are imported and no builtin of the runtime."""
-    code = d.like("path", "[.](sh|py|js|mjs|ts)$")
-    each = d.exploded(f"(SELECT skill, path, text FROM @file WHERE path LIKE 'scripts/%' OR {code})" + (" AS s" if d.name == "spark" else ""), d.all("text", r"""(?m)^[ \t]*(?:import[ \t\n](?s:.*?)from[ \t\n]+|const[ \t].*?=[ \t]*require[ \t]*\([ \t]*)['"]([^'".][^'"]*)['"]""", 1), "skill, path", "name")
-    return f"SELECT skill, path, name FROM ({each}) AS i WHERE name NOT LIKE 'node:%'"
-
-
-def scan_12_layout(d: Dialect) -> str:
-    """Files that mean a bundle, not a package; a package without a spine."""
-    base = d.first("path", "([^/]+)$")
-    return f"""SELECT skill, path, CASE WHEN {d.like('lower(base)', r'^\.?hooks?\.json$')} THEN 'hooks' WHEN lower(base) = '.mcp.json' THEN 'server' WHEN {d.like('lower(base)', r'^settings(\.local)?\.json$')} THEN 'settings' WHEN lower(base) IN ('plugin.json', 'package.json', 'requirements.txt') THEN 'manifest'
-        WHEN {d.like('path', '^(hooks|commands)/')} THEN 'bundle' WHEN spine = 0 THEN 'no spine' ELSE 'fine' END AS layout FROM (SELECT skill, path, {base} AS base, max(CASE WHEN path = 'SKILL.md' THEN 1 ELSE 0 END) OVER (PARTITION BY skill) AS spine FROM @file) AS f"""
-
-
-#: Lines of the frontmatter block of spines: after the first line, up to the next rule.
-_FRONT = """SELECT skill, pos, line FROM (SELECT skill, pos, line, sum(CASE WHEN line = '---' THEN 1 ELSE 0 END) OVER (PARTITION BY skill ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rules FROM @line WHERE path = 'SKILL.md') AS l WHERE rules = 1 AND line <> '---'"""
-
-
-def front(d: Dialect) -> str:
-    key, value = d.first("line", "^([A-Za-z_-]+):"), d.sub("line", "^[A-Za-z_-]+:[ ]*", "")
-    return f"SELECT skill, pos, k AS key, v AS value, count(*) OVER (PARTITION BY skill, k) AS n, row_number() OVER (PARTITION BY skill, k ORDER BY pos DESC) AS back FROM (SELECT skill, pos, {key} AS k, {value} AS v FROM ({_FRONT}) AS f) AS g WHERE k <> ''"
-
-
-def prj_4_frontmatter(d: Dialect) -> str:
-    """Keys and values; of a repeated key the last counts."""
-    return f"SELECT skill, key, value, n > 1 AS duplicate FROM ({front(d)}) AS f WHERE back = 1"
-
-
-def win_8_duplicate_keys(d: Dialect) -> str:
-    return f"SELECT skill, key, n FROM ({front(d)}) AS f WHERE back = 1 AND n > 1"
-
-
-def scan_13_frontmatter_checks(d: Dialect) -> str:
-    """Everything wrong with a package's frontmatter, one row per problem."""
-    named = lambda keys: ", ".join(f"'{k}'" for k in keys)
-    f = f"({front(d)})"
-    tier = f"CASE WHEN key IN ({named(SPEC_KEYS)}) THEN NULL WHEN key IN ({named(HOOK_KEYS)}) THEN 'HOOKFRONTMATTER' WHEN key IN ({named(HARNESS_KEYS)}) THEN 'NONPORTABLE' ELSE 'UNKNOWNKEY' END"
-    breadth = _edges(d, r"(?i)\b(?:always|any[ ]+(?:task|request|time|question)|all[ ]+(?:tasks|requests|code)|every[ ]+(?:task|time|request)|whenever[ ]+possible)\b")
-    desc = lambda code, cond: f"SELECT skill, '{code}' AS code, key FROM {f} AS f WHERE back = 1 AND key = 'description' AND {cond}"
-    parts = [
-        f"SELECT skill, 'DUPKEY' AS code, key FROM {f} AS f WHERE back = 1 AND n > 1",
-        f"SELECT skill, code, key FROM (SELECT skill, {tier} AS code, key FROM {f} AS f WHERE back = 1) AS t WHERE code IS NOT NULL",
-        desc("LONGDESC", "length(value) > 1024"), desc("SHORTDESC", "length(value) < 40"), desc("DESCANGLE", d.like("value", "[<>]")), desc("TRIGGERBREADTH", d.like("value", breadth)), desc("NODESC", "value = ''"),
-        f"SELECT skill, 'BADNAME', key FROM {f} AS f WHERE back = 1 AND key = 'name' AND NOT {d.like('value', '^[a-z0-9-]+$')}",
-        f"SELECT skill, 'NAMEMISMATCH', key FROM {f} AS f WHERE back = 1 AND key = 'name' AND value <> skill",
-        "SELECT skill, 'LONGBODY', '' FROM @file WHERE path = 'SKILL.md' AND " + d.count("text", r"[^ \t\r\n\f\v]+") + " > 5000",
-    ]
-    return " UNION ALL ".join(parts)
+#: Control characters but tab, line feed and carriage return; fixed values.
+CONTROL = r"[\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{009F}]"
 
 
 def scan_14_char_profile(d: Dialect) -> str:
+    """Characters of each class in each document and page, each in the first class that has it, and the longest line."""
     longest = "cast(array_max(transform(split(text, '\\n'), x -> length(x))) as bigint)" if d.name == "spark" else "cast(list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) as bigint)"
-    return f"SELECT doc_id, {d.count('text', '[^' + chr(1) + '-' + chr(127) + ']')} AS non_ascii, {d.count('text', '[' + ''.join(confusables()) + ']')} AS confusable, {d.count('text', INVISIBLE)} AS invisible, {longest} AS longest_line FROM @documents"
+    n = {"control": CONTROL, "invisible": INVISIBLE, "bidi": BIDI, "tags": TAGS, "confusable": alike(d.name == "spark")[1], "wide": r"[^\x{0000}-\x{007F}]", "high": r"[\x{0080}-\x{009F}]"}
+    counts = ", ".join(f"{d.count('text', p)} AS {k}" for k, p in n.items())
+    texts = "SELECT concat('doc-', doc_id) AS id, text FROM @documents UNION ALL SELECT concat('page-', page_id), html FROM @pages UNION ALL SELECT concat(skill, '/', path), text FROM @scanned WHERE path <> 'SKILL.md'"
+    return f"SELECT id, control, invisible, bidi, tags, confusable, wide - invisible - bidi - tags - confusable - high AS other, longest_line FROM (SELECT id, {counts}, {longest} AS longest_line FROM ({texts}) AS t) AS c"
 
 
 def scan_15_line_classes(d: Dialect) -> str:
-    """How many lines of each class every file has."""
-    kind = f"CASE WHEN path = 'SKILL.md' AND (rules = 1 OR (rules = 2 AND line = '---' AND marks = 0)) THEN 'frontmatter' WHEN line LIKE '```%' OR marks % 2 = 1 THEN 'fence' WHEN {d.like('line', '^#{1,6}[ ]')} THEN 'heading' ELSE 'plain' END"
-    lines = "SELECT skill, path, pos, line, sum(CASE WHEN line LIKE '```%' THEN 1 ELSE 0 END) OVER w AS marks, sum(CASE WHEN line = '---' THEN 1 ELSE 0 END) OVER w AS rules FROM @line WINDOW w AS (PARTITION BY skill, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return f"SELECT skill, path, class, count(*) AS lines FROM (SELECT skill, path, {kind} AS class FROM ({lines}) AS l) AS k GROUP BY skill, path, class"
+    """How many lines of each class every file has, and how many of them hold part of a comment.
+
+    Only markdown has classes: frontmatter, if the first line opens it, until
+    the next rule; fences, by pairs of marks, an open one to the end; headings.
+    Comments go on over lines until they are closed.
+    """
+    md = "path LIKE '%.md'"
+    lines = d.exploded("@scanned", d.split(d.sub("text", r"\n\z", ""), "\n"), "skill, path", "line")
+    over = "OVER (PARTITION BY skill, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    ends = f"SELECT skill, path, pos, line, max(CASE WHEN pos = 0 AND line = '---' THEN 1 ELSE 0 END) {over} = 1 AND coalesce(sum(CASE WHEN pos > 0 AND line = '---' THEN 1 ELSE 0 END) {over}, 0) = 0 OR (pos = 0 AND line = '---') AS front FROM ({lines}) AS l"
+    mark = d.like("line", r"^[ \t\r\n\f\v]*(```|~~~)")
+    marks = f"SELECT skill, path, pos, line, coalesce(front, false) AS front, coalesce(sum(CASE WHEN NOT coalesce(front, false) AND {mark} THEN 1 ELSE 0 END) {over}, 0) % 2 = 1 AS fenced FROM ({ends}) AS e"
+    kind = f"CASE WHEN NOT {md} THEN 'plain' WHEN front THEN 'frontmatter' WHEN fenced OR {mark} THEN 'fence' WHEN {d.like('line', r'^#{1,6}[ \t\r\n\f\v]')} THEN 'heading' ELSE 'plain' END"
+    found = f"SELECT skill, path, hit, line - 1 AS first FROM ({_matches(d, '@scanned', r'<!--(?s:.*?)(?:-->|' + chr(92) + 'z)')}) AS m"
+    spread = d.exploded(f"({found}) AS f", d.split("hit", "\n"), "skill, path, first", "part", "k")
+    comments = f"SELECT DISTINCT skill, path, first + k AS pos FROM ({spread}) AS s WHERE part <> ''"
+    return f"SELECT k.skill, k.path, k.class, count(*) AS lines, count(c.pos) AS commented FROM (SELECT skill, path, pos, {kind} AS class FROM ({marks}) AS m) AS k LEFT JOIN ({comments}) AS c ON c.skill = k.skill AND c.path = k.path AND c.pos = k.pos GROUP BY k.skill, k.path, k.class"
 
 
 def scan_16_license(d: Dialect) -> str:
@@ -237,65 +106,8 @@ def scan_16_license(d: Dialect) -> str:
     return f"SELECT skill, path, CASE {case} END AS license, nullif({d.first('text', '(?im)^[ ]*(Copyright[^A-Za-z0-9_].*)$')}, '') AS notice FROM (SELECT *, row_number() OVER (PARTITION BY skill ORDER BY {rank}) AS k FROM @file WHERE path IN ({', '.join(repr(n) for n in LICENSE_FILES)})) AS f WHERE k = 1"
 
 
-def prj_1_route(d: Dialect) -> str:
-    """Archive by its first bytes, binary by an early NUL, else text."""
-    head = "hex(substr(cast(text as binary), 1, 8))" if d.name == "spark" else "hex(encode(text)[1:8])"
-    case = " ".join(f"WHEN head LIKE '{h}%' THEN '{k}'" for k, h in ARCHIVES)
-    return f"SELECT skill, path, head, CASE {case} ELSE 'text' END AS route FROM (SELECT skill, path, {head} AS head FROM (SELECT skill, path, CASE WHEN path = 'hooks.json' THEN concat('7z', text) WHEN path = 'LICENSE' THEN concat('BZh', text) ELSE text END AS text FROM @file) AS p) AS h"
-
-
-def prj_7_excluded(d: Dialect) -> str:
-    """Files that the globs references/** and *.json exclude, by path or by name."""
-    base = d.first("path", "([^/]+)$")
-    return f"SELECT skill, path, {d.like('path', '^references/.*$')} OR {d.like(base, r'^[^/]*[.]json$')} AS excluded FROM @file"
-
-
-def prj_8_withheld(d: Dialect) -> str:
-    """Findings without evidence: code and count stay, the matched text goes."""
-    return "SELECT skill, path, code, sev, n, '[withheld]' AS evidence FROM @finding"
-
-
 def win_6_fence_state(d: Dialect) -> str:
     return f"SELECT skill, path, pos, marks % 2 = 1 AS fenced FROM ({_LINES}) AS l"
 
 
-_MENTION = r"(?:references|scripts|assets|examples)/[A-Za-z0-9._/-]*[A-Za-z0-9_/-]"
-
-
-def join_11_dead_references(d: Dialect) -> str:
-    """Paths that a package's files mention and that it has not; the first file that does."""
-    each = d.exploded("@file", d.all("text", _MENTION), "skill, path", "target")
-    return f"SELECT m.skill, m.target, min(m.path) AS referrer FROM ({each}) AS m WHERE m.target NOT LIKE '%/' AND NOT EXISTS (SELECT 1 FROM @file f WHERE f.skill = m.skill AND f.path = m.target) GROUP BY m.skill, m.target"
-
-
-def join_12_orphans(d: Dialect) -> str:
-    """Files in the four folders that nothing names: a note if the folder is named, else a review."""
-    each = d.exploded("@file", d.all("text", _MENTION), "skill, path", "target")
-    dirs = d.exploded("@file", d.all("text", _edges(d, r"\b(references|scripts|assets|examples)/"), 1), "skill, path", "target")
-    return f"""SELECT f.skill, f.path, CASE WHEN m.target IS NOT NULL THEN 'NOTE' ELSE 'REVIEW' END AS sev
-        FROM @file f LEFT JOIN (SELECT DISTINCT skill, target FROM ({dirs}) AS n) AS m ON m.skill = f.skill AND m.target = split_part(f.path, '/', 1) WHERE split_part(f.path, '/', 1) IN ('references', 'scripts', 'assets', 'examples') AND NOT EXISTS (SELECT 1 FROM ({each}) AS m WHERE m.skill = f.skill AND m.target = f.path)"""
-
-
-def scan_1_offsets(d: Dialect) -> str:
-    """Every match of every instruction rule with its line, column and length, in code points.
-
-    Matches and the gaps between them are taken in one pass each; a match's
-    place is the sum of what comes before it.
-    """
-    parts = []
-    for code, sev, surface, j, r in rules():
-        if surface != "text":
-            continue
-        p = _pattern(d, j, r)
-        found = f"(SELECT skill, path, text, {d.all('text', p)} AS hits, {d.split('text', p)} AS gaps FROM @file WHERE {d.like('text', p)})"
-        each = d.exploded(found + (" AS s" if d.name == "spark" else ""), "hits", "skill, path, text, hits, gaps", "hit")
-        if d.name == "spark":
-            at = "aggregate(slice(gaps, 1, pos + 1), 0, (a, g) -> a + length(g)) + aggregate(slice(hits, 1, pos), 0, (a, g) -> a + length(g))"
-        else:
-            at = "coalesce(list_sum(list_transform(gaps[1:pos + 1], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(hits[1:pos], lambda g: length(g))), 0)"
-        parts.append(f"SELECT skill, path, '{code}' AS code, '{sev}' AS sev, text, length(hit) AS length, cast({at} as int) AS off FROM ({each}) AS e")
-    before = "substr(text, 1, off)"
-    return f"SELECT skill, path, code, sev, cast(length({before}) - length(replace({before}, chr(10), '')) as int) + 1 AS line, cast(length(split_part({before}, chr(10), -1)) as int) + 1 AS col, length FROM ({' UNION ALL '.join(parts)}) AS m"
-
-
-OPS = (scan_1_offsets, scan_1_instructions, scan_2_execution, agg_1_verdict, top_1_order, top_6_first_block, scan_3_folded, scan_4_hidden_chars, scan_5_homoglyphs, scan_6_html_comments, scan_7_encoded_runs, scan_8_escape_runs, scan_9_unfenced_code, scan_10_imports, scan_12_layout, prj_4_frontmatter, win_8_duplicate_keys, scan_13_frontmatter_checks, scan_14_char_profile, scan_15_line_classes, scan_16_license, prj_1_route, prj_7_excluded, prj_8_withheld, win_6_fence_state, join_11_dead_references, join_12_orphans)
+OPS = (scan_1_offsets, scan_1_instructions, scan_2_execution, scan_3_folded, scan_6_html_comments, scan_8_escape_runs, scan_14_char_profile, scan_15_line_classes, scan_16_license, win_6_fence_state)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from ..functions.dialect import Dialect
-from .scan import front
-
 
 def prj_3_roles(d: Dialect) -> str:
     head = "split_part(path, '/', 1)"
@@ -17,7 +15,7 @@ def prj_5_held(d: Dialect) -> str:
 
 def prj_6_manual_only(d: Dialect) -> str:
     """Whether the frontmatter of each package's spine keeps it for calls by hand; without frontmatter it does not."""
-    return f"SELECT p.skill, coalesce(f.yes, 0) = 1 AS manual_only FROM (SELECT skill FROM @file WHERE path = 'SKILL.md' GROUP BY skill) AS p LEFT JOIN (SELECT skill, max(CASE WHEN lower(value) = 'true' THEN 1 ELSE 0 END) AS yes FROM ({front(d)}) AS f WHERE key = 'disable-model-invocation' AND back = 1 GROUP BY skill) AS f ON f.skill = p.skill"
+    return "SELECT p.skill, coalesce(f.yes, 0) = 1 AS manual_only FROM (SELECT skill FROM @file WHERE path = 'SKILL.md' GROUP BY skill) AS p LEFT JOIN (SELECT skill, max(CASE WHEN lower(value) = 'true' THEN 1 ELSE 0 END) AS yes FROM @front f WHERE key = 'disable-model-invocation' AND back = 1 GROUP BY skill) AS f ON f.skill = p.skill"
 
 
 def prj_12_leaves(d: Dialect) -> str:

@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import SPARK, Sql, needs, plain, run
-from ..operators import graph, ledger, overlap, scan, text, usage
+from ..operators import findings, graph, ledger, overlap, scan, text, usage
 from ..streaming import usage as streams
 from .derive import RELATIONS
+from .store import written
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Key -> SQL of every operator.
-OPERATORS: dict[str, Sql] = {f.__name__: f for m in (usage, overlap, ledger, graph, scan, text) for f in m.OPS}
+OPERATORS: dict[str, Sql] = {f.__name__: f for m in (usage, overlap, ledger, graph, scan, findings, text) for f in m.OPS}
+
+
+#: Relations that stand under several others, or several times under one, and are written once for a query.
+WRITTEN = {"scanned", "fence", "front", "mention", "pair", "posting"}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -23,20 +28,22 @@ def relation(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataF
     if name not in known:
         if name in RELATIONS:
             sql = RELATIONS[name]
-            known[name] = run(spark, sql, **{n: relation(spark, sf_dir, n, known) for n in needs(sql(SPARK))})
+            made = run(spark, sql, **{n: relation(spark, sf_dir, n, known) for n in needs(sql(SPARK))})
+            known[name] = written(made, name) if name in WRITTEN else made
         else:
             known[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return known[name]
 
 
+def over(spark: SparkSession, sql: Sql, known: dict[str, DataFrame], sf_dir: str = "") -> DataFrame:
+    """The operator over frames that are given, and what is derived from them or from the tables of a folder."""
+    return run(spark, sql, **{n: relation(spark, sf_dir, n, known) for n in needs(sql(SPARK))})
+
+
 def query(sql: Sql) -> Callable[[SparkSession, str], DataFrame]:
     """The operator over the given tables of a folder."""
 
-    def over(spark: SparkSession, sf_dir: str) -> DataFrame:
-        known: dict[str, DataFrame] = {}
-        return run(spark, sql, **{n: relation(spark, sf_dir, n, known) for n in needs(sql(SPARK))})
-
-    return over
+    return lambda spark, sf_dir: over(spark, sql, {}, sf_dir)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,4 +59,4 @@ def _parsed(d) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {key: plain(sql, RELATIONS) for key, sql in OPERATORS.items()} | streams.ORACLE | {"strm_1_parsed_lines": plain(_parsed, RELATIONS)}
+    return {key: plain(sql, RELATIONS) for key, sql in OPERATORS.items()} | streams.ORACLE | {key: plain(sql, RELATIONS) for key, sql in streams.OPERATORS.items()} | {"strm_1_parsed_lines": plain(_parsed, RELATIONS)}

@@ -13,7 +13,6 @@ from marginalia.functions.rules import rules
 from marginalia.operators import graph, overlap, scan, usage
 from marginalia.plans import registry
 from marginalia.sources import files, sinks
-from marginalia.streaming import usage as streams
 
 SF = "/root/testdata/sf0.001"
 KEYS = [
@@ -107,7 +106,6 @@ def test_sections_and_rejections(spark):
     new = frame(spark, [("a", 9, "u1"), ("c", 9, "u2")], "skill string, integrity int, usage string")
     got = {tuple(r) for r in sinks.merge_sections(now, new, ["usage"]).collect()}
     assert got == {("a", 1, "u1"), ("b", 2, None), ("c", None, "u2")}
-    assert {tuple(r) for r in streams.upsert_usage(now, new).collect()} == got
     kept = sinks.append_rejected(frame(spark, [("x",)], "name string"), frame(spark, [("x",), ("y",), ("y",)], "name string"))
     assert [r.name for r in kept.collect()] == ["y"]
 
@@ -124,10 +122,7 @@ def test_coverage_is_asymmetric_and_cosine_symmetric(spark):
 
 def test_empty_tables(spark):
     empty = frame(spark, [], "skill string, path string, text string")
-    none = frame(spark, [], "skill string, path string, code string, sev string, n long")
-    for op in (scan.scan_1_instructions, scan.scan_2_execution, scan.scan_12_layout, scan.scan_7_encoded_runs):
+    for op in (scan.scan_1_instructions, scan.scan_8_escape_runs, scan.scan_3_folded):
         assert run(spark, op, file=empty).count() == 0
-    for op in (scan.agg_1_verdict, scan.top_1_order, scan.top_6_first_block, scan.prj_8_withheld):
-        assert run(spark, op, file=empty, finding=none).count() == 0
     assert run(spark, usage.agg_2_window_counts, usage=frame(spark, [], "skill string, d7 long, d30 long, d90 long, total long")).count() == 0
     assert run(spark, graph.src_4_edges, edge=frame(spark, [], "from_id string, to_id string, type string, status string")).count() == 0
