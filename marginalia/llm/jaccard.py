@@ -12,19 +12,25 @@ Documents link when 4 * |x & y| >= 3 * |x | y|, a Jaccard distance of 0.25 or le
   counts' powers of two, then goes by hash.
   Any order gives the same links; a good one keeps regions small.  Regions with
   the same members are one.
-* A region takes documents of different components as pivots, one, or ``PIVOTS``
-  in a region of more than ``LEAST`` members, and the members' distances to them
-  are computed.  Those within 0.25 are linked.  In a region of few members, pairs
-  of different components are compared as well.
-* The pivots divide a larger region.  In their order, a member within 0.5 of one
-  goes to its part, and one within 0.25 to no later one; those within 0.25 of
-  none are the rest.  Of two linked members the first that a pivot takes within
-  0.25 has the other within 0.5 of it (the triangle inequality), so every pair
-  meets again.  Where a distance is not known the member goes to both.  Pivots
-  have met all members and leave.
-* Members of parts that have several components left are a smaller space, which
-  is joined in the same way, with their exact frequencies for the order of
-  shingles.  Every round has more pivots, so rounds end.
+* A window within a region: with ``reach`` shingles from the region's on to the
+  last, two members share that many at most if the region is of the first
+  shingle that they share, and linked ones share three sevenths of their sizes'
+  sum.  So 7 * min(reach) >= 3 * (n + m), or the pair is left to another region
+  or to none; a member that no size in its region allows leaves it at once.
+  Documents of one frame, alike but for a part of their own, have no pairs.
+* A region of ``LEAST`` members or fewer compares pairs of different components.
+  A larger one takes ``PIVOTS`` documents of different components as pivots, and
+  the members' distances to them are computed.  Those within 0.25 are linked.
+* The pivots divide the region.  In their order, a member within 0.5 of one goes
+  to its part, and one within 0.25 to no later one; those within 0.25 of none
+  are the rest.  Of two linked members the first that a pivot takes within 0.25
+  has the other within 0.5 of it (the triangle inequality), so every pair meets
+  again.  Where a distance is not known the member goes to both.  Pivots have
+  met all members and leave.
+* A part with several components left is a region of its own, with its members'
+  reach, and is joined in the same way.  A part that is no smaller than
+  three quarters of its region is not worth more pivots: metric distances say
+  no more about it.  Its pairs within the window are compared, in blocks.
 * Before a distance is computed, both sets' distances to ``CLASSES`` more pivots -
   classes of the shingles, told by their hash - bound it from below.
 
@@ -43,15 +49,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import mapped, own_columns, written
 from .components import joined_components
 from .repeats import _SPACE, Hasher, buffers, mix, small_or_shuffled
 
 SHINGLE = 5
-#: Members of a region that are compared with each other; pivots of a larger one in the first round, sixteen times as many in each next one.
+#: Members of a region that are compared with each other, and pivots of a larger one.
 LEAST, PIVOTS = 16, 2
+#: Rows of a region that is dealt out further, as a power of two, and members of a block of pairs.
+DEAL, BLOCK = 17, 1000
 #: Classes of shingles.
 CLASSES = 256
 #: Numbers in a side of a join that is sent to all tasks; a larger one is shuffled.
@@ -138,7 +146,10 @@ def points(docs: DataFrame) -> DataFrame:
 
 
 def first_regions(docs: DataFrame, hot: np.ndarray, level: np.ndarray) -> DataFrame:
-    """(region, doc_id) of each document's window of shingle pivots; ``level`` orders the sorted ``hot`` ones after all others."""
+    """(region, deal, doc_id, n, reach) of each document's window of shingle pivots; ``level`` orders the sorted ``hot`` ones after all others.
+
+    A region whose shingle is in 2 ** DEAL sets or more is dealt to several places.
+    """
     last = docs.sparkSession.sparkContext.broadcast((hot, level))  # HOT numbers at most
 
     def run(batches: Iterator) -> Iterator:
@@ -146,45 +157,30 @@ def first_regions(docs: DataFrame, hot: np.ndarray, level: np.ndarray) -> DataFr
 
         hot, level = last.value
         for ids, sets in _sets(batches):
-            tokens, own = [], []
+            tokens, deals, own, sizes = [], [], [], []
             for doc, s in zip(ids.to_pylist(), sets):
                 if not len(s):
                     continue
                 want = len(s) // 4 + 1
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    t = s[np.argsort(np.where(hot[at] == s, level[at], 0), kind="stable")[:want]]
+                    often = np.where(hot[at] == s, level[at], 0)
+                    first = np.argsort(often, kind="stable")[:want]
+                    tokens.append(s[first])
+                    deals.append(np.maximum(often[first].astype(np.int64) - DEAL, 0))
                 else:
-                    t = s[:want]
-                tokens.append(t)
+                    tokens.append(s[:want])
+                    deals.append(np.zeros(want, np.int64))
                 own.append(doc)
+                sizes.append(len(s))
             if tokens:
-                k = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(own, np.int64), k))], ["region", "doc_id"])
-
-    return mapped(docs.select("text", "doc_id"), run, "region long, doc_id long")
-
-
-def next_regions(docs: DataFrame, left: DataFrame) -> DataFrame:
-    """(region, doc_id) as ``first_regions``, for the documents that are left, with exact frequencies among them."""
+                k = np.array([len(t) for t in tokens])
+                doc, n = np.repeat(np.array(own, np.int64), k), np.repeat(np.array(sizes, np.int32), k)
+                place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                deal = mix(doc.view(np.uint64)).view(np.int64) & ((1 << np.concatenate(deals)) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(deal.astype(np.int32)), pa.array(doc), pa.array(n), pa.array((n - place).astype(np.int32))], ["region", "deal", "doc_id", "n", "reach"])
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for ids, sets in _sets(batches):
-            k = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids.to_numpy(), k))], ["region", "doc_id"])
-
-    from pyspark.sql import Window as W
-
-    some = docs.join(small_or_shuffled(left, F.lit(1), SMALL), "doc_id").select("text", "doc_id")
-    rows = written(mapped(some, run, "region long, doc_id long").distinct(), "shingles")
-    often = rows.groupBy("region").agg(F.count("*").alias("df")).filter("df > 1")
-    # Shingles that no other has come first in the order, but make no region.
-    shared = rows.join(often, "region")
-    sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n")).join(shared.groupBy("doc_id").agg(F.count("*").alias("some")), "doc_id")
-    ranked = shared.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy("df", "region")))
-    return ranked.join(sizes, "doc_id").filter("rank + n - some <= n div 4 + 1").select("region", "doc_id")
+    return mapped(docs.select("text", "doc_id"), run, "region long, deal int, doc_id long, n int, reach int")
 
 
 def distances(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -242,17 +238,23 @@ def screened(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return mapped(both, run, "a long, b long, may_link boolean, may_near boolean").groupBy("a", "b").agg(F.max("may_link").alias("may_link"), F.max("may_near").alias("may_near"))
 
 
-def _distinct_regions(members: DataFrame) -> DataFrame:
-    """(region, doc_id) of regions with two members or more, of equal regions one.
+#: Whether members x and y of a region may be linked, if the region's is the first shingle that they share.
+_WINDOW = "7 * least(x.reach, y.reach) >= 3 * (x.n + y.n)"
+
+
+def _distinct_regions(rows: DataFrame) -> DataFrame:
+    """(region, doc_id, n, reach) of regions with members whose sizes allow a pair, of equal regions one.
 
-    Two members are told by the aggregate that finds the region; only larger
-    regions, one of each set of members, are looked up again.
+    The rows move once, and those of shingles that no other document has, or
+    whose reach no size in the region allows, end there.
     """
-    found = members.groupBy("region").agg(F.count("*").alias("size"), F.min("doc_id").alias("p"), F.max("doc_id").alias("q"), F.bit_xor(F.xxhash64("doc_id")).alias("x"))
-    kept = written(found.filter("p < q").groupBy("size", "p", "q", "x").agg(F.min("region").alias("region")), "regions")
-    two = kept.filter("size = 2").select("region", F.explode(F.array("p", "q")).alias("doc_id"))
-    more = members.join(small_or_shuffled(kept.filter("size > 2").select("region"), F.lit(1), SMALL), "region").distinct()
-    return two.unionByName(more)
+    own = W.partitionBy("region", "deal")
+    lone = rows.repartition("region", "deal").withColumns({"members": F.count("*").over(own), "least_n": F.min("n").over(own), "dealt": F.max("deal").over(own)})
+    some = written(lone.filter("deal > 0 or members > 1 and 7 * reach >= 3 * (n + least_n)").groupBy("region", "doc_id").agg(F.min("n").alias("n"), F.max("reach").alias("reach")), "members")
+    found = some.groupBy("region").agg(F.count("*").alias("size"), F.min("doc_id").alias("p"), F.max("doc_id").alias("q"), F.bit_xor(F.xxhash64("doc_id")).alias("x")).filter("p < q")
+    same = found.join(found.groupBy("size", "p", "q", "x").agg(F.min("region").alias("first")), ["size", "p", "q", "x"]).select("region", "first")
+    # Of regions with the same members the widest reach counts, which only adds pairs.
+    return some.join(same, "region").groupBy(F.col("first").alias("region"), "doc_id").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
 
 
 def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -265,44 +267,53 @@ def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, known: DataFra
 
 
 def _placed(members: DataFrame, known: DataFrame) -> DataFrame:
-    """Members with their component, of groups (first column) that have several."""
-    group = members.columns[0]
+    """Members with their component, and the size, of regions that have several components."""
     every = members.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = every.groupBy(group).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2").select(group, "size")
-    return every.join(several, group)
+    several = every.groupBy("region").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2").select("region", "size")
+    return every.join(several, "region")
 
 
-def _round(docs: DataFrame, sets: DataFrame, members: DataFrame, known: DataFrame, pivots: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Components after the regions' members have met their pivots, and the documents that are left."""
+def _pairs(placed: DataFrame) -> DataFrame:
+    """Pairs (x, y) of members of one region and different components within the window; a large region's in blocks."""
+    last = f"(size - 1) div {BLOCK}"
+    row = F.struct("doc_id", "component", "n", "reach")
+    left = placed.select("region", F.expr(f"pmod(xxhash64(doc_id), {last} + 1)").alias("block"), row.alias("x"))
+    right = placed.select("region", F.explode(F.expr(f"sequence(0L, {last})")).alias("block"), row.alias("y"))
+    return left.join(right, ["region", "block"]).filter(f"x.doc_id < y.doc_id and x.component <> y.component and {_WINDOW}").select(F.col("x.doc_id").alias("x"), F.col("y.doc_id").alias("y")).distinct()
+
+
+def _round(docs: DataFrame, sets: DataFrame, members: DataFrame, known: DataFrame, pivots: int, least: int) -> tuple[DataFrame, DataFrame | None]:
+    """Components after the regions' members have met their pivots, or each other, and the parts that are left.
+
+    ``members`` has (region, doc_id, n, reach), and ``before``: what the size of
+    the region was that a part comes from, or null.
+    """
     open_ = written(_placed(members, known), "open")
-    # Components are dealt to the pivots' places, if there are fewer places than members.
-    salt = F.when(F.col("size") <= least, F.lit(0)).when(F.col("size") <= pivots, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("component", F.lit(pivots)), F.lit(pivots)))
-    own = open_.groupBy("region", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(pivots)), "doc_id", "component")).alias("p"))
+    large = open_.filter((F.col("size") > least) & (F.col("before").isNull() | (4 * F.col("size") < 3 * F.col("before"))))
+    # Components are dealt to the pivots' places.
+    own = large.groupBy("region", F.pmod(F.xxhash64("component", "region"), F.lit(pivots)).alias("salt")).agg(F.min(F.struct(F.xxhash64("doc_id", "region"), "doc_id", "component")).alias("p"))
     own = written(own.select("region", "salt", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("c")), "pivots")
-    # Only a region that is divided needs the distances of one component's members; where all are pivots, a pair meets once.
-    divided = max(least, pivots)
-    wanted = f"doc_id <> pivot and (size > {divided} or component <> c and (size <= {least} or doc_id > pivot))"
-    met = open_.join(small_or_shuffled(own, F.lit(4), SMALL), "region").filter(wanted)
+    met = large.join(small_or_shuffled(own, F.lit(4), SMALL), "region").filter("doc_id <> pivot")
     met = written(met.select("region", "size", "salt", F.col("doc_id").alias("x"), F.col("pivot").alias("y"), (F.col("component") == F.col("c")).alias("same")), "met")
     to_pivots, known = _compared(docs, sets, met.filter("not same").select("x", "y"), known)
 
-    again = written(_placed(open_.select("region", "doc_id"), known).join(own.select("region", F.col("pivot").alias("doc_id")), ["region", "doc_id"], "left_anti"), "again")
-    few = again.filter(F.col("size") <= least)
-    other = few.select("region", F.col("doc_id").alias("y"), F.col("component").alias("c"))
-    pairs = few.join(other, "region").filter("doc_id < y and component <> c").select(F.col("doc_id").alias("x"), "y")
-    _, known = _compared(docs, sets, pairs, known)
+    # What is small, and what pivots do not make smaller, is compared pair by pair.
+    rest = _placed(open_.join(large.select("region").distinct(), "region", "left_anti").select(*members.columns), known)
+    _, known = _compared(docs, sets, _pairs(rest), known)
+    if met.isEmpty():
+        return known, None
 
-    # Parts of larger regions.  Whether a member is within a pivot's 0.25 or 0.5 is not known where one component has both.
-    ends = met.filter(F.col("size") > divided).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
+    # Parts.  Whether a member is within a pivot's 0.25 or 0.5 is not known where one component has both.
+    ends = met.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
     near = ends.join(to_pivots, ["a", "b"], "left").filter("same or near").groupBy("region", "salt", F.col("x").alias("doc_id")).agg(F.max(F.coalesce("linked", F.lit(False))).alias("linked"), F.max("same").alias("same"))
     first = near.filter("linked").groupBy("region", "doc_id").agg(F.min("salt").alias("first"))
     # A part in which no member is within 0.25 of its pivot has no pair that the rest has not.
     takes = near.groupBy("region", "salt").agg(F.max(F.expr("linked or same")).alias("takes")).filter("takes").select("region", "salt")
-    large = again.filter(F.col("size") > least).select("region", "doc_id")
-    inside = near.join(takes, ["region", "salt"]).join(first, ["region", "doc_id"], "left").filter("first is null or salt <= first").select("region", "doc_id", "salt").join(large, ["region", "doc_id"])
-    outside = large.join(first, ["region", "doc_id"], "left_anti").select("region", "doc_id", F.lit(-1).cast("long").alias("salt"))
-    parts = inside.select(F.xxhash64("region", "salt").alias("part"), "doc_id").unionByName(outside.select(F.xxhash64("region", "salt").alias("part"), "doc_id"))
-    return known, written(_placed(parts, known).select("doc_id").distinct(), "left")
+    left = large.select("region", "doc_id", "n", "reach", "size").join(own.select("region", F.col("pivot").alias("doc_id")), ["region", "doc_id"], "left_anti")
+    inside = near.join(takes, ["region", "salt"]).join(first, ["region", "doc_id"], "left").filter("first is null or salt <= first").select("region", "doc_id", "salt").join(left, ["region", "doc_id"])
+    outside = left.join(first, ["region", "doc_id"], "left_anti").withColumn("salt", F.lit(-1).cast("long"))
+    part = lambda df: df.select(F.xxhash64("region", "salt").alias("region"), "doc_id", "n", "reach", F.col("size").alias("before"))
+    return known, written(part(inside).unionByName(part(outside)), "parts")
 
 
 def joined(docs: DataFrame, pivots: int = PIVOTS, least: int = LEAST) -> DataFrame:
@@ -326,12 +337,8 @@ def joined(docs: DataFrame, pivots: int = PIVOTS, least: int = LEAST) -> DataFra
     known = joined_components(None, several)
     others = small_or_shuffled(written(home.filter("not itself").select("doc_id"), "others"), F.lit(1), SMALL)
     texts = base.filter("doc_id is not null")
-    members = first_regions(texts.join(others, "doc_id", "left_anti"), hot, level)
-    while True:
-        known, left = _round(texts, sets, written(_distinct_regions(members), "members"), known, pivots, least)
-        if left.isEmpty():
-            break
-        pivots *= 16
-        members = next_regions(texts, left)
+    members = written(_distinct_regions(first_regions(texts.join(others, "doc_id", "left_anti"), hot, level)), "regions").withColumn("before", F.lit(None).cast("long"))
+    while members is not None:
+        known, members = _round(texts, sets, members, known, pivots, least)
     of = home.select("doc_id", "rep").join(known.select(F.col("doc_id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     return own.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

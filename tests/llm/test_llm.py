@@ -188,6 +188,43 @@ def test_jaccard_equals_brute_force(spark, pivots, least):
     assert sorted(map(tuple, jaccard.joined(frame(spark, rows, True), pivots, least).collect())) == brute_jaccard(rows)
 
 
+@pytest.mark.parametrize("pivots,least,block", [(2, 4, 1000), (3, 16, 5)])
+def test_jaccard_near_the_bound(spark, monkeypatch, pivots, least, block):
+    """Copies of one base that differ in so many words that about half of the pairs link."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r = random.Random(11)
+    rows = []
+    for size, wrong, copies in ((60, 0, 30), (90, 1, 40), (140, 2, 40)):
+        base = [f"b{size}x{i}" for i in range(size)]
+        for k in range(copies):
+            x = list(base)
+            for _ in range(wrong + k % 2):
+                x[r.randrange(size)] = f"u{r.random()}"
+            rows.append(" ".join(x + [f"t{r.random()}" for _ in range(k % 4 * size // 60)]))
+    want = brute_jaccard(rows)
+    assert 3 < len({c for _, _, c in want}) < len(rows) - 20
+    assert sorted(map(tuple, jaccard.joined(frame(spark, rows, True), pivots, least).collect())) == want
+
+
+def test_jaccard_pairs_of_one_frame_stay_flat(spark, monkeypatch):
+    """Documents that share 30 of 40 shingles, of one frame, and link with none."""
+    seen = []
+    compared = jaccard._compared
+
+    def counted(docs, sets, pairs, known):
+        seen.append(pairs.count())
+        return compared(docs, sets, pairs, known)
+
+    monkeypatch.setattr(jaccard, "_compared", counted)
+    common = " ".join(f"c{i}" for i in range(34))
+    for n in (50, 200, 800):
+        seen.clear()
+        rows = [common + "".join(f" u{d}x{i}" for i in range(10)) for d in range(n)]
+        got = jaccard.joined(frame(spark, rows)).collect()
+        assert all(r.component_id == r.doc_id and r.n_shingles == 40 for r in got) and len(got) == n
+        assert sum(seen) <= 2 * n
+
+
 def test_jaccard_ids_that_repeat_or_are_null(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (4, None)]
     got = sorted(map(tuple, jaccard.joined(spark.createDataFrame(rows, EMPTY)).collect()), key=str)
