@@ -71,7 +71,7 @@ class Dialect:
 
     def blocks(self, x: str, path: str) -> str:
         """The items of a JSON array, as JSON texts; none where the text is no JSON."""
-        return f"coalesce(from_json(CASE WHEN {self.valid_json(x)} THEN get_json_object({x}, '{path}') END, 'array<string>'), array())"
+        return f"coalesce(transform(try_variant_get(try_parse_json({x}), '{path}', 'array<variant>'), v -> to_json(v)), array())"
 
     def array(self, items: list[str]) -> str:
         return f"array({', '.join(items)})"
@@ -112,6 +112,22 @@ class Dialect:
         """``n`` bytes from place ``start``, counted from 1."""
         return f"substring({x}, {start}, {n})"
 
+    def json_kind(self, x: str, path: str) -> str:
+        """What a JSON value is: null for none at the path, else 'null', 'string', 'number', 'boolean', 'array' or 'object'."""
+        t = f"schema_of_variant(variant_get(try_parse_json({x}), '{path}'))" if path != "$" else f"schema_of_variant(try_parse_json({x}))"
+        return f"CASE WHEN {t} = 'VOID' THEN 'null' WHEN {t} = 'STRING' THEN 'string' WHEN {t} = 'BOOLEAN' THEN 'boolean' WHEN {t} LIKE 'ARRAY%' THEN 'array' WHEN {t} LIKE 'OBJECT%' THEN 'object' WHEN {t} IS NOT NULL THEN 'number' END"
+
+    def json_node(self, x: str, path: str) -> str:
+        """The JSON text at a path."""
+        return f"get_json_object({x}, '{path}')"
+
+    def json_keys(self, x: str) -> str:
+        return f"json_object_keys({x})"
+
+    def json_at(self, x: str, key: str) -> str:
+        """The string under a key that is a column."""
+        return f"from_json({x}, 'map<string,string>')[{key}]"
+
     def has_nul(self, x: str) -> str:
         return f"contains({x}, X'00')"
 
@@ -172,7 +188,7 @@ class Duck(Dialect):
         return f"json_extract_string({x}, '{path}')"
 
     def blocks(self, x: str, path: str) -> str:
-        return f"CASE WHEN json_valid({x}) THEN json_extract({x}, '{path}[*]') ELSE [] END"
+        return f"CASE WHEN json_valid({x}) THEN cast(json_extract({x}, '{path}[*]') as varchar[]) ELSE cast([] as varchar[]) END"
 
     def array(self, items: list[str]) -> str:
         return f"[{', '.join(items)}]"
@@ -207,6 +223,19 @@ class Duck(Dialect):
     def part(self, x: str, start: int, n: int) -> str:
         return f"{x}[{start}:{start + n - 1}]"
 
+    def json_kind(self, x: str, path: str) -> str:
+        t = f"json_type({x}, '{path}')"
+        return f"CASE WHEN {t} = 'NULL' THEN 'null' WHEN {t} = 'VARCHAR' THEN 'string' WHEN {t} = 'BOOLEAN' THEN 'boolean' WHEN {t} = 'ARRAY' THEN 'array' WHEN {t} = 'OBJECT' THEN 'object' WHEN {t} IS NOT NULL THEN 'number' END"
+
+    def json_node(self, x: str, path: str) -> str:
+        return f"cast(json_extract({x}, '{path}') as varchar)"
+
+    def json_keys(self, x: str) -> str:
+        return f"json_keys({x})"
+
+    def json_at(self, x: str, key: str) -> str:
+        return f"json_extract_string({x}, concat('$.\"', {key}, '\"'))"
+
     def has_nul(self, x: str) -> str:
         return f"regexp_matches(hex({x}), '^(?:..)*?00')"
 

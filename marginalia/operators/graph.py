@@ -13,10 +13,6 @@ def src_4_edges(d: Dialect) -> str:
     return "SELECT from_id, to_id, type, status FROM @edge"
 
 
-def src_6_rejected(d: Dialect) -> str:
-    return "SELECT name, kind, url FROM @rejected"
-
-
 def join_7_unfiled(d: Dialect) -> str:
     """Packages that the catalog does not file."""
     return "SELECT p.skill FROM @pkg p WHERE NOT EXISTS (SELECT 1 FROM @catalog c WHERE c.skill = p.skill)"
@@ -159,4 +155,4 @@ def grph_4_integrity(d: Dialect) -> str:
     return f"SELECT 'dangling' AS what, count(*) AS n FROM ({join_21_dangling(d)}) AS a UNION ALL SELECT 'manual', count(*) FROM ({join_22_manual_operative(d)}) AS b UNION ALL SELECT 'duplicate', count(*) FROM (SELECT id FROM @node GROUP BY id HAVING count(*) > 1) AS c"
 
 
-OPS = (src_3_catalog, src_4_edges, src_6_rejected, join_7_unfiled, join_8_filed_missing, join_9_edge_checks, join_10_undeclared_mentions, join_18_resolution, join_21_dangling, join_22_manual_operative, fn_6_repo_slug, join_23_vendor, join_24_category, agg_16_vendors, agg_17_ghosts, agg_18_duplicates, agg_20_degrees, agg_20_kinds, agg_21_adjacency, agg_22_calls, agg_26_script_fold, agg_27_library_check, win_3_first_rejected, snk_6_append_rejected, top_7_node_order, set_1_nodes, set_2_edges, grph_1_graph, grph_2_overlap_edges, grph_3_neighbourhood, grph_4_integrity)
+OPS = (src_3_catalog, src_4_edges, join_7_unfiled, join_8_filed_missing, join_9_edge_checks, join_10_undeclared_mentions, join_18_resolution, join_21_dangling, join_22_manual_operative, fn_6_repo_slug, join_23_vendor, join_24_category, agg_16_vendors, agg_17_ghosts, agg_18_duplicates, agg_20_degrees, agg_20_kinds, agg_21_adjacency, agg_22_calls, agg_26_script_fold, agg_27_library_check, win_3_first_rejected, snk_6_append_rejected, top_7_node_order, set_1_nodes, set_2_edges, grph_1_graph, grph_2_overlap_edges, grph_3_neighbourhood, grph_4_integrity)

@@ -18,12 +18,6 @@ def join_14_missing(d: Dialect) -> str:
     return "SELECT l.skill, l.path FROM @ledger_file l WHERE NOT EXISTS (SELECT 1 FROM @disk k WHERE k.skill = l.skill AND k.path = l.path)"
 
 
-def join_15_ledger_check(d: Dialect) -> str:
-    """Packages whose recorded inventory differs from the one recomputed, or that only one side has."""
-    side = lambda r: f"SELECT skill, count(*) AS files, {d.joined('entry')} AS entries FROM (SELECT skill, concat(path, '=', sha256) AS entry FROM @{r}) AS e GROUP BY skill"
-    return f"SELECT coalesce(a.skill, b.skill) AS skill, a.files AS now_files, b.files AS recorded_files, CASE WHEN b.skill IS NULL THEN 'no ledger' WHEN a.skill IS NULL THEN 'not held' ELSE 'integrity' END AS what FROM ({side('disk')}) AS a FULL OUTER JOIN ({side('ledger_file')}) AS b ON b.skill = a.skill WHERE a.entries IS DISTINCT FROM b.entries"
-
-
 def join_16_upstream_drift(d: Dialect) -> str:
     """Every path of arrival and upstream: same, changed, inconclusive (it was adapted here), removed or added."""
     return """SELECT coalesce(a.skill, u.skill) AS skill, coalesce(a.path, u.path) AS path, CASE WHEN u.path IS NULL THEN 'removed' WHEN a.path IS NULL THEN 'added' WHEN a.sha256 = u.sha256 THEN 'same' WHEN x.path IS NOT NULL THEN 'inconclusive' ELSE 'changed' END AS drift
@@ -35,12 +29,6 @@ def join_16_status(d: Dialect) -> str:
     return f"SELECT skill, cast({n('changed')} as bigint) AS changed, cast({n('removed')} as bigint) AS removed, cast({n('added')} as bigint) AS added, cast({n('inconclusive')} as bigint) AS inconclusive, {n('changed')} + {n('removed')} + {n('added')} + {n('inconclusive')} = 0 AS clean FROM ({join_16_upstream_drift(d)}) AS x GROUP BY skill"
 
 
-def join_17_adaptation(d: Dialect) -> str:
-    """Files that diverge from arrival; unmet where no section says so."""
-    return """SELECT k.skill, count(*) AS diverged, max(CASE WHEN x.path IS NULL THEN 1 ELSE 0 END) = 1 AS unmet FROM @disk k FULL OUTER JOIN @ledger_file a ON a.skill = k.skill AND a.path = k.path
-        LEFT JOIN @adapted x ON x.skill = k.skill AND x.path = k.path WHERE k.sha256 IS DISTINCT FROM a.sha256 AND k.skill IS NOT NULL GROUP BY k.skill"""
-
-
 def join_25_backfill(d: Dialect) -> str:
     """Held packages; due where no ledger has an entry of them, and all of them if forced."""
     return "SELECT p.skill, l.skill IS NULL AS due, true AS due_if_forced FROM @pkg p LEFT JOIN (SELECT skill FROM @ledger_file GROUP BY skill) AS l ON l.skill = p.skill"
@@ -69,4 +57,4 @@ def top_5_largest(d: Dialect) -> str:
     return "SELECT skill, path, bytes FROM @disk ORDER BY bytes DESC, skill, path LIMIT 5"
 
 
-OPS = (agg_11_inventory, join_13_hash_verdict, join_14_missing, join_15_ledger_check, join_16_upstream_drift, join_16_status, join_17_adaptation, join_25_backfill, snk_2_merged_sections, set_3_path_difference, src_5_ledger, agg_25_size_guard, top_5_largest)
+OPS = (agg_11_inventory, join_13_hash_verdict, join_14_missing, join_16_upstream_drift, join_16_status, join_25_backfill, snk_2_merged_sections, set_3_path_difference, src_5_ledger, agg_25_size_guard, top_5_largest)

@@ -86,11 +86,6 @@ def fn_14_decision_rows(d: Dialect) -> str:
     return "SELECT p.skill, concat('| ', p.skill, ' | ', replace(p.description, '|', '/'), ' | ', substr(k.sha256, 1, 7), ' |') AS line FROM @pkg p JOIN @disk k ON k.skill = p.skill AND k.path = 'SKILL.md'"
 
 
-def agg_12_contract(d: Dialect) -> str:
-    """What each package promises: invocable, bytes of description, test files; null where it has no scripts."""
-    return f"SELECT p.skill, NOT p.manual_only AS model_invocable, {d.bytes('p.description')} AS desc_bytes, s.tests FROM @pkg p LEFT JOIN (SELECT skill, cast(sum(CASE WHEN path LIKE '%.test.mjs' THEN 1 ELSE 0 END) as bigint) AS tests FROM @file WHERE path LIKE 'scripts/%' GROUP BY skill) AS s ON s.skill = p.skill"
-
-
 #: Records made of labels: a verdict, and a table of findings where quality is bad.
 _RECORD = "SELECT doc_id, concat('| **Verdict** | ', CASE WHEN toxic = 1 THEN 'REJECT' WHEN quality = 1 THEN 'ADOPT' ELSE '<menu>' END, ' |', CASE WHEN quality = 0 THEN concat(chr(10), '| 1 | `INSTR-OVERRIDE` | SKILL.md:1 | ', CASE WHEN doc_id % 2 = 0 THEN 'accepted' ELSE 'undecided' END, ' | x |', chr(10), '| 2 | `EXEC-EVAL` | scripts/run.sh:2 | ', CASE WHEN doc_id % 3 = 0 THEN 'open' ELSE 'false positive' END, ' | y |') ELSE '' END) AS text FROM @labels"
 
@@ -114,10 +109,6 @@ def agg_15_promotion(d: Dialect) -> str:
     return f"SELECT p.skill, count(u.what) AS unmet, count(u.what) = 0 AS promotable FROM @pkg p LEFT JOIN ({parts}) AS u ON u.skill = p.skill GROUP BY p.skill"
 
 
-def agg_23_adapted(d: Dialect) -> str:
-    return "SELECT skill, count(*) AS adapted FROM @adapted GROUP BY skill"
-
-
 #: Structured records out of labels: mostly valid, every kind of violation by the id.
 _JSON = """SELECT doc_id, concat('{"schemaVersion":', CASE WHEN doc_id % 41 = 0 THEN '2' ELSE '1' END, ',"skill":"doc-', doc_id, '","state":"', CASE WHEN toxic = 1 THEN 'blocked' ELSE 'certified' END, '"', CASE WHEN doc_id % 3 = 0 THEN '' ELSE ',"by":"x"' END, CASE WHEN doc_id % 37 = 0 THEN '' ELSE '}' END) AS line FROM @labels"""
 
@@ -128,11 +119,6 @@ def src_8_records(d: Dialect) -> str:
     return f"SELECT doc_id, {ok} AS ok, CASE WHEN {ok} THEN {d.json('line', '$.skill')} END AS skill, CASE WHEN {ok} THEN {d.json('line', '$.state')} END AS state, CASE WHEN {ok} THEN {d.json('line', '$.by')} END AS signer, CASE WHEN {ok} THEN {d.json('line', '$.schemaVersion')} END AS version FROM ({_JSON}) AS j"
 
 
-def agg_24_record_validation(d: Dialect) -> str:
-    """The first violation of each record: structure before meaning; null where there is none."""
-    return f"SELECT doc_id, CASE WHEN NOT ok THEN 'not a record' WHEN version <> '1' THEN 'version' WHEN state NOT IN ('certified', 'accepted', 'open') THEN 'state' WHEN state = 'certified' AND signer IS NULL THEN 'certified by nobody' END AS violation FROM ({src_8_records(d)}) AS r"
-
-
 def fn_4_fragments(d: Dialect) -> str:
     """Each package's description on one line, cut at 60 characters with a mark."""
     flat = d.sub("description", "[ \t\r\n\f\v]+", " ")
@@ -152,12 +138,4 @@ def join_20_pinned(d: Dialect) -> str:
     return f"SELECT p.skill, p.path, p.line, l.line IS NOT NULL AS on_line, coalesce({needle} <> '' AND {inside}, false) AS excerpt_matches FROM ({_pins(d)}) AS p LEFT JOIN @line l ON l.skill = p.skill AND l.path = p.path AND l.pos + 1 = p.line"
 
 
-def join_19_links(d: Dialect) -> str:
-    """What the links of pages and files point at: a file, a package, an anchor, the outside, or nothing."""
-    files = d.exploded("(SELECT skill, path, text FROM @file)" + (" AS s" if d.name == "spark" else ""), d.all("text", r"(?:references|scripts|[.][.]/doc-[0-9]+)(?:/[A-Za-z0-9._-]+)*", 0), "skill, path", "raw")
-    sibling = d.first("raw", "^[.][.]/([a-z0-9-]+)(?:/SKILL[.]md)?$")
-    return f"""SELECT x.skill, x.path, x.pos, x.raw, CASE WHEN p.skill IS NOT NULL THEN 'node' WHEN x.raw LIKE '../%' THEN 'unresolved' WHEN f.path IS NOT NULL THEN 'file' ELSE 'unresolved' END AS kind
-        FROM (SELECT skill, path, pos, raw, {sibling} AS sibling FROM ({files}) AS y) AS x LEFT JOIN @pkg p ON p.skill = x.sibling LEFT JOIN @file f ON f.skill = x.skill AND f.path = x.raw"""
-
-
-OPS = (fn_4_fragments, join_20_pinned, join_19_links, prj_3_roles, prj_5_held, prj_6_manual_only, prj_12_leaves, agg_19_words, agg_19_turn_words, fn_5_slugs, win_4_anchors, win_7_sections, fn_8_links, fn_8_urls, fn_7_source_url, fn_9_pins, fn_11_safe_names, fn_14_decision_rows, agg_12_contract, agg_13_audit, agg_14_record_gate, agg_15_promotion, agg_23_adapted, src_8_records, agg_24_record_validation)
+OPS = (fn_4_fragments, join_20_pinned, prj_3_roles, prj_5_held, prj_6_manual_only, prj_12_leaves, agg_19_words, agg_19_turn_words, fn_5_slugs, win_4_anchors, win_7_sections, fn_8_links, fn_8_urls, fn_7_source_url, fn_9_pins, fn_11_safe_names, fn_14_decision_rows, agg_13_audit, agg_14_record_gate, agg_15_promotion, src_8_records)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import SPARK, Sql, needs, plain, run
-from ..operators import findings, graph, ledger, overlap, scan, text, usage
+from ..operators import findings, graph, ledger, links, overlap, records, scan, text, usage
 from ..streaming import usage as streams
 from .derive import RELATIONS
 from .store import written
@@ -15,11 +15,11 @@ from .store import written
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Key -> SQL of every operator.
-OPERATORS: dict[str, Sql] = {f.__name__: f for m in (usage, overlap, ledger, graph, scan, findings, text) for f in m.OPS}
+OPERATORS: dict[str, Sql] = {f.__name__: f for m in (usage, overlap, ledger, graph, scan, findings, records, links, text) for f in m.OPS}
 
 
 #: Relations that stand under several others, or several times under one, and are written once for a query.
-WRITTEN = {"scanned", "fence", "front", "mention", "pair", "posting"}
+WRITTEN = {"scanned", "fence", "front", "mention", "pair", "posting", "disk", "record_file", "structural", "record_object", "violation", "decision"}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
