@@ -146,7 +146,7 @@ def points(docs: DataFrame) -> DataFrame:
 
 
 def first_regions(docs: DataFrame, hot: np.ndarray, level: np.ndarray) -> DataFrame:
-    """(region, deal, doc_id, n, reach) of each document's window of shingle pivots; ``level`` orders the sorted ``hot`` ones after all others.
+    """(region, deal, dealt, doc_id, n, reach) of each document's window of shingle pivots; ``level`` orders the sorted ``hot`` ones after all others.
 
     A region whose shingle is in 2 ** DEAL sets or more is dealt to several places.
     """
@@ -177,10 +177,11 @@ def first_regions(docs: DataFrame, hot: np.ndarray, level: np.ndarray) -> DataFr
                 k = np.array([len(t) for t in tokens])
                 doc, n = np.repeat(np.array(own, np.int64), k), np.repeat(np.array(sizes, np.int32), k)
                 place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                deal = mix(doc.view(np.uint64)).view(np.int64) & ((1 << np.concatenate(deals)) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(deal.astype(np.int32)), pa.array(doc), pa.array(n), pa.array((n - place).astype(np.int32))], ["region", "deal", "doc_id", "n", "reach"])
+                bits = np.concatenate(deals)
+                deal = mix(doc.view(np.uint64)).view(np.int64) & ((1 << bits) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(deal.astype(np.int32)), pa.array(bits > 0), pa.array(doc), pa.array(n), pa.array((n - place).astype(np.int32))], ["region", "deal", "dealt", "doc_id", "n", "reach"])
 
-    return mapped(docs.select("text", "doc_id"), run, "region long, deal int, doc_id long, n int, reach int")
+    return mapped(docs.select("text", "doc_id"), run, "region long, deal int, dealt boolean, doc_id long, n int, reach int")
 
 
 def distances(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -233,7 +234,7 @@ def screened(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(7 * apart <= n + m), pa.array(3 * apart <= n + m)], ["a", "b", "may_link", "may_near"])
 
     of = lambda end, c, n: sets.select(F.col("doc_id").alias(end), F.col("classes").alias(c), F.col("n").alias(n))
-    both = pairs.distinct().join(of("a", "x", "n"), "a").join(of("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
+    both = pairs.join(of("a", "x", "n"), "a").join(of("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
     # An id that stands for several sets may have several rows here.
     return mapped(both, run, "a long, b long, may_link boolean, may_near boolean").groupBy("a", "b").agg(F.max("may_link").alias("may_link"), F.max("may_near").alias("may_near"))
 
@@ -249,8 +250,9 @@ def _distinct_regions(rows: DataFrame) -> DataFrame:
     whose reach no size in the region allows, end there.
     """
     own = W.partitionBy("region", "deal")
-    lone = rows.repartition("region", "deal").withColumns({"members": F.count("*").over(own), "least_n": F.min("n").over(own), "dealt": F.max("deal").over(own)})
-    some = written(lone.filter("deal > 0 or members > 1 and 7 * reach >= 3 * (n + least_n)").groupBy("region", "doc_id").agg(F.min("n").alias("n"), F.max("reach").alias("reach")), "members")
+    level = {"members": F.count("*").over(own), "least_n": F.min("n").over(own), "sum_n": F.sum("n").over(own), "least_reach": F.min("reach").over(own)}
+    fits = "CASE WHEN members > 2 THEN 7 * reach >= 3 * (n + least_n) WHEN members = 2 THEN 7 * least_reach >= 3 * sum_n ELSE false END"
+    some = written(rows.repartition("region", "deal").withColumns(level).filter(f"dealt or {fits}").groupBy("region", "doc_id").agg(F.min("n").alias("n"), F.max("reach").alias("reach")), "members")
     found = some.groupBy("region").agg(F.count("*").alias("size"), F.min("doc_id").alias("p"), F.max("doc_id").alias("q"), F.bit_xor(F.xxhash64("doc_id")).alias("x")).filter("p < q")
     same = found.join(found.groupBy("size", "p", "q", "x").agg(F.min("region").alias("first")), ["size", "p", "q", "x"]).select("region", "first")
     # Of regions with the same members the widest reach counts, which only adds pairs.
@@ -259,11 +261,15 @@ def _distinct_regions(rows: DataFrame) -> DataFrame:
 
 def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b, linked, near) of pairs, near where it may be, and the components with their links."""
-    seen = written(screened(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), sets), "screened")
+    asked = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "asked")
+    if asked.isEmpty():
+        return docs.sparkSession.createDataFrame([], "a long, b long, linked boolean, near boolean"), known
+    seen = written(screened(asked, sets), "screened")
     measured = distances(docs, seen.filter("may_link").select("a", "b")).groupBy("a", "b").agg(F.max(F.expr(_LINKED)).alias("linked"), F.max(F.expr(_NEAR)).alias("near"))
     out = seen.join(measured, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("near", "may_near").alias("near"))
     out = written(out, "compared")
-    return out, joined_components(known, out.filter("linked").select("a", "b"))
+    links = out.filter("linked").select("a", "b")
+    return out, known if links.isEmpty() else joined_components(known, links)
 
 
 def _placed(members: DataFrame, known: DataFrame) -> DataFrame:
@@ -290,8 +296,8 @@ def _round(docs: DataFrame, sets: DataFrame, members: DataFrame, known: DataFram
     """
     open_ = written(_placed(members, known), "open")
     large = open_.filter((F.col("size") > least) & (F.col("before").isNull() | (4 * F.col("size") < 3 * F.col("before"))))
-    # Components are dealt to the pivots' places.
-    own = large.groupBy("region", F.pmod(F.xxhash64("component", "region"), F.lit(pivots)).alias("salt")).agg(F.min(F.struct(F.xxhash64("doc_id", "region"), "doc_id", "component")).alias("p"))
+    # Components are dealt to the pivots' places, and regions that overlap choose alike, so that they ask for the same distances.
+    own = large.groupBy("region", F.pmod(F.xxhash64("component", F.lit(1)), F.lit(pivots)).alias("salt")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(2)), "doc_id", "component")).alias("p"))
     own = written(own.select("region", "salt", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("c")), "pivots")
     met = large.join(small_or_shuffled(own, F.lit(4), SMALL), "region").filter("doc_id <> pivot")
     met = written(met.select("region", "size", "salt", F.col("doc_id").alias("x"), F.col("pivot").alias("y"), (F.col("component") == F.col("c")).alias("same")), "met")
