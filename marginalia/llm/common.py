@@ -105,8 +105,9 @@ FITTING = 48 << 20
 def pick_labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int, most: int = FITTING) -> list[tuple]:
     """(doc_id, text, label) of labelled documents for fitting, picked by a hash of the id and sorted.
 
-    There are ``limit`` at most, of ``most`` bytes in all: a text that does not
-    fit in what is left is passed over.  Null labels and null ids are left out;
+    There are ``limit`` at most, of ``most`` bytes in all, the first one aside: in
+    the order of the hash, the first text that does not fit ends them, so that
+    long texts are picked as often as short ones.  Null labels and null ids are left out;
     of several labels of one document the largest counts.  The ids are picked
     before any text moves, so a broadcast of ``limit`` ids at most is what joins
     them to the texts, which the driver reads in a second step.
@@ -122,11 +123,11 @@ def pick_labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column
     lengths = picked.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id", "text").alias("key")).orderBy(F.xxhash64("doc_id"), "doc_id", "key")
     taken, left, all_of_them = [], most, True
     for r in lengths.toLocalIterator():  # ``limit`` rows of numbers, unless ids repeat
-        if r.n <= left:
-            taken.append(r.key)
-            left -= r.n
-        else:
+        if taken and r.n > left:
             all_of_them = False
+            break
+        taken.append(r.key)
+        left -= r.n
     if not all_of_them:
         picked = picked.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in taken], "key long")), F.xxhash64("doc_id", "text") == F.col("key"), "left_semi")
     return sorted((r.doc_id, r.text, r.label) for r in picked.collect())

@@ -7,10 +7,10 @@ large where the text looks like the good texts.  A logistic curve over the
 mean, the least and the spread of these differences makes the score.
 
 Fitting takes a bounded sample of labelled documents (``limit`` and
-``common.FITTING`` bytes, picked by a hash of the id): half builds the dictionaries, half fits the curve.  Every text
-of the first half has its start, middle and end in its kind's dictionary, about
-300 bytes of a long one where texts are many; so both dictionaries have a million
-bytes at most.  Scoring takes every segment of every text.
+``common.FITTING`` bytes, picked by a hash of the id): half builds the
+dictionaries, half fits the curve.  The library trains each dictionary on every
+segment of every text of its kind in the first half, and picks what recurs in
+them.  Scoring takes every segment of every text.
 
 Each case has a result: null and empty texts have no segments and get the
 curve's value at zeros; no labelled rows, or labels of one kind, give that
@@ -31,8 +31,8 @@ from .common import mapped, own_columns, pick_labelled
 #: Labelled documents that fitting takes at most.
 LIMIT = 6000
 SEGMENT = 1500
-#: Bytes of a dictionary, or so many for each of its texts if that is more.
-DICTIONARY, EACH = 64_000, 300
+#: Bytes of a dictionary, and of the segments that it is trained on.
+DICTIONARY, SAMPLE = 64 << 10, 4096
 LEVEL = 3
 THRESHOLD = 0.7
 FEATURES = 4
@@ -51,7 +51,7 @@ class Pair:
         import zstandard as z
 
         def compressor(raw: bytes):
-            d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d = z.ZstdCompressionDict(raw)
             d.precompute_compress(level=LEVEL)
             return z.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
@@ -70,23 +70,18 @@ class Pair:
         return [mean, min(d), max(d), min(sum(g), sum(b)) / len(raw)]
 
 
-def build(texts: list[str], size: int = DICTIONARY, each: int = EACH) -> bytes:
-    """A dictionary of ``size`` bytes at most, or ``each`` a text if that is more: the start, middle and end of every text.
+def build(texts: list[str], size: int = DICTIONARY) -> bytes:
+    """A dictionary of ``size`` bytes at most, trained on all of all texts.
 
-    Shares are equal, but what short texts leave over goes to longer ones.
+    Too few or too short texts to train on are the dictionary themselves.
     """
+    import zstandard as z
+
     raw = [t.encode("utf-8", "replace") for t in texts if t]
-    if not raw:
-        return b" " * 8
-    left, out = max(size, each * len(raw)) - 3 * len(raw), {}
-    for k, i in enumerate(sorted(range(len(raw)), key=lambda i: len(raw[i]))):
-        r, share = raw[i], left // (len(raw) - k)
-        if len(r) > share:
-            third, middle = share // 3, (len(r) - share // 3) // 2
-            r = b"\n".join((r[:third], r[middle : middle + third], r[-third:]))
-        out[i] = r
-        left -= min(len(raw[i]), share)
-    return b"\n".join(out[i] for i in range(len(raw)))
+    try:
+        return z.train_dictionary(size, [part for t in raw for part in segments(t, SAMPLE)]).as_bytes()
+    except (z.ZstdError, ValueError):
+        return b"\n".join(raw) or b" " * 8
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +122,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
     if "constant" in model:
         p = F.lit(model["constant"]).cast("double")
         return own_columns(docs, "doc_id").select("doc_id", p.alias("score"), (p >= threshold).cast("int").alias("predicted"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes, or EACH * LIMIT / 2 in all if that is more
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes at most, or the few texts that were too short to train on
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

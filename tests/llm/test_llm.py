@@ -1,6 +1,7 @@
 """Numbered operators against brute force, round trips and held-out accuracy, on small fixtures."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, id_files, jaccard, media, packing, quality_rules, quality_zip, repeats, secrets, tokens, toxicity
-from marginalia.llm.common import crc_of_id
+from marginalia.llm.common import crc_of_id, pick_labelled
 from marginalia.llm.components import components
 from marginalia.llm.queries import vocabulary
 
@@ -375,15 +376,95 @@ def test_language_counts_all_words():
         assert toxicity.language(["xyzzy"] * 9998 + [word, "xyzzy"]) == k
 
 
-def test_quality_dictionary_has_all_texts():
-    texts = [f"<{i:06d}>" * (30 + i % 50) for i in range(1500)]
-    got = quality_zip.build(texts)
-    assert len(got) <= quality_zip.EACH * 1500 and all(f"<{i:06d}>".encode() in got for i in range(1500))
-    # One long text has its start, middle and end in it; short ones are whole, and what they leave goes to long ones.
-    got = quality_zip.build(["start" + "a" * 50_000 + "middle" + "b" * 50_000 + "end"])
-    assert got.startswith(b"start") and b"middle" in got and got.endswith(b"end") and len(got) <= quality_zip.DICTIONARY
-    got = quality_zip.build(["x", "short text", "c" * 70_000])
-    assert b"short text" in got and quality_zip.DICTIONARY - 8 <= len(got) <= quality_zip.DICTIONARY
+def test_quality_dictionary_sees_whole_texts():
+    r = random.Random(12)
+    noise = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+    mark = "a phrase that recurs far behind the start of every text"
+    got = quality_zip.build([noise(9_000) + mark + noise(9_000) for _ in range(60)])
+    assert len(got) <= quality_zip.DICTIONARY and mark.encode() in got
+    # Too few to train on: the texts themselves.
+    assert quality_zip.build(["short text"]) == b"short text" and quality_zip.build(["", None]) == b" " * 8
+
+
+def test_quality_scores_equal_recomputed_sizes(spark):
+    """Scores from sizes that the library gives for each segment of whole texts, one by one."""
+    import zstandard as z
+
+    rows, bad = labelled()
+    rows += [None, "", rows[0], rows[0], "long " * 9000]
+    model = quality_zip.fit(frame(spark, rows), labels_for(spark, 240, bad), F.lit(True))
+    shrink = [z.ZstdCompressor(dict_data=(lambda d: (d.precompute_compress(level=quality_zip.LEVEL), d)[1])(z.ZstdCompressionDict(model[k])), write_checksum=False, write_content_size=False, write_dict_id=False) for k in ("good", "bad")]
+    want = {}
+    for i, t in enumerate(rows):
+        raw = (t or "").encode()
+        n = -(-len(raw) // quality_zip.SEGMENT)
+        sizes = [[len(c.compress(raw[len(raw) * k // n : len(raw) * (k + 1) // n])) for k in range(n)] for c in shrink]
+        own = [len(raw) * (k + 1) // n - len(raw) * k // n for k in range(n)]
+        gaps = [(y - x) / m for x, y, m in zip(*sizes, own)]
+        f = [(sum(sizes[1]) - sum(sizes[0])) / len(raw), min(gaps), max(gaps), min(map(sum, sizes)) / len(raw)] if raw else [0.0] * 4
+        want[i] = 1 / (1 + math.exp(-sum(w * (x - m) / s for w, x, m, s in zip(model["w"], f, model["mean"], model["scale"])) - model["w"][-1]))
+    got = {r.doc_id: r for r in quality_zip.score(frame(spark, rows, True), model).collect()}
+    assert len(got) == len(rows) and all(abs(got[i].score - p) < 1e-9 and got[i].predicted == int(got[i].score >= 0.7) for i, p in want.items())
+    assert quality_zip.score(spark.createDataFrame([], EMPTY), model).count() == 0
+
+
+def test_fitting_stops_at_its_bound(spark):
+    """Of labelled texts the first by hash are taken; a long one ends them, and is not passed over for shorter ones."""
+    rows = [(i, "x" * (50 if i % 3 else 500)) for i in range(60)] + [(7, "again")]
+    docs, labels = spark.createDataFrame(rows, EMPTY), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    order = [r.doc_id for r in docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).collect()]
+    got = {r[0] for r in pick_labelled(docs, labels, "toxic", F.lit(True), 60, 2000)}
+    assert got == set(order[: len(got)]) and 4 <= len(got) < 60
+    assert len(pick_labelled(docs, labels, "toxic", F.lit(True), 60, 1)) == 1
+
+
+def test_toxicity_equals_a_naive_pass(spark):
+    """Scores from sums of word vectors and filters in plain loops."""
+    rows, bad = labelled(300)
+    rows = [t.lower().replace("%", "") for t in rows] + [None, "", rows[0], rows[0], "zogg " * 3000]
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame([(i, int(i in bad)) for i in range(300)], "doc_id long, toxic int"), F.lit(True))
+    net, seen = model["net"], toxicity.Known(lambda sub: sub, 1 + len(toxicity.BEGINNINGS), np.int32, most=None)
+    got = {r.doc_id: r for r in toxicity.score(frame(spark, rows, True), model).collect()}
+    for i, t in list(enumerate(rows))[::17] + list(enumerate(rows))[-5:]:
+        own = toxicity.words(t or "")
+        (numbers,) = seen.numbers([own])
+        x = [sum(net.e[row].astype(float) for row in seen.values[n]) for n in numbers]
+        n = max(len(x), 1)
+        x += [np.zeros(toxicity.WIDTH)] * (n - len(x) + toxicity.WIDTHS[-1] - 1)
+        pooled = [max(0.0, max(float(np.concatenate(x[at : at + w]) @ k[:, f]) for at in range(n)) + float(b[f])) for w, k, b in zip(toxicity.WIDTHS, net.k, net.b) for f in range(toxicity.FILTERS)]
+        z = sum(p * float(v) for p, v in zip(pooled, net.v)) + float(net.c) - model["shift"][toxicity.language(own)]
+        assert abs(got[i].score - 1 / (1 + math.exp(-min(30, max(-30, z))))) < 1e-3, i
+        assert got[i].predicted == int(got[i].score >= 0.5)
+
+
+def test_secret_scores_equal_votes_of_trees(spark):
+    """Features by plain Python, and the forest's share recounted tree by tree from its written rules."""
+    model = secrets.train(secrets.default_findings(spark, 40), trees=6, depth=4)
+    h = hashlib.sha256(b"z").hexdigest()
+    rows = [f'token = "{h[:40]}" here', f"commit {h[10:50]} of it", "see /usr/share/doc/v2/index.html today", 'password: "hunter2-Tr0ub"', "password: required", None, "", f"key={h[:20]}" * 1, "x " * 4000 + f"secret: {h[:24]}"]
+    found = secrets.scan(frame(spark, rows, True), model).collect()
+    assert {r.doc_id for r in found} >= {0, 1, 2, 3, 4, 7, 8}
+    count = lambda p, c: len(re.findall(p, c))
+    named = lambda words, b: bool(re.search(r"(?i)(?<![a-z])(" + "|".join(words.split()) + r")(?![a-z])\W{0,6}$", b))
+
+    def vector(b, c, a):
+        n = len(c)
+        turns = count("[a-z](?=[^a-z])", c) + count("[A-Z](?=[^A-Z])", c) + count("[0-9](?=[^0-9])", c)
+        left = re.sub("|".join(sorted(secrets.DICTIONARY.split(), key=len, reverse=True)), "", c.lower())
+        return [n, count("[0-9]", c) / n, count("[A-Z]", c) / n, count("[a-z]", c) / n, count("[^A-Za-z0-9]", c) / n, turns, turns / n, len(set(c)) / n, bool(re.fullmatch("[0-9a-fA-F]+", c)), (n - len(left)) / n,
+                count("/", c), count(r"\.", c), count("[-_]", c), bool(re.search(r"\.[a-z]{2,4}[0-9]?$", c)), bool(re.search(r"""[=:]\s*["']?$""", b)), bool(re.search(r"""["']$""", b) and re.search(r"""^["']""", a)), named(secrets.SECRET_WORDS, b), named(secrets.OTHER_WORDS, b)]
+
+    def share(tree, x):
+        node = tree._call_java("rootNode")
+        while node.getClass().getSimpleName() == "InternalNode":
+            split = node.split()
+            node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+        return node.impurityStats().prob(1.0)
+
+    for r in found:
+        x = vector(r.before, r.candidate, r.after)
+        assert abs(r.score - np.mean([share(t, x) for t in model.trees])) < 1e-6, r
+        assert r.is_secret == (r.score >= 0.5) and rows[r.doc_id][r.pos : r.pos + len(r.candidate)] == r.candidate
 
 
 def test_quality_held_out(spark):
