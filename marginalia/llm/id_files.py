@@ -36,8 +36,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import tokens
 from .common import mapped, own_columns, written
+from .repeats import small_or_shuffled
 
 END_ID = 2
+#: Parts of the writing job whose ids are added up together.
+PARTS = 1000
 #: Ids of a block, and of a container, about: a document is not divided between containers.
 BLOCK, CONTAINER = 512, 4_000_000
 MAGIC = b"IDMIX2\n\0"
@@ -320,11 +323,16 @@ def containers(docs: DataFrame, vocabulary: str, end_id: int = END_ID, size: int
 
 def read(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in written containers."""
-    # One row per part of the writing job, so the running sum over parts is small.
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    # Sums of PARTS parts each, as many numbers as the writing job had parts by PARTS, are added up here; all else where it lies.
+    sums = written(files.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("block", F.expr(f"part div {PARTS}")), "sums")
+    base, at = [], 0
+    for r in sums.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect():
+        base.append((r.block, at))
+        at += r.n
+    blocks = files.sparkSession.createDataFrame(base, "block long, base long")
+    before = sums.withColumn("before", F.sum("n").over(W.partitionBy("block").orderBy("part")) - F.col("n")).join(blocks, "block").select("part", (F.col("before") + F.col("base")).alias("before"))
     own = files.select("part", "seq", "n_ids").withColumn("own", F.sum("n_ids").over(W.partitionBy("part").orderBy("seq")) - F.col("n_ids"))
-    starts = own.join(before, "part").select("part", "seq", (F.col("before") + F.col("own")).alias("start"))
+    starts = written(own.join(before, "part").select("part", "seq", (F.col("before") + F.col("own")).alias("start")), "starts")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -337,7 +345,7 @@ def read(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return mapped(files.select("part", "seq", "data").join(F.broadcast(starts), ["part", "seq"]).select("start", "data"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(files.select("part", "seq", "data").join(small_or_shuffled(starts, F.lit(3)), ["part", "seq"]).select("start", "data"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
