@@ -45,6 +45,10 @@ class Dialect:
     def sha(self, x: str) -> str:
         return f"sha2({x}, 256)"
 
+    def number_of(self, x: str) -> str:
+        """A number of 60 bits out of a string's hash, for folding sets without order."""
+        return f"cast(conv(substr({self.sha(x)}, 1, 15), 16, 10) as bigint)"
+
     def joined(self, x: str, distinct: bool = True, order: str | None = None, by: str = ",") -> str:
         """Values in order, joined by commas or another mark."""
         return f"listagg({'DISTINCT ' if distinct else ''}{x}, '{by}') WITHIN GROUP (ORDER BY {order or x})"
@@ -166,6 +170,9 @@ class Duck(Dialect):
     def sha(self, x: str) -> str:
         return f"sha256({x})"
 
+    def number_of(self, x: str) -> str:
+        return f"cast('0x' || substr({self.sha(x)}, 1, 15) as bigint)"
+
     def joined(self, x: str, distinct: bool = True, order: str | None = None, by: str = ",") -> str:
         return f"string_agg({'DISTINCT ' if distinct else ''}{x}, '{by}' ORDER BY {order or x})"
 
@@ -246,6 +253,17 @@ class Duck(Dialect):
         return f"try(decode({'unhex' if kind == 'hex' else 'from_base64'}({x})))"
 
 
+def placed(source: str, columns: str, bucket: str, order: str) -> str:
+    """``columns`` of all rows, and their place in an order over everything, without one task that sees all.
+
+    ``bucket`` is a string that follows the order; rows are numbered in their
+    bucket, after as many as the buckets before it have.
+    """
+    rows = f"SELECT *, {bucket} AS bucket FROM ({source}) AS s"
+    before = f"SELECT bucket, coalesce(sum(n) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT bucket, count(*) AS n FROM ({rows}) AS r GROUP BY bucket) AS c"
+    return f"SELECT {columns}, cast(b.before + row_number() OVER (PARTITION BY r.bucket ORDER BY {order}) as bigint) AS place FROM ({rows}) AS r JOIN ({before}) AS b ON b.bucket = r.bucket"
+
+
 SPARK, DUCK = Dialect(), Duck()
 _NAME = re.compile(r"@([a-z_]+)")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.dialect import Dialect
+from ..functions.dialect import Dialect, placed
 
 
 def src_3_catalog(d: Dialect) -> str:
@@ -69,12 +69,14 @@ def join_24_category(d: Dialect) -> str:
 
 
 def agg_16_vendors(d: Dialect) -> str:
-    return f"SELECT concat(lang, '/', source) AS vendor, count(*) AS adopted, {d.sha(d.joined('skill'))} AS names_sha256 FROM @pkg GROUP BY concat(lang, '/', source)"
+    """How many packages came from each vendor, and a fold of their names that no order changes."""
+    return f"SELECT concat(lang, '/', source) AS vendor, count(*) AS adopted, bit_xor({d.number_of('skill')}) AS names_fold FROM @pkg GROUP BY concat(lang, '/', source)"
 
 
 def agg_17_ghosts(d: Dialect) -> str:
+    """Names that resolve to nothing, a row for each package that refers to them."""
     named = "SELECT from_id AS skill, to_id AS name FROM @edge UNION SELECT skill, callee FROM @call"
-    return f"SELECT name, {d.joined('skill')} AS referrers FROM ({named}) AS n WHERE NOT EXISTS (SELECT 1 FROM @pkg p WHERE p.skill = n.name) AND NOT EXISTS (SELECT 1 FROM @rejected r WHERE r.name = n.name) GROUP BY name"
+    return f"SELECT name, skill AS referrer FROM ({named}) AS n WHERE NOT EXISTS (SELECT 1 FROM @pkg p WHERE p.skill = n.name) AND NOT EXISTS (SELECT 1 FROM @rejected r WHERE r.name = n.name)"
 
 
 def agg_18_duplicates(d: Dialect) -> str:
@@ -92,8 +94,9 @@ def agg_20_kinds(d: Dialect) -> str:
 
 
 def agg_21_adjacency(d: Dialect) -> str:
-    both = "SELECT a AS id, b AS other FROM @link UNION SELECT b, a FROM @link"
-    return f"SELECT id, count(*) AS n, {d.sha(d.joined('other'))} AS neighbours_sha256 FROM ({both}) AS x GROUP BY id"
+    """Neighbours of every node by kind of edge and direction: how many, and a fold of their ids that no order changes."""
+    both = "SELECT a AS id, kind, 'out' AS direction, b AS other FROM @link UNION SELECT b, kind, 'in', a FROM @link"
+    return f"SELECT id, kind, direction, count(*) AS n, bit_xor({d.number_of('other')}) AS neighbours_fold FROM ({both}) AS x GROUP BY id, kind, direction"
 
 
 def agg_22_calls(d: Dialect) -> str:
@@ -121,8 +124,9 @@ def snk_6_append_rejected(d: Dialect) -> str:
 
 
 def top_7_node_order(d: Dialect) -> str:
+    """Place of every node in a listing: by kind, then by id."""
     rank = "CASE kind WHEN 'skill' THEN 0 WHEN 'leaf' THEN 1 WHEN 'script' THEN 2 WHEN 'category' THEN 3 WHEN 'vendor' THEN 4 WHEN 'refused' THEN 5 WHEN 'declined' THEN 6 ELSE 7 END"
-    return f"SELECT kind, id, row_number() OVER (ORDER BY {rank}, id) AS place FROM @node"
+    return placed("SELECT kind, id FROM @node", "kind, id", f"concat({rank}, substr(id, 1, 8))", f"{rank}, id")
 
 
 def set_1_nodes(d: Dialect) -> str:
@@ -143,16 +147,51 @@ def grph_2_overlap_edges(d: Dialect) -> str:
     return "SELECT c.covers AS a, c.covered AS b, round(c.coverage, 6) AS weight FROM @coverer c JOIN (SELECT skill FROM @pkg GROUP BY skill) AS x ON x.skill = c.covers JOIN (SELECT skill FROM @pkg GROUP BY skill) AS y ON y.skill = c.covered"
 
 
+#: Weight of an edge in the neighbourhood that does not touch the focus, how many hops the neighbourhood has, and how many are walked; fixed values.
+NEARBY, NEARBY_DEPTH, DEPTH = 0.45, 2, 3
+
+
+def step(d: Dialect) -> str:
+    """(x, y): edges of every kind in both directions; loops are none."""
+    return "SELECT a AS x, b AS y FROM @link WHERE a <> b UNION SELECT b, a FROM @link WHERE a <> b"
+
+
+def focus(d: Dialect) -> str:
+    """Nodes whose neighbourhood is asked for: rejected names that an edge reaches."""
+    return "SELECT DISTINCT r.name AS focus FROM @rejected r JOIN @edge e ON e.to_id = r.name"
+
+
+def hidden(d: Dialect) -> str:
+    """Nodes that are not shown, and so not walked: hubs that gather packages."""
+    return "SELECT id FROM @node WHERE kind IN ('category', 'vendor')"
+
+
+def _grown(k: int):
+    def grown(d: Dialect) -> str:
+        seen = f"@reach_{'abc'[k - 2]}" if k > 1 else "(SELECT focus, focus AS id, 0 AS depth FROM @focus)"
+        new = f"SELECT DISTINCT s.focus, e.y AS id FROM {seen} AS s JOIN @step e ON e.x = s.id WHERE s.depth = {k - 1} AND NOT EXISTS (SELECT 1 FROM @hidden h WHERE h.id = e.y)"
+        return f"SELECT focus, id, depth FROM {seen} AS s UNION ALL SELECT n.focus, n.id, {k} FROM ({new}) AS n WHERE NOT EXISTS (SELECT 1 FROM {seen} AS s WHERE s.focus = n.focus AND s.id = n.id)"
+
+    grown.__name__ = f"reach_{'abc'[k - 1]}"
+    grown.__doc__ = f"(focus, id, depth): nodes within {k} hops; each frontier is joined once, and what was reached before stays out."
+    return grown
+
+
 def grph_3_neighbourhood(d: Dialect) -> str:
-    """Depth, three at most, of the nodes around each rejected name that an edge reaches; hubs are not walked through."""
-    step = "SELECT a AS x, b AS y FROM @link WHERE kind IN ('operative', 'referential', 'alternative') UNION SELECT b, a FROM @link WHERE kind IN ('operative', 'referential', 'alternative')"
-    zero = "SELECT DISTINCT r.name AS focus, r.name AS id, 0 AS depth FROM @rejected r JOIN @edge e ON e.to_id = r.name"
-    grow = lambda seen, k: f"SELECT focus, id, min(depth) AS depth FROM (SELECT focus, id, depth FROM ({seen}) AS s{k} UNION ALL SELECT s.focus, e.y, {k} FROM ({seen}) AS s JOIN ({step}) AS e ON e.x = s.id WHERE s.depth = {k - 1}) AS g{k} GROUP BY focus, id"
-    return grow(grow(grow(zero, 1), 2), 3)
+    """Depth, three at most, of the nodes around each focus; hidden nodes are not walked."""
+    return "SELECT focus, id, depth FROM @reach_c"
+
+
+def grph_3_edge_tiers(d: Dialect) -> str:
+    """Edges of each neighbourhood: 1 where they touch the focus, a nearby weight where both ends are within two hops; all others have 0 and no row."""
+    touch = "SELECT f.focus, l.kind, l.a, l.b FROM @focus f JOIN @link l ON l.a = f.focus UNION SELECT f.focus, l.kind, l.a, l.b FROM @focus f JOIN @link l ON l.b = f.focus"
+    near = f"SELECT DISTINCT x.focus, l.kind, l.a, l.b FROM @reach_c x JOIN @link l ON l.a = x.id JOIN @reach_c y ON y.focus = x.focus AND y.id = l.b WHERE x.depth <= {NEARBY_DEPTH} AND y.depth <= {NEARBY_DEPTH} AND l.a <> x.focus AND l.b <> x.focus"
+    return f"SELECT focus, kind, a, b, cast(1 as double) AS tier FROM ({touch}) AS t UNION ALL SELECT focus, kind, a, b, cast({NEARBY} as double) FROM ({near}) AS n"
 
 
 def grph_4_integrity(d: Dialect) -> str:
-    return f"SELECT 'dangling' AS what, count(*) AS n FROM ({join_21_dangling(d)}) AS a UNION ALL SELECT 'manual', count(*) FROM ({join_22_manual_operative(d)}) AS b UNION ALL SELECT 'duplicate', count(*) FROM (SELECT id FROM @node GROUP BY id HAVING count(*) > 1) AS c"
+    return f"SELECT 'dangling' AS what, count(*) AS n FROM ({join_21_dangling(d)}) AS a UNION ALL SELECT 'manual', count(*) FROM ({join_22_manual_operative(d)}) AS b UNION ALL SELECT 'duplicate', count(*) FROM (SELECT id FROM @node GROUP BY id HAVING count(*) > 1) AS c UNION ALL SELECT 'duplicate path', count(*) FROM (SELECT skill, path FROM @raw_file GROUP BY skill, path HAVING count(*) > 1) AS p"
 
 
-OPS = (src_3_catalog, src_4_edges, join_7_unfiled, join_8_filed_missing, join_9_edge_checks, join_10_undeclared_mentions, join_18_resolution, join_21_dangling, join_22_manual_operative, fn_6_repo_slug, join_23_vendor, join_24_category, agg_16_vendors, agg_17_ghosts, agg_18_duplicates, agg_20_degrees, agg_20_kinds, agg_21_adjacency, agg_22_calls, agg_26_script_fold, agg_27_library_check, win_3_first_rejected, snk_6_append_rejected, top_7_node_order, set_1_nodes, set_2_edges, grph_1_graph, grph_2_overlap_edges, grph_3_neighbourhood, grph_4_integrity)
+OPS = (src_3_catalog, src_4_edges, join_7_unfiled, join_8_filed_missing, join_9_edge_checks, join_10_undeclared_mentions, join_18_resolution, join_21_dangling, join_22_manual_operative, fn_6_repo_slug, join_23_vendor, join_24_category, agg_16_vendors, agg_17_ghosts, agg_18_duplicates, agg_20_degrees, agg_20_kinds, agg_21_adjacency, agg_22_calls, agg_26_script_fold, agg_27_library_check, win_3_first_rejected, snk_6_append_rejected, top_7_node_order, set_1_nodes, set_2_edges, grph_1_graph, grph_2_overlap_edges, grph_3_neighbourhood, grph_3_edge_tiers, grph_4_integrity)
+RELATIONS = (step, focus, hidden, *map(_grown, (1, 2, 3)))

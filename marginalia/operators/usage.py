@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.dialect import Dialect
+from ..functions.dialect import Dialect, placed
 from ..plans.derive import NOW
 
 #: What a package costs: bytes of its description, and uses so far (zero where none).
@@ -66,11 +66,20 @@ def agg_10_report_totals(d: Dialect) -> str:
 
 def top_3_cost_table(d: Dialect) -> str:
     """Place in the cost report: never used first, then dearest per use, then by name."""
-    return f"SELECT skill, b AS bytes, total, row_number() OVER (ORDER BY CASE WHEN total = 0 THEN 0 ELSE 1 END, cast(b as double) / nullif(total, 0) DESC, skill) AS place FROM ({_cost(d)}) AS c"
+    cost = "cast(b as double) / nullif(total, 0)"
+    bucket = f"CASE WHEN total = 0 THEN concat('0', substr(skill, 1, 8)) ELSE concat('1', lpad(cast(1000000 - least(cast(floor({cost}) as bigint), 999999) as string), 7, '0')) END"
+    return placed(_cost(d), "skill, b AS bytes, total", bucket, f"CASE WHEN total = 0 THEN 0 ELSE 1 END, {cost} DESC, skill")
 
 
 def top_4_unheld_order(d: Dialect) -> str:
-    return f"SELECT skill, total, row_number() OVER (ORDER BY total DESC, skill) AS place FROM ({join_2_unheld(d)}) AS u"
+    """Place of names that are used and not held: most used first, then by name."""
+    return placed(join_2_unheld(d), "skill, total", "concat(lpad(cast(1000000000000 - total as string), 13, '0'), substr(skill, 1, 8))", "total DESC, skill")
+
+
+def top_4_covered_order(d: Dialect) -> str:
+    """Place of never used packages by how far another's description covers theirs, then by name."""
+    bucket = "concat(lpad(cast(1000 - cast(floor(1000 * coverage) as int) as string), 4, '0'), substr(covered, 1, 8))"
+    return placed(join_3_never_invoked_coverer(d), "covered, covers, coverage", bucket, "coverage DESC, covered")
 
 
 def win_9_daily_trailing(d: Dialect) -> str:
@@ -99,4 +108,4 @@ def snk_3_usage_ledger(d: Dialect) -> str:
     return "SELECT skill, concat('{\"d7\":', d7, ',\"d30\":', d30, ',\"d90\":', d90, ',\"all\":', total, '}') AS invocations FROM @usage"
 
 
-OPS = (agg_2_window_counts, agg_3_last_invoked, agg_4_totals, fn_13_tool_events, agg_5_corpus_depth, agg_6_window_meta, join_1_usage_cost, join_2_unheld, join_3_never_invoked_coverer, agg_10_report_totals, top_3_cost_table, top_4_unheld_order, win_9_daily_trailing, set_5_populations, fn_12_windows, snk_3_usage_ledger)
+OPS = (agg_2_window_counts, agg_3_last_invoked, agg_4_totals, fn_13_tool_events, agg_5_corpus_depth, agg_6_window_meta, join_1_usage_cost, join_2_unheld, join_3_never_invoked_coverer, agg_10_report_totals, top_3_cost_table, top_4_unheld_order, top_4_covered_order, win_9_daily_trailing, set_5_populations, fn_12_windows, snk_3_usage_ledger)
