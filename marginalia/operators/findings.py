@@ -304,14 +304,28 @@ def hostile(d: Dialect, x: str) -> str:
     return "CASE " + " ".join(f"WHEN {d.like(x, _rule(d, j, r))} THEN '{c}'" for c, _, _, j, r in rules()) + " END"
 
 
+def comment(d: Dialect) -> str:
+    """(skill, path, line, col, said): what every HTML comment says."""
+    return f"SELECT skill, path, line, col, substr(hit, 5, cast(length(hit) - 7 as int)) AS said FROM ({_matches(d, '@scanned', COMMENT)}) AS c"
+
+
+def told_comment(d: Dialect) -> str:
+    """Comments with the first rule that they match."""
+    return f"SELECT skill, path, line, col, said, {hostile(d, 'said')} AS rule FROM @comment"
+
+
+def told_run(d: Dialect) -> str:
+    """Encoded runs with the first rule that their text matches, where it is readable."""
+    return f"SELECT skill, path, off, line, col, length, kind, readable, said, {hostile(d, 'said')} AS rule FROM @encoded_run"
+
+
 def hidden_finding(d: Dialect) -> str:
     """Comments that hold a rule's match or read as directives, encoded runs, escape runs."""
     blocks = ", ".join(f"'{c}'" for c, v, *_ in rules() if v == "BLOCK")
-    inner = f"SELECT skill, path, line, col, {hostile(d, 'inner_')} AS rule, inner_ FROM (SELECT *, substr(hit, 5, cast(length(hit) - 7 as int)) AS inner_ FROM ({_matches(d, '@scanned', COMMENT)}) AS c) AS m"
-    comments = f"""SELECT skill, path, CASE WHEN rule IS NOT NULL THEN 'INSTR-HIDDENDIRECTIVE' ELSE 'INSTR-HTMLCOMMENT' END AS code, CASE WHEN rule IN ({blocks}) THEN 'BLOCK' ELSE 'REVIEW' END AS sev, line, col, {_excerpt(d, 'inner_')} AS evidence, rule AS quoted
-        FROM ({inner}) AS m WHERE rule IS NOT NULL OR {d.like('inner_', _own(d, DIRECTIVE))}"""
+    comments = f"""SELECT skill, path, CASE WHEN rule IS NOT NULL THEN 'INSTR-HIDDENDIRECTIVE' ELSE 'INSTR-HTMLCOMMENT' END AS code, CASE WHEN rule IN ({blocks}) THEN 'BLOCK' ELSE 'REVIEW' END AS sev, line, col, {_excerpt(d, 'said')} AS evidence, rule AS quoted
+        FROM @told_comment WHERE rule IS NOT NULL OR {d.like('said', _own(d, DIRECTIVE))}"""
     encoded = f"""SELECT skill, path, CASE WHEN rule IS NOT NULL THEN 'INSTR-ENCODEDPAYLOAD' WHEN kind = 'hex' THEN 'INSTR-HEXBLOB' ELSE 'INSTR-BASE64' END, CASE WHEN rule IS NOT NULL THEN 'BLOCK' ELSE 'REVIEW' END, line, col,
-        CASE WHEN said IS NULL THEN concat(length(hit), ' chars') WHEN rule IS NOT NULL THEN {_excerpt(d, 'said')} ELSE {_excerpt(d, 'said', 60)} END, rule FROM (SELECT *, {hostile(d, 'said')} AS rule FROM (SELECT skill, path, line, col, hit, kind, CASE WHEN readable THEN said END AS said FROM (SELECT * FROM @encoded_run) AS r WHERE kind = 'base64' OR readable) AS s) AS e"""
+        CASE WHEN said IS NULL THEN concat(length, ' chars') WHEN rule IS NOT NULL THEN {_excerpt(d, 'said')} ELSE {_excerpt(d, 'said', 60)} END, rule FROM @told_run WHERE kind = 'base64' OR readable"""
     escapes = f"SELECT skill, path, 'INSTR-HEXESC', '{CHECKS['INSTR-HEXESC']}', line, col, {_excerpt(d, 'hit', 60)}, cast(NULL as string) FROM ({_matches(d, '@scanned', ESCAPES)}) AS m"
     return " UNION ALL ".join([comments, encoded, escapes])
 
@@ -334,7 +348,8 @@ def encoded_run(d: Dialect) -> str:
     made = f"SELECT skill, path, off, line, col, hit, kind, CASE WHEN kind = 'base64' THEN {d.from_base64(padded)} WHEN length(hit) % 2 = 0 THEN {d.from_hex('hit')} END AS raw FROM ({even}) AS e"
     spaced = d.sub("hex(raw)", "([0-9A-F]{2})", "$1 ")
     counted = f"SELECT *, {d.count('pairs', '(?:[2-6][0-9A-F]|7[0-9A-E]) ')} AS shown, {d.count('pairs', _CHARACTER)} AS characters FROM (SELECT *, {spaced} AS pairs FROM ({made}) AS m) AS p"
-    return f"SELECT skill, path, off, line, col, hit, kind, {d.to_text('raw')} AS said, coalesce(shown > {READABLE} * characters, false) AS readable FROM ({counted}) AS c"
+    readable = f"coalesce(shown > {READABLE} * characters, false)"
+    return f"SELECT skill, path, off, line, col, length(hit) AS length, kind, CASE WHEN {readable} THEN {d.to_text('raw')} END AS said, {readable} AS readable FROM ({counted}) AS c"
 
 
 def code_finding(d: Dialect) -> str:
@@ -441,7 +456,7 @@ def scan_13_frontmatter_checks(d: Dialect) -> str:
 
 def scan_7_encoded_runs(d: Dialect) -> str:
     """Long runs that are no paths: hex or base64, whether they read as text, and the rule that the text matches."""
-    return f"SELECT skill, path, off, length(hit) AS length, kind, readable, {hostile(d, 'CASE WHEN readable THEN said END')} AS rule FROM @encoded_run"
+    return "SELECT skill, path, off, length, kind, readable, rule FROM @told_run"
 
 
 def scan_4_hidden_chars(d: Dialect) -> str:
@@ -478,5 +493,5 @@ def snk_1_findings(d: Dialect) -> str:
     return "SELECT sev, code, count(*) AS n, count(DISTINCT skill) AS packages, count(CASE WHEN excluded THEN 1 END) AS set_apart FROM @finding GROUP BY sev, code"
 
 
-RELATIONS = (routed, scanned, fence, spine, front, known_as, mention, dead_reference, unmentioned, layout_finding, front_finding, reference_finding, rule_finding, disguise_finding, encoded_run, hidden_finding, code_finding, finding)
+RELATIONS = (routed, scanned, fence, spine, front, known_as, mention, dead_reference, unmentioned, layout_finding, front_finding, reference_finding, rule_finding, disguise_finding, encoded_run, comment, told_comment, told_run, hidden_finding, code_finding, finding)
 OPS = (agg_1_verdict, top_1_order, top_6_first_block, prj_1_route, prj_4_frontmatter, win_8_duplicate_keys, prj_7_excluded, prj_8_withheld, prj_9_quiet, prj_10_home_paths, scan_11_nul_bytes, scan_12_layout, scan_13_frontmatter_checks, scan_7_encoded_runs, scan_4_hidden_chars, scan_5_homoglyphs, scan_9_unfenced_code, scan_10_imports, join_11_dead_references, join_12_orphans, snk_1_findings)

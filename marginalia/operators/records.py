@@ -157,6 +157,56 @@ def join_15_ledger_check(d: Dialect) -> str:
     return f"SELECT x.skill, x.section AS what, count(*) AS fields FROM ({differ}) AS x LEFT JOIN ({lacks}) AS m ON m.skill = x.skill WHERE m.skill IS NULL GROUP BY x.skill, x.section UNION ALL SELECT skill, what, cast(NULL as bigint) FROM ({lacks}) AS m"
 
 
+#: What an unfilled record still has, verdicts, and what decides a finding; fixed values.
+VERDICT_MENU = r"ADOPT[ \t]*·[ \t]*REVISE[ \t]*·[ \t]*REJECT"
+PLACEHOLDERS = {
+    "unfilled date": "YYYY-MM-DD", "verdict menu": VERDICT_MENU, "quality menu": r"Ready[ \t]*·[ \t]*Adopt with changes", "disposition menu": "Real / Accepted / False positive", "unfilled field": r"(?i)<[a-z][^>\n]{2,}>",
+}
+VERDICT = r"(?i)\|[ \t]*\*\*Verdict\*\*[ \t]*\|[ \t*]*(ADOPT|REVISE|REJECT)"
+VERDICT_CELL = r"(?m)^\|[ \t]*\*\*Verdict\*\*[ \t]*\|([^|\n]*)\|"
+FINDING_ROW = r"^\|[ \t]*[0-9]+[ \t]*\|[ \t]*`?[A-Z]+-[A-Z0-9]+`?[ \t]*\|[^|]*\|([^|]*)\|"
+DECIDED = r"(?i)^(real|accepted|false positive|fixed|removed|n/a)($|[^A-Za-z0-9_])"
+
+
+def record_gate(d: Dialect) -> str:
+    """(skill, why): every reason why an audit is no finished decision; a verdict's menu is a placeholder and no verdict."""
+    audit = "@record_file WHERE path = 'AUDIT.md'"
+    verdict = f"upper({d.first('text', VERDICT)})"
+    menu = d.like(d.first("text", VERDICT_CELL), VERDICT_MENU)
+    left = [f"SELECT skill, '{why}' AS why FROM {audit} AND {d.like('text', p)}" for why, p in PLACEHOLDERS.items()]
+    rows = d.exploded(f"(SELECT skill, text FROM {audit}) AS a", d.split("text", "\n"), "skill", "line")
+    open_ = f"SELECT skill FROM ({rows}) AS r WHERE {d.like('line', FINDING_ROW)} AND NOT {d.like(f'trim({d.first(chr(108) + chr(105) + chr(110) + chr(101), FINDING_ROW)})', DECIDED)} GROUP BY skill"
+    return " UNION ALL ".join([
+        *left, f"SELECT skill, 'no verdict' FROM {audit} AND NOT {d.like('text', VERDICT_MENU)} AND {verdict} = ''", f"SELECT skill, 'rejected' FROM {audit} AND NOT {menu} AND {verdict} = 'REJECT'", f"SELECT skill, 'undecided findings' FROM ({open_}) AS o",
+    ])
+
+
+def agg_14_record_gate(d: Dialect) -> str:
+    """Audits with the reasons why they do not pass, one row each; null where one passes."""
+    return "SELECT f.skill, g.why FROM @record_file f LEFT JOIN @record_gate g ON g.skill = f.skill WHERE f.path = 'AUDIT.md'"
+
+
+def unmet(d: Dialect) -> str:
+    """(skill, why): conditions of a promotion that a package does not meet.
+
+    An acquired one needs a resolved commit, a finished audit and a section on
+    what was changed; an authored one an entry of the catalog, and a description
+    and body that are not too long.  Nothing that blocks may be found in either,
+    records aside.
+    """
+    blocks = "f.sev = 'BLOCK' OR p.kind = 'authored' AND f.code IN ('STRUCT-LONGDESC', 'STRUCT-LONGBODY')"
+    return f"""SELECT p.skill, 'no spine' AS why FROM @provenance p WHERE NOT EXISTS (SELECT 1 FROM @raw_file f WHERE f.skill = p.skill AND f.path = 'SKILL.md')
+        UNION ALL SELECT skill, 'held already' FROM @held_already UNION ALL SELECT skill, 'no resolved commit' FROM @provenance WHERE kind = 'acquired' AND commit_id IS NULL
+        UNION ALL SELECT g.skill, concat('record: ', g.why) FROM @record_gate g UNION ALL SELECT skill, 'changes not told' FROM ({join_17_adaptation(d)}) AS j WHERE unmet
+        UNION ALL SELECT p.skill, 'not in the catalog' FROM @provenance p WHERE p.kind = 'authored' AND NOT EXISTS (SELECT 1 FROM @catalog c WHERE c.skill = p.skill)
+        UNION ALL SELECT p.skill, 'blocking findings' FROM @provenance p JOIN @finding f ON f.skill = p.skill WHERE ({blocks}) AND f.path NOT IN ('AUDIT.md', 'ORIGIN.md') GROUP BY p.skill"""
+
+
+def agg_15_promotion(d: Dialect) -> str:
+    """Whether every package may be promoted, and the conditions that it does not meet."""
+    return f"SELECT p.skill, p.kind, count(u.why) AS unmet, {d.joined('u.why')} AS reasons, count(u.why) = 0 AS promotable FROM @provenance p LEFT JOIN @unmet u ON u.skill = p.skill GROUP BY p.skill, p.kind"
+
+
 _NAME = r"^`([a-z0-9][a-z0-9-]*)`$"
 _SOURCE = r"\[`?([^\]`]+)`?\]\(([^)]+)\)"
 
@@ -270,5 +320,5 @@ def agg_24_record_validation(d: Dialect) -> str:
     ])
 
 
-RELATIONS = (provenance, arrival, changes, adapted, stage, contract, structural, decision, record_object, violation)
-OPS = (src_7_provenance, src_7_arrival, prj_11_acquired, agg_23_adapted, join_17_adaptation, agg_12_contract, join_15_ledger_check, src_6_rejected, agg_24_record_validation)
+RELATIONS = (record_gate, unmet, provenance, arrival, changes, adapted, stage, contract, structural, decision, record_object, violation)
+OPS = (src_7_provenance, src_7_arrival, prj_11_acquired, agg_23_adapted, join_17_adaptation, agg_12_contract, agg_14_record_gate, agg_15_promotion, join_15_ledger_check, src_6_rejected, agg_24_record_validation)

@@ -98,17 +98,6 @@ def agg_13_audit(d: Dialect) -> str:
     return f"SELECT doc_id, nullif({verdict}, '') AS verdict, nullif({d.count('text', row)}, 0) AS findings, CASE WHEN {d.count('text', row)} > 0 THEN {d.count('text', decided)} = {d.count('text', row)} END AS dispositioned FROM ({_RECORD}) AS r"
 
 
-def agg_14_record_gate(d: Dialect) -> str:
-    """Why a record does not pass, or ''."""
-    return f"SELECT doc_id, concat(CASE WHEN verdict IS NULL THEN 'no verdict;' ELSE '' END, CASE WHEN verdict = 'REJECT' THEN 'rejected;' ELSE '' END, CASE WHEN dispositioned = false THEN 'undecided;' ELSE '' END) AS unmet FROM ({agg_13_audit(d)}) AS a"
-
-
-def agg_15_promotion(d: Dialect) -> str:
-    """Conditions each package does not meet: record, hashes, category."""
-    parts = f"SELECT concat('doc-', doc_id) AS skill, 'record' AS what FROM ({agg_14_record_gate(d)}) AS g WHERE unmet <> '' UNION SELECT k.skill, 'hash' FROM @disk k JOIN @ledger_file l ON l.skill = k.skill AND l.path = k.path WHERE l.sha256 <> k.sha256 UNION SELECT skill, 'category' FROM @pkg WHERE category IS NULL"
-    return f"SELECT p.skill, count(u.what) AS unmet, count(u.what) = 0 AS promotable FROM @pkg p LEFT JOIN ({parts}) AS u ON u.skill = p.skill GROUP BY p.skill"
-
-
 #: Structured records out of labels: mostly valid, every kind of violation by the id.
 _JSON = """SELECT doc_id, concat('{"schemaVersion":', CASE WHEN doc_id % 41 = 0 THEN '2' ELSE '1' END, ',"skill":"doc-', doc_id, '","state":"', CASE WHEN toxic = 1 THEN 'blocked' ELSE 'certified' END, '"', CASE WHEN doc_id % 3 = 0 THEN '' ELSE ',"by":"x"' END, CASE WHEN doc_id % 37 = 0 THEN '' ELSE '}' END) AS line FROM @labels"""
 
@@ -138,4 +127,4 @@ def join_20_pinned(d: Dialect) -> str:
     return f"SELECT p.skill, p.path, p.line, l.line IS NOT NULL AS on_line, coalesce({needle} <> '' AND {inside}, false) AS excerpt_matches FROM ({_pins(d)}) AS p LEFT JOIN @line l ON l.skill = p.skill AND l.path = p.path AND l.pos + 1 = p.line"
 
 
-OPS = (fn_4_fragments, join_20_pinned, prj_3_roles, prj_5_held, prj_6_manual_only, prj_12_leaves, agg_19_words, agg_19_turn_words, fn_5_slugs, win_4_anchors, win_7_sections, fn_8_links, fn_8_urls, fn_7_source_url, fn_9_pins, fn_11_safe_names, fn_14_decision_rows, agg_13_audit, agg_14_record_gate, agg_15_promotion, src_8_records)
+OPS = (fn_4_fragments, join_20_pinned, prj_3_roles, prj_5_held, prj_6_manual_only, prj_12_leaves, agg_19_words, agg_19_turn_words, fn_5_slugs, win_4_anchors, win_7_sections, fn_8_links, fn_8_urls, fn_7_source_url, fn_9_pins, fn_11_safe_names, fn_14_decision_rows, agg_13_audit, src_8_records)

@@ -19,7 +19,7 @@ OPERATORS: dict[str, Sql] = {f.__name__: f for m in (usage, overlap, ledger, gra
 
 
 #: Relations that stand under several others, or several times under one, and are written once for a query.
-WRITTEN = {"scanned", "fence", "front", "mention", "pair", "posting", "disk", "record_file", "structural", "record_object", "violation", "decision", "step", "reach_a", "reach_b", "reach_c"}
+WRITTEN = {"comment", "told_comment", "encoded_run", "told_run", "scanned", "fence", "front", "mention", "pair", "posting", "disk", "record_file", "structural", "record_object", "violation", "decision", "step", "reach_a", "reach_b", "reach_c"}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
