@@ -57,7 +57,7 @@ from .repeats import _SPACE, Hasher, buffers, mix, small_or_shuffled
 
 SHINGLE = 5
 #: Members of a region that are compared with each other, and pivots of a larger one.
-LEAST, PIVOTS = 16, 2
+LEAST, PIVOTS = 16, 4
 #: Rows of a region that is dealt out further, as a power of two, and members of a block of pairs.
 DEAL, BLOCK = 17, 1000
 #: Classes of shingles.
@@ -295,23 +295,21 @@ def _round(docs: DataFrame, sets: DataFrame, members: DataFrame, known: DataFram
     the region was that a part comes from, or null.
     """
     open_ = written(_placed(members, known), "open")
-    large = open_.filter((F.col("size") > least) & (F.col("before").isNull() | (4 * F.col("size") < 3 * F.col("before"))))
+    divided = (F.col("size") > least) & (F.col("before").isNull() | (4 * F.col("size") < 3 * F.col("before")))
+    large = open_.filter(divided)
     # Components are dealt to the pivots' places, and regions that overlap choose alike, so that they ask for the same distances.
     own = large.groupBy("region", F.pmod(F.xxhash64("component", F.lit(1)), F.lit(pivots)).alias("salt")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(2)), "doc_id", "component")).alias("p"))
     own = written(own.select("region", "salt", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("c")), "pivots")
     met = large.join(small_or_shuffled(own, F.lit(4), SMALL), "region").filter("doc_id <> pivot")
     met = written(met.select("region", "size", "salt", F.col("doc_id").alias("x"), F.col("pivot").alias("y"), (F.col("component") == F.col("c")).alias("same")), "met")
-    to_pivots, known = _compared(docs, sets, met.filter("not same").select("x", "y"), known)
-
-    # What is small, and what pivots do not make smaller, is compared pair by pair.
-    rest = _placed(open_.join(large.select("region").distinct(), "region", "left_anti").select(*members.columns), known)
-    _, known = _compared(docs, sets, _pairs(rest), known)
+    # What is small, and what pivots do not make smaller, is compared pair by pair, together with the pivots.
+    compared, known = _compared(docs, sets, met.filter("not same").select("x", "y").unionByName(_pairs(open_.filter(~divided))), known)
     if met.isEmpty():
         return known, None
 
     # Parts.  Whether a member is within a pivot's 0.25 or 0.5 is not known where one component has both.
     ends = met.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
-    near = ends.join(to_pivots, ["a", "b"], "left").filter("same or near").groupBy("region", "salt", F.col("x").alias("doc_id")).agg(F.max(F.coalesce("linked", F.lit(False))).alias("linked"), F.max("same").alias("same"))
+    near = ends.join(compared, ["a", "b"], "left").filter("same or near").groupBy("region", "salt", F.col("x").alias("doc_id")).agg(F.max(F.coalesce("linked", F.lit(False))).alias("linked"), F.max("same").alias("same"))
     first = near.filter("linked").groupBy("region", "doc_id").agg(F.min("salt").alias("first"))
     # A part in which no member is within 0.25 of its pivot has no pair that the rest has not.
     takes = near.groupBy("region", "salt").agg(F.max(F.expr("linked or same")).alias("takes")).filter("takes").select("region", "salt")
