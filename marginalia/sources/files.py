@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Folders that a scan leaves out.
 SKIPPED = (".git", "node_modules", ".venv")
-#: Bytes of a file that is read at most; a larger one is listed without content.
-MOST = 4 << 20
 
 
 def read_corpus(spark: SparkSession, path: str, skip: bool = True) -> DataFrame:
