@@ -69,8 +69,9 @@ def join_24_category(d: Dialect) -> str:
 
 
 def agg_16_vendors(d: Dialect) -> str:
-    """How many packages came from each vendor, and a fold of their names that no order changes."""
-    return f"SELECT concat(lang, '/', source) AS vendor, count(*) AS adopted, bit_xor({d.number_of('skill')}) AS names_fold FROM @pkg GROUP BY concat(lang, '/', source)"
+    """Every adopted package's name under its vendor, with how many packages came from there; a null vendor is one too."""
+    vendor = "concat(lang, '/', source)"
+    return f"SELECT v.vendor, v.adopted, p.skill AS name FROM @pkg p JOIN (SELECT {vendor} AS vendor, count(*) AS adopted FROM @pkg GROUP BY {vendor}) AS v ON v.vendor IS NOT DISTINCT FROM concat(p.lang, '/', p.source)"
 
 
 def agg_17_ghosts(d: Dialect) -> str:

@@ -126,3 +126,10 @@ def test_empty_tables(spark):
         assert run(spark, op, file=empty).count() == 0
     assert run(spark, usage.agg_2_window_counts, usage=frame(spark, [], "skill string, d7 long, d30 long, d90 long, total long")).count() == 0
     assert run(spark, graph.src_4_edges, edge=frame(spark, [], "from_id string, to_id string, type string, status string")).count() == 0
+
+
+def test_every_adopted_name_stays_under_its_vendor(spark):
+    """Names that two packages share, and packages without a vendor, are not folded away."""
+    rows = [("a", "en", "s"), ("a", "en", "s"), ("b", "en", "s"), ("c", "de", "s"), ("d", None, "s")]
+    got = run(spark, graph.agg_16_vendors, pkg=spark.createDataFrame(rows, "skill string, lang string, source string"))
+    assert sorted(map(tuple, got.select("vendor", "adopted", "name").collect()), key=str) == [("de/s", 1, "c"), ("en/s", 3, "a"), ("en/s", 3, "a"), ("en/s", 3, "b"), (None, 1, "d")]
