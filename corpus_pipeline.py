@@ -7,9 +7,11 @@ columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm.common import crc_of_id, new_path, own_columns, written
+from marginalia.llm.common import crc_of_id, give_back_heaps, new_path, own_columns, written
 from marginalia.llm.queries import table, vocabulary
 
 #: Shorter than operator 3's own 400 bytes, so that passages of over 50 words go.
@@ -67,12 +69,23 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack(docs, vocabulary("word_bpe_49k.json"))
 
 
+def _after_others(stage):
+    """The stage, begun with what the stages before it have left of the executors' heaps given back."""
+
+    @functools.wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("repeats", cut_repeats),
-    ("secrets", mask_secrets),
-    ("packing", pack_sequences),
+    ("toxicity", _after_others(drop_toxic)),
+    ("near_duplicates", _after_others(drop_near_duplicates)),
+    ("repeats", _after_others(cut_repeats)),
+    ("secrets", _after_others(mask_secrets)),
+    ("packing", _after_others(pack_sequences)),
 ]
 
 #: No SQL can express a trained classifier or the tokenizer; tests hold the stages against brute force.

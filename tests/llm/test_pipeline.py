@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -60,3 +61,16 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     none = spark.read.parquet(f"{sf}/documents.parquet").filter(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+def test_each_stage_begins_with_heaps_given_back(spark, monkeypatch):
+    """Heap that a stage leaves does not stand beside the next one's workers: a collection on each core comes first."""
+    from marginalia.llm import common
+
+    common.give_back_heaps(spark)  # runs wherever tasks run
+    begun = []
+    monkeypatch.setattr(corpus_pipeline, "give_back_heaps", lambda s: begun.append(s))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        with pytest.raises(Exception):
+            stage(spark, None, "/nowhere")  # a stage's own work needs documents
+        assert begun == [spark] * k
