@@ -202,3 +202,35 @@ def test_few_documents_are_cut():
     _, packs, used = shortest_packing.shortest_first(counts, 4096)
     assert sum((4096 - fill) * n for fill, _, n in packs) < 0.01 * 4096 * used
     assert sum(x[2] for x in shortest_packing.plan(counts)[1]) < 0.05 * 20_000
+
+
+def test_new_chunks_reach_the_library_joined():
+    """Ids and their numbers are those of each chunk by itself, from few texts; where an id crosses, chunks go alone."""
+    tok = tokens.load(vocabulary("byte_bpe_50k.json"))
+    handed = []
+
+    def encode(texts):
+        handed.extend(texts)
+        return tokens.library(tok)(texts)
+
+    widths = np.array([len(tok.id_to_token(i)) for i in range(tok.get_vocab_size())])
+    words = [" " + w for w in ("é", "naïve", "don't", "a.b", "日本", "x=1", "'s", "́mark", *(f"w{i}" for i in range(2000)))]
+    mixed = [*words[:900], " ", "glued", ",", " a\n", "\n", *words[900:]]
+    coder = tokens.Encoder(encode, "byte", widths=widths)
+    ids, counts = coder.joined(mixed)
+    assert len(handed) < 20
+    want = [tok.encode(t, add_special_tokens=False).ids for t in mixed]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    coder.widths = widths + 1  # no place fits: all go by themselves
+    ids, counts = coder.joined(mixed)
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert [len(x) for x in coder.joined([])] == [0, 0]
+
+
+def test_blocks_coded_in_groups_are_the_same(monkeypatch):
+    from marginalia.llm import id_files
+
+    ids = np.random.default_rng(3).integers(0, 5000, 16 * 21 + 5).astype("<u4")
+    whole = id_files.encode(ids, 5000, 16)
+    monkeypatch.setattr(id_files, "LANES", 4)
+    assert id_files.encode(ids, 5000, 16) == whole and (id_files.decode(whole, len(ids), 5000, 16) == ids).all()
