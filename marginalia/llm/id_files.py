@@ -11,11 +11,12 @@ four parts of the code space are dealt out:
 * the rest: every id of the vocabulary, by a fixed law (a merge's rank is about
   its frequency's rank).
 
-The shares adapt within the block to how often each prediction, in its state,
-was right; an id is coded in the first part that has it.  The range coder has
-48 bits and 16-bit digits; carries are settled when a block is over.  All blocks
-of a container are coded side by side, one id of each at a time, as numpy
-vectors, ``LANES`` blocks at once, so that their tables stay near the processor.
+The shares adapt within the block: each state of order 2 and of order 1 has a
+chance that moves by how often it held, and so has the law's share of what no
+prediction holds.  An id is coded in the part of the highest order that has it.
+The range coder has 56 bits and 24-bit digits; carries are settled when a block
+is over.  All blocks of a container are coded side by side, one id of each at a
+time, as numpy vectors, ``LANES`` blocks at once.
 
 Each case has a result: null text counts as empty and has its end id only; equal
 ids are ordered by a hash of the text and each has its rows; a null id comes
@@ -44,19 +45,35 @@ PARTS = 1000
 #: Ids of a block, and of a container, about: a document is not divided between containers.
 BLOCK, CONTAINER = 512, 4_000_000
 #: Blocks that are coded side by side at most.
-LANES = 2000
-MAGIC = b"IDMIX2\n\0"
+LANES = 4000
+MAGIC = b"IDMIX3\n\0"
 
 #: Ids are below this number.
 MOST = 1 << 17
-#: log2 of: the code space, the fixed law's total, the places of order-2, order-1 and order-0 tables of a block.
-TOTAL, LAW, TWO, ONE, ZERO = 23, 18, 7, 7, 7
-#: States of a prediction: 0 none yet, 1 not held the last time, then how many times in a row it held, plus one.
-STATES = 4
-#: Chances, of 2**16, that a prediction in a state holds, at a weight of 2**16; the most that one becomes; the least weight.
-CHANCES, SURE, LEAST = (200, 16000, 36000, 52000), 64000, 1 << 12
-_CHANCES = np.array(CHANCES, np.int32)
-_ID = (1 << 17) - 1
+#: log2 of: the code space, the fixed law's total, the places of a block's table of order 1 or 2, and of order 0.
+TOTAL, LAW, PLACES, ZERO = 28, 18, 7, 7
+#: A range is this wide at least before an id is coded; digits have 24 bits.
+WIDE = 1 << 32
+#: What a chance of 1 is.
+ONE = 1 << TOTAL
+#: First chances that a prediction holds, by state (none yet, or how many times in a row it held, plus one), orders 1 and 2; the most and the least that one becomes.
+CHANCES = np.array([[0.01, 0.12, 0.28, 0.4], [0.01, 0.22, 0.5, 0.7]])
+SURE, LEAST = 0.85, 0.004
+#: Chances move by a 2**RATE-th of their error; those of order 0, which are told from the law's, by a 2**RATE0-th.
+RATE, RATE0 = 4, 5
+#: First chance that an id which is not predicted comes by the law, and its bounds.
+FRESH, FRESH_SURE, FRESH_LEAST = 0.55, 0.9, 0.15
+#: A prediction's next state by min(entry - 4 * id, 4), which is its state if it held and 4 if not.
+_NEXT = np.array([1, 2, 3, 3, 1], np.int32)
+#: By that, what is added to a chance that lost its part.
+_GAIN = np.array([(SURE - LEAST) * h + LEAST for h in (1, 1, 1, 1, 0)]) * ONE / (1 << RATE)
+_GAIN = _GAIN.astype(np.int64)
+#: Parts by their order, a column for orders 1 and 2; factors of hashes.
+_ORDERS = np.array([[2], [3]], np.uint8)
+_FACTOR, _FACTOR2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_TOTAL, _DIGIT = np.uint64(TOTAL), np.uint64(24)
+#: Where the law's chance goes, by the part of an id (law, order 0, 1, 2), and by which shift.
+_GOAL, _SHIFT = (np.array([FRESH_SURE, FRESH_LEAST, 0, 0]) * ONE).astype(np.int64), np.array([RATE0, RATE0, 40, 40])
 
 
 def law(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,186 +86,196 @@ def law(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Mixer:
-    """The predictions of all blocks of a container, at one place of each."""
-
-    def __init__(self, lanes: int, cum: np.ndarray):
-        self.cum = cum
-        # A place has a state, above 17 bits, and the id that last followed.
-        self.two, self.one, self.zero = (np.zeros(lanes << k, np.int32) for k in (TWO, ONE, ZERO))
-        self.weight2, self.weight1, self.chance0 = np.full(lanes, 1 << 16, np.int64), np.full(lanes, 1 << 16, np.int64), np.full(lanes, 30000, np.int64)
-        lane = np.arange(lanes, dtype=np.int64)
-        self.base2, self.base1, self.base0 = lane << TWO, lane << ONE, lane << ZERO
-        self.last, self.prev = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def keep(self, n: int) -> None:
-        """Only the first n blocks go on."""
-        for name in ("base2", "base1", "base0", "last", "prev", "weight2", "weight1", "chance0"):
-            setattr(self, name, getattr(self, name)[:n].copy())
+    """The predictions of all blocks of a container, at one place of each.
+
+    Rows of two are orders 1 and 2, rows of four the parts of the code space: law, order 0, order 1, order 2.
+    """
+
+    def __init__(self, lanes: int):
+        # An entry is four times the id that last followed, and a state.  Numpy asks for huge pages from 4 MB on.
+        room, own = np.zeros((2 * lanes << PLACES) + (lanes << ZERO) + (1 << 20), np.int32), 2 * lanes << PLACES
+        self.table, self.zero = room[:own], room[own : own + (lanes << ZERO)]
+        self.chances = np.repeat((CHANCES * ONE).astype(np.int64)[:, None], lanes, 1).ravel()
+        self.fresh = np.full(lanes, int(FRESH * ONE), np.int64)
+        self.lane = np.arange(lanes, dtype=np.int64)
+        self.base0 = self.lane << ZERO
+        self.base, self.base_chance = np.arange(2 * lanes).reshape(2, lanes) << PLACES, np.arange(2 * lanes).reshape(2, lanes) << 2
+        self.hash, self.before = np.zeros((2, lanes), np.uint64), np.zeros(lanes, np.uint64)
+        self.begin, self.part, self.known = (np.zeros((4, lanes), np.int64) for _ in range(3))
 
     def predict(self) -> None:
-        h = self.last * 40503
-        self.at1 = (h >> 4 & ((1 << ONE) - 1)) + self.base1
-        h += self.prev * 60493
-        self.at2 = (h >> 4 & ((1 << TWO) - 1)) + self.base2
-        slot2, slot1 = self.two.take(self.at2), self.one.take(self.at1)
-        self.c2, self.s2 = slot2 & _ID, slot2 >> 17
-        self.c1, self.s1 = slot1 & _ID, slot1 >> 17
-        self.p2, self.p1 = _CHANCES.take(self.s2) * self.weight2 >> 16, _CHANCES.take(self.s1) * self.weight1 >> 16
-        np.minimum(self.p2, SURE, out=self.p2)
-        np.minimum(self.p1, SURE, out=self.p1)
-        # Seven eighths at most for order 2, half of what is left for order 1, half of that for order 0.
-        self.a2 = self.p2 * 112 + 1
-        left = (1 << TOTAL) - self.a2
-        a1 = (left * self.p1 >> 17) + 1
-        self.a21 = self.a2 + a1
-        left -= a1
-        self.each = (left * self.chance0 >> 17 + ZERO) + 1
-        self.rest = left - (self.each << ZERO)
-        self.a1 = a1
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each id's part of the code space begins, and how long it is."""
-        self.slot = ids & ((1 << ZERO) - 1)
-        self.at0 = self.slot + self.base0
-        self.hit2, self.hit1, self.hit0 = self.c2 == ids, self.c1 == ids, self.zero.take(self.at0) == ids
-        lo = self.cum.take(ids) * self.rest >> LAW
-        part = (self.cum.take(ids + 1) * self.rest >> LAW) - lo
-        lo += (1 << TOTAL) - self.rest
-        for hit, begin, size in ((self.hit0, self.a21 + self.slot * self.each, self.each), (self.hit1, self.a2, self.a1), (self.hit2, 0, self.a2)):
-            np.copyto(lo, begin, where=hit)
-            np.copyto(part, size, where=hit)
-        return lo, part
-
-    def find(self, target: np.ndarray, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id whose part has the target, with its interval."""
-        into = target - self.a21
-        self.slot = np.maximum(into, 0) // self.each
-        begin0 = (1 << TOTAL) - self.rest
-        far = np.flatnonzero(target >= begin0)
-        np.minimum(self.slot, (1 << ZERO) - 1, out=self.slot)
-        ids = self.zero.take(self.slot + self.base0).astype(np.int64)
-        lo, part = self.a21 + self.slot * self.each, self.each.copy()
-        rest = self.rest[far]
-        found = lookup.take((((target[far] - begin0[far] + 1) << LAW) - 1) // rest)
-        ids[far] = found
-        begin = self.cum.take(found) * rest >> LAW
-        part[far] = (self.cum.take(found + 1) * rest >> LAW) - begin
-        lo[far] = begin + begin0[far]
-        in2 = target < self.a2
-        in1 = (into < 0) > in2
-        for hit, known, start, size in ((in1, self.c1, self.a2, self.a1), (in2, self.c2, 0, self.a2)):
-            np.copyto(ids, known, where=hit)
-            np.copyto(lo, start, where=hit)
-            np.copyto(part, size, where=hit)
-        self.at0 = (ids & ((1 << ZERO) - 1)) + self.base0
-        self.hit2, self.hit1, self.hit0 = self.c2 == ids, self.c1 == ids, self.zero.take(self.at0) == ids
-        return ids, lo, part
-
-    def learn(self, ids: np.ndarray) -> None:
-        coded2, coded1 = self.hit2, self.hit1 > self.hit2
-        # Each weight goes the way of its prediction's error.
-        for weight, error in ((self.weight2, coded2 * SURE - self.p2), (self.weight1, (coded1 * SURE - self.p1) * ~coded2)):
-            weight += error >> 4
-            np.clip(weight, LEAST, 1 << 17, out=weight)
-        self.chance0 += (self.hit0 * SURE - self.chance0 >> 5) * ~(coded1 | coded2)
-        self.two[self.at2] = (np.minimum(self.s2 * self.hit2 + 1, STATES - 1) << 17) + ids
-        self.one[self.at1] = (np.minimum(self.s1 * self.hit1 + 1, STATES - 1) << 17) + ids
-        self.zero[self.at0] = ids
-        self.prev, self.last = self.last, ids
+        begin, part = self.begin, self.part
+        self.at = (self.hash >> np.uint64(64 - PLACES)).view(np.int64)
+        self.at += self.base
+        self.entry = self.table.take(self.at)
+        self.at_chance = (self.entry & 3) + self.base_chance
+        self.chance = self.chances.take(self.at_chance)
+        part[3] = self.chance[1]
+        # Order 2 has the end of the code space, order 1 its share of what is left, order 0 of what is left then; the law begins at 0.
+        left = np.subtract(ONE, part[3], out=begin[3])
+        own = np.multiply(left, self.chance[0], out=part[2])
+        own >>= TOTAL
+        left = np.subtract(left, own, out=begin[2])
+        self.unit = left * self.fresh
+        self.unit >>= TOTAL + LAW
+        rest = np.left_shift(self.unit, LAW, out=begin[1])
+        each = np.subtract(left, rest, out=part[1])
+        each >>= ZERO
+
+    def meet(self, low: np.ndarray) -> None:
+        """Tells which predictions the ids that came, as 32-bit numbers, hold."""
+        self.four = low << 2
+        # A difference below 4 is the state of a prediction that held.
+        self.held = (self.entry - self.four).view(np.uint32)
+        np.minimum(self.held, 4, out=self.held)
+
+    def learn(self, ids: np.ndarray, low: np.ndarray, at0: np.ndarray, which: np.ndarray) -> None:
+        """The ids that came, twice, their places in order 0, and the part each was in."""
+        self.table[self.at] = _NEXT.take(self.held) + self.four
+        self.zero[at0] = low
+        gain = _GAIN.take(self.held)
+        gain -= self.chance >> RATE
+        self.chance += gain
+        self.chances[self.at_chance] = self.chance
+        goal = _GOAL.take(which)
+        goal -= self.fresh
+        goal >>= _SHIFT.take(which)
+        self.fresh += goal
+        last, both = self.hash
+        np.multiply(ids.view(np.uint64), _FACTOR, out=last)
+        np.add(last, self.before, out=both)
+        np.multiply(last, _FACTOR2, out=self.before)
 
 
 def encode(ids: np.ndarray, size: int, block: int = BLOCK) -> list[bytes]:
     """The blocks of a run of ids below ``size``, each by itself."""
     lanes = -(-len(ids) // block)
     if lanes > LANES:
-        return [b for i in range(0, len(ids), LANES * block) for b in encode(ids[i : i + LANES * block], size, block)]
+        step = -(-lanes // -(-lanes // LANES)) * block
+        return [b for i in range(0, len(ids), step) for b in encode(ids[i : i + step], size, block)]
     if not lanes:
         return []
-    if len(ids) and int(ids.max()) >= size:
+    if int(ids.max()) >= size:
         raise ValueError(f"ids must be below {size}")
-    table = np.zeros((lanes, block), np.int64)
+    table = np.zeros((lanes, block), np.int32)
     table.ravel()[: len(ids)] = ids
     table = np.ascontiguousarray(table.T)
     tail = len(ids) - (lanes - 1) * block
-    mix = Mixer(lanes, law(size)[0])
-    low, wide = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
-    room = 2 * block + 8
-    # A digit has a carry above its 16 bits until the end.
-    out, at = np.zeros(lanes * room, np.uint32), np.arange(lanes, dtype=np.int64) * room
-    for k in range(block):
-        if k == tail:  # the last block is over
-            if lanes == 1:
-                break
-            mix.keep(lanes - 1)
-        n = lanes - (k >= tail)
+    mix, cum = Mixer(lanes), law(size)[0]
+    weight = np.diff(cum)
+    low, wide = np.zeros(lanes, np.int64), np.full(lanes, (WIDE << 24) - 1, np.int64)
+    # Blocks and their next digits; a digit has a carry above its 24 bits until the end.
+    owners, digits = [], []
+    begin, part, ended = mix.begin, mix.part, None
+    for k in range(block if lanes > 1 else tail):
+        if k == tail:  # the last block is over; what its lane goes on with is not kept
+            ended = int(low[-1]), len(owners)
         mix.predict()
-        own = table[k, :n]
-        lo, part = mix.interval(own)
-        lw, wd = low[:n], wide[:n]
-        r = wd >> TOTAL
-        lw += r * lo
-        np.multiply(r, part, out=wd)
-        mix.learn(own)
-        while len(i := np.flatnonzero(wd < 1 << 32)):
-            w, x = at[i], lw[i]
-            out[w] = x >> 32
-            at[i] = w + 1
-            lw[i] = (x & 0xFFFFFFFF) << 16
-            wd[i] <<= 16
-    for shift in (32, 16, 0):
-        out[at] = low >> shift if shift == 32 else low >> shift & 0xFFFF
-        at += 1
-    digits = np.ascontiguousarray(out.reshape(lanes, room).T)
-    for k in range(room - 1, 0, -1):
-        digits[k - 1] += digits[k] >> 16
-    digits = np.ascontiguousarray((digits & 0xFFFF).T).astype("<u2")
-    return [digits[j, : int(at[j]) - j * room].tobytes() for j in range(lanes)]
+        mix.meet(table[k])
+        own = table[k].astype(np.int64)
+        slot = own & ((1 << ZERO) - 1)
+        np.multiply(cum.take(own), mix.unit, out=begin[0])
+        np.multiply(weight.take(own), mix.unit, out=part[0])
+        begin[1] += slot * part[1]
+        slot += mix.base0
+        which = (mix.zero.take(slot) == table[k]).view(np.uint8)
+        hit = (mix.held < 4).view(np.uint8)
+        hit *= _ORDERS
+        np.maximum(which, hit[0], out=which)
+        np.maximum(which, hit[1], out=which)
+        which = which.astype(np.int64)
+        pick = which * lanes
+        pick += mix.lane
+        r = wide >> TOTAL
+        low += r * begin.take(pick)
+        np.multiply(r, part.take(pick), out=wide)
+        mix.learn(own, table[k], slot, which)
+        while len(i := np.flatnonzero(wide < WIDE)):
+            x = low[i]
+            owners.append(i.astype(np.uint16))
+            digits.append((x >> 32).astype(np.uint32))
+            low[i] = (x & (WIDE - 1)) << 24
+            wide[i] <<= 24
+    if ended:
+        low[-1], n = ended
+        for j in range(n, len(owners)):
+            if owners[j][-1] == lanes - 1:
+                owners[j], digits[j] = owners[j][:-1], digits[j][:-1]
+    # The number in the range that has no more digits.
+    owners.append(mix.lane.astype(np.uint16))
+    digits.append((low + (WIDE - 1) >> 32).astype(np.uint32))
+    owner = np.concatenate(owners)
+    flat = np.concatenate(digits).take(np.argsort(owner, kind="stable"))
+    # A block's first digit has no carry.
+    while (carry := flat >> 24).any():
+        flat &= (1 << 24) - 1
+        flat[:-1] += carry[1:]
+    data = flat.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+    ends = 3 * np.cumsum(np.bincount(owner, minlength=lanes))
+    return [data[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def decode(blocks: list[bytes], n_ids: int, size: int, block: int = BLOCK) -> np.ndarray:
     """The ids of all blocks."""
     lanes = len(blocks)
     if lanes > LANES:
-        return np.concatenate([decode(blocks[i : i + LANES], min(LANES * block, n_ids - i * block), size, block) for i in range(0, lanes, LANES)])
+        step = -(-lanes // -(-lanes // LANES))
+        return np.concatenate([decode(blocks[i : i + step], min(step * block, n_ids - i * block), size, block) for i in range(0, lanes, step)])
     if not lanes:
         return np.empty(0, np.int64)
     cum, lookup = law(size)
-    room = max(map(len, blocks)) // 2 + 8
-    digits = np.zeros((lanes, room), np.int64)
-    for j, b in enumerate(blocks):
-        digits[j, : len(b) // 2] = np.frombuffer(b[: len(b) // 2 * 2], "<u2")
-    digits = digits.ravel()
-    first = np.arange(lanes, dtype=np.int64) * room
-    code = (digits[first] << 32) | (digits[first + 1] << 16) | digits[first + 2]
-    at, end = first + 3, first + room - 1
+    weight = np.diff(cum)
+    # Seven bytes begin a block's number, each digit adds three; zeros follow its end.
+    room = max(map(len, blocks)) // 3 + 4
+    data = np.frombuffer(b"".join(b[: 3 * room].ljust(3 * room + 7, b"\0") for b in blocks), np.uint8).reshape(lanes, -1)
+    # Without a sign, what a damaged block turns into stays in bounds; so does a last block after its end.
+    code = np.zeros(lanes, np.uint64)
+    for k in range(7):
+        code = code << np.uint64(8) | data[:, k]
+    d = data[:, 7:].reshape(lanes, room, 3).astype(np.uint32)
+    digits = (d[:, :, 0] << 16 | d[:, :, 1] << 8 | d[:, :, 2]).ravel()
+    at = np.arange(lanes, dtype=np.int64) * room
+    end = at + room - 1
     tail = n_ids - (lanes - 1) * block
-    mix = Mixer(lanes, cum)
-    wide = np.full(lanes, (1 << 48) - 1, np.int64)
-    out = np.zeros((block, lanes), np.int64)
-    for k in range(block):
-        if k == tail:
-            if lanes == 1:
-                break
-            mix.keep(lanes - 1)
-        n = lanes - (k >= tail)
+    mix = Mixer(lanes)
+    begin, part, known = mix.begin, mix.part, mix.known
+    wide = np.full(lanes, (WIDE << 24) - 1, np.uint64)
+    out = np.zeros((block, lanes), np.int32)
+    for k in range(block if lanes > 1 else tail):
         mix.predict()
-        wd, cd = wide[:n], code[:n]
-        r = wd >> TOTAL
-        # Exact: both numbers and the product of divisor and quotient have under 53 bits.
-        target = np.minimum((cd / r).astype(np.int64), (1 << TOTAL) - 1)
-        ids, lo, part = mix.find(target, lookup)
-        cd -= r * lo
-        np.multiply(r, part, out=wd)
-        mix.learn(ids)
-        while len(i := np.flatnonzero(wd < 1 << 32)):
+        r = wide >> _TOTAL
+        target = code // r
+        target = np.minimum(target, ONE - 1, out=target).view(np.int64)
+        which = np.add.reduce((target >= begin[1:]).view(np.uint8), axis=0, dtype=np.int64)
+        i = np.flatnonzero(which == 0)
+        unit = mix.unit[i]
+        found = lookup.take(target[i] // unit)
+        known[0][i] = found
+        begin[0][i] = cum.take(found) * unit
+        part[0][i] = weight.take(found) * unit
+        i = np.flatnonzero(which == 1)
+        each, first = part[1][i], begin[1][i]
+        slot = np.minimum((target[i] - first) // each, (1 << ZERO) - 1)
+        known[1][i] = mix.zero.take(slot + mix.base0[i])
+        begin[1][i] = first + slot * each
+        np.right_shift(mix.entry, 2, out=known[2:])
+        pick = which * lanes
+        pick += mix.lane
+        ids = known.take(pick)
+        code -= r * begin.take(pick).view(np.uint64)
+        np.multiply(r, part.take(pick).view(np.uint64), out=wide)
+        low = ids.astype(np.int32)
+        mix.meet(low)
+        slot = ids & ((1 << ZERO) - 1)
+        slot += mix.base0
+        mix.learn(ids, low, slot, which)
+        while len(i := np.flatnonzero(wide < WIDE)):
             w = at[i]
-            cd[i] = (cd[i] << 16) | digits[w]
+            code[i] = code[i] << _DIGIT | digits[w]
             at[i] = np.minimum(w + 1, end[i])
-            wd[i] <<= 16
-            if not wd[i].all():
-                raise ValueError("a block is damaged")
-        out[k, :n] = ids
-    return out.T.ravel()[:n_ids]
+            wide[i] <<= _DIGIT
+        out[k] = low
+    return out.T.ravel()[:n_ids].astype(np.int64)
 
 
 def pack_container(docs: list[int | None], sizes: np.ndarray, ids: np.ndarray, size: int) -> bytes:
