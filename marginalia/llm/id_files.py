@@ -7,7 +7,7 @@ four parts of the code space are dealt out:
 
 * order 2 and 1: the id that last followed the last two ids, or the last one, in
   this block, with a state of how often in a row that held;
-* order 0: the ids seen in this block so far, in ``SEEN`` places by their hash;
+* order 0: the ids seen in this block so far, in ``2**ZERO`` places by their last bits;
 * the rest: every id of the vocabulary, by a fixed law (a merge's rank is about
   its frequency's rank).
 
