@@ -49,8 +49,12 @@ def win_4_anchors(d: Dialect) -> str:
 
 
 def win_7_sections(d: Dialect) -> str:
-    """Lines of each file under each heading."""
-    last = "last_value(CASE WHEN line LIKE '# %' THEN pos END IGNORE NULLS) OVER (PARTITION BY skill, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" if d.name == "duckdb" else "last(CASE WHEN line LIKE '# %' THEN pos END, true) OVER (PARTITION BY skill, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    """Lines of each file under each heading.
+
+    Where a package has a path twice, lines of one place lie under the heading that
+    is at that place in either file, whatever order they come in: the frame takes peers in.
+    """
+    last = "last_value(CASE WHEN line LIKE '# %' THEN pos END IGNORE NULLS) OVER (PARTITION BY skill, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" if d.name == "duckdb" else "last(CASE WHEN line LIKE '# %' THEN pos END, true) OVER (PARTITION BY skill, path ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return f"SELECT skill, path, coalesce(section, -1) AS section, count(*) AS lines FROM (SELECT skill, path, {last} AS section FROM @line) AS s GROUP BY skill, path, coalesce(section, -1)"
 
 

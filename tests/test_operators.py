@@ -10,7 +10,7 @@ import pytest
 from marginalia.functions.dialect import run
 from marginalia.functions.folding import folded
 from marginalia.functions.rules import rules
-from marginalia.operators import graph, overlap, scan, usage
+from marginalia.operators import graph, overlap, scan, text, usage
 from marginalia.plans import registry
 from marginalia.sources import files, sinks
 
@@ -133,3 +133,24 @@ def test_every_adopted_name_stays_under_its_vendor(spark):
     rows = [("a", "en", "s"), ("a", "en", "s"), ("b", "en", "s"), ("c", "de", "s"), ("d", None, "s")]
     got = run(spark, graph.agg_16_vendors, pkg=spark.createDataFrame(rows, "skill string, lang string, source string"))
     assert sorted(map(tuple, got.select("vendor", "adopted", "name").collect()), key=str) == [("de/s", 1, "c"), ("en/s", 3, "a"), ("en/s", 3, "a"), ("en/s", 3, "b"), (None, 1, "d")]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_lines_of_one_place_lie_under_its_heading(spark, turned):
+    """A path that a package has twice: no order of its lines changes the sections."""
+    rows = [("a", "x.yaml", 0, "name: a"), ("a", "x.yaml", 0, "# Head"), ("a", "x.yaml", 1, "plain"), ("a", "x.yaml", 1, "")]
+    got = run(spark, text.win_7_sections, line=frame(spark, rows[::-1] if turned else rows, "skill string, path string, pos int, line string").coalesce(1))
+    assert [tuple(r) for r in got.collect()] == [("a", "x.yaml", 0, 4)]
+
+
+def test_inventory_has_one_order_where_a_path_is_there_twice(spark):
+    """The digest that counts for a path does not hang on the order of the files."""
+    from marginalia.plans.derive import RELATIONS
+
+    pkg = frame(spark, [(3, "doc-3", "s", "en", "t")], "doc_id long, skill string, source string, lang string, text string")
+    disk = [("doc-3", "p", c * 64, n) for c, n in (("a", 5), ("b", 4), ("c", 6), ("d", 3))]
+    texts = {
+        run(spark, RELATIONS["record_file"], pkg=pkg, disk=frame(spark, rows, "skill string, path string, sha256 string, bytes long").coalesce(1)).filter("path = 'ORIGIN.md'").first().text
+        for rows in (disk, disk[::-1], disk[2:] + disk[:2])
+    }
+    assert len(texts) == 1
