@@ -234,3 +234,15 @@ def test_blocks_coded_in_groups_are_the_same(monkeypatch):
     whole = id_files.encode(ids, 5000, 16)
     monkeypatch.setattr(id_files, "LANES", 4)
     assert id_files.encode(ids, 5000, 16) == whole and (id_files.decode(whole, len(ids), 5000, 16) == ids).all()
+
+
+def test_few_rows_of_a_language_count_in_its_threshold():
+    """One labelled row of a kind moves the cut, more move it further; equal logits stay on one side; rows of one kind leave it."""
+    import numpy as np
+    from marginalia.llm.toxicity import PRIOR, best_cut
+
+    one, four = (best_cut(np.array([2.0] * n + [1.0] * 9), np.array([1.0] * n + [0.0] * 9), 0.0) for n in (1, 4))
+    assert (one, four) == (1.5 / (1 + PRIOR), 4 * 1.5 / (4 + PRIOR))
+    z, y = np.array([3.0, 2.0, 2.0, 2.0, 1.0]), np.array([1.0, 1.0, 1.0, 0.0, 0.0])
+    assert best_cut(z, y, 1.5) == 1.5
+    assert best_cut(z, np.zeros(5), 0.7) == best_cut(np.zeros(0), np.zeros(0), 0.7) == best_cut(z, np.ones(5), 0.7) == 0.7
